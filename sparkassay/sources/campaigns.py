@@ -12,12 +12,12 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOB_PLAN).option("multiLine", True).json(path)
 
 
-def read_rows(spark: SparkSession, root: str) -> DataFrame:
+def read_rows(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """All jobs in one pass: ``<root>/<job>/sample-shards/<number>.jsonl``; job and shard from the path."""
     parts = F.split(F.col("_metadata.file_path"), "/")
     return (
         spark.read.schema(CAMPAIGN_ROW)
-        .json(f"{root}/*/sample-shards/*.jsonl")
+        .json(f"{root}/*/sample-shards/{pattern}")
         .withColumns(
             {
                 "job": F.element_at(parts, -3),

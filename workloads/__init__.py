@@ -1,4 +1,4 @@
 """Registered queries over the benchmark tables, each with its DuckDB counterpart where SQL can say it."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import designs, payloads, sequential, store  # noqa: F401
+from . import designs, payloads, rare, sequential, store  # noqa: F401

@@ -158,7 +158,7 @@ VALUE_SQL = f"""{EP_SQL}, v AS (SELECT * EXCLUDE (metric), metric AS value FROM
 
 @query(
     "metric_agg",
-    f"""WITH {VALUE_SQL} SELECT gidx, scenario, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean,
+    f"""WITH {VALUE_SQL} SELECT gidx, scenario, min(value) AS lo, max(value) AS hi, round(avg(value), 9) AS mean,
   round(quantile_cont(value, 0.5), 4) AS median FROM v GROUP BY ALL""",
 )
 def metric_agg(spark, sf):
@@ -167,19 +167,19 @@ def metric_agg(spark, sf):
     for mode, name in (("min", "lo"), ("max", "hi"), ("mean", "mean"), ("median", "median")):
         one = A.metric_agg(rows, keys, mode).withColumnRenamed("value", name)
         out = one if out is None else out.join(one, keys)
-    return out.withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4)})
+    return out.withColumns({"mean": F.round("mean", 9), "median": F.round("median", 4)})
 
 
 @query(
     "metric_agg_noise",
-    f"""WITH {VALUE_SQL} SELECT part AS gidx, scenario, round(avg(value), 4) AS value,
+    f"""WITH {VALUE_SQL} SELECT part AS gidx, scenario, round(avg(value), 9) AS value,
   round(CASE WHEN count(*) = 1 THEN 0 ELSE var_samp(value) / count(*) END, 1) AS var
 FROM v GROUP BY ALL""",
 )
 def metric_agg_noise(spark, sf):
     rows = values(spark, sf).drop("gidx").withColumnRenamed("part", "gidx")
     out = A.metric_agg_noise(rows, ["gidx", "scenario"], "mean")
-    return out.withColumns({"value": F.round("value", 4), "var": F.round("var", 1)})
+    return out.withColumns({"value": F.round("value", 9), "var": F.round("var", 1)})
 
 
 VORDER = EP_ORDER_SQL.replace("metric", "value").replace("part", "gidx")
@@ -203,7 +203,7 @@ def fixed_replication(spark, sf):
     "portfolio_objective",
     f"""WITH {VALUE_SQL}, s AS (SELECT part AS gidx, scenario, avg(value) AS value,
   CASE WHEN count(*) = 1 THEN 0 ELSE var_samp(value) / count(*) END AS var FROM v GROUP BY ALL)
-SELECT gidx, round(avg(value), 4) AS metric, round(-avg(value), 4) AS obj_perf,
+SELECT gidx, round(avg(value), 9) AS metric, round(-avg(value), 9) AS obj_perf,
   round(CASE WHEN count(var) = 2 THEN sum(var) / 4 END, 1) AS obs_var FROM s GROUP BY gidx""",
 )
 def portfolio_objective(spark, sf):
@@ -211,5 +211,5 @@ def portfolio_objective(spark, sf):
     per = A.metric_agg_noise(rows, ["gidx", "scenario"], "mean")
     out = A.portfolio_objective(per, 2, "mean", maximize=True)
     return out.withColumns(
-        {"metric": F.round("metric", 4), "obj_perf": F.round("obj_perf", 4), "obs_var": F.round("obs_var", 1)}
+        {"metric": F.round("metric", 9), "obj_perf": F.round("obj_perf", 9), "obs_var": F.round("obs_var", 1)}
     )

@@ -9,8 +9,6 @@ from sparkassay.session import scratch_path
 from sparkassay.sources import episode_store, tables
 
 from .adapters import EP_ORDER, EP_ORDER_SQL, EP_SQL, episodes, table
-from sparkassay.operators import designs as D
-
 from .designs import CELL_SQL, SPACES
 from .registry import query
 
@@ -43,17 +41,16 @@ def episode_repeats(spark, sf):
   gidx > 4949 OR l_partkey % 7 = 0""".replace("gidx > 4900", "gidx > 4949"),
 )
 def episode_validate(spark, sf):
-    li = table(spark, sf, "lineitem").select(
+    li = table(spark, sf, "lineitem")
+    cell = (F.col("l_quantity").cast("bigint") - 1) * 99 + F.round(F.col("l_discount") * 100).cast("bigint") * 9
+    cell = cell + F.round(F.col("l_tax") * 100).cast("bigint")
+    shifted = li.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ep_uid"),
+        F.when(F.col("l_partkey") % 7 == 0, cell + 100).otherwise(cell).alias("gidx"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"),
         (F.col("l_discount") * F.col("l_discount")).alias("discount_sq"),
         F.col("l_tax").alias("tax"),
-        "l_partkey",
-    )
-
-    shifted = D.grid_lookup(li, SPACES).withColumn(
-        "gidx", F.when(F.col("l_partkey") % 7 == 0, F.col("gidx") + 100).otherwise(F.col("gidx"))
     )
     return E.validate(shifted, SPACES)
 
