@@ -227,7 +227,7 @@ def conditional_share(spark, sf):
 
 
 # Exact bounds in SQL: halving on the binomial tail, written with log-gamma.
-TAIL = """list_sum(list_transform(range(0, {k} + 1), i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+TAIL = """list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
       + i * ln(mid) + (n - i) * ln(1 - mid))))"""
 
 
@@ -338,7 +338,7 @@ def mode_estimate(spark, sf):
     CASE WHEN NOT coalesce(max_contrib <= 0.2, FALSE) THEN 'maximum_event_contribution' END,
     CASE WHEN NOT coalesce(rse <= 0.05, FALSE) THEN 'maximum_relative_standard_error' END,
     CASE WHEN NOT coalesce(event_ess >= 300, FALSE) THEN 'minimum_event_ess' END,
-    CASE WHEN events < 20 THEN 'minimum_event_paths' END], x -> x IS NOT NULL), ',') AS weighted FROM mode)
+    CASE WHEN events < 20 THEN 'minimum_event_paths' END], lambda x: x IS NOT NULL), ',') AS weighted FROM mode)
 SELECT job, CASE WHEN events = 0 THEN 'not_observed' WHEN scheme = 'nominal_mc' THEN 'mc_exact_but_imprecise'
     WHEN weighted = '' THEN 'precise' ELSE 'imprecise_exploratory' END AS status,
   CASE WHEN scheme = 'nominal_mc' THEN 'maximum_relative_standard_error' ELSE weighted END AS failed_gates,
@@ -362,7 +362,7 @@ q AS (SELECT *, CASE WHEN sy > 0 THEN exp(ln(nullif(est, 0)) - {Z!r} * rse) ELSE
 d AS (SELECT job, age, sum(w) ** 2 / sum(w * w) / count(*) AS er, max(w) / sum(w) AS mx, ln(avg(w)) AS lm FROM y GROUP BY ALL),
 wq AS (SELECT *, list_filter([CASE WHEN er < 0.8 THEN 'ess_ratio_below_minimum' END,
   CASE WHEN mx > 0.006 THEN 'max_normalized_weight_above_maximum' END,
-  CASE WHEN abs(lm) > 0.12 THEN 'mean_weight_inconsistent_with_one' END], x -> x IS NOT NULL) AS wr FROM q JOIN d USING (job, age))"""
+  CASE WHEN abs(lm) > 0.12 THEN 'mean_weight_inconsistent_with_one' END], lambda x: x IS NOT NULL) AS wr FROM q JOIN d USING (job, age))"""
 
 
 def gated(spark, sf):
@@ -386,7 +386,7 @@ def weight_quality_gates(spark, sf):
     f"""WITH {GATE_IN_SQL}, p AS (SELECT *, rse * sqrt(n / 1000.0) AS pr FROM wq),
 r AS (SELECT *, list_concat(wr, list_filter([
   CASE WHEN NOT coalesce(pr <= 0.2, FALSE) THEN 'projected_final_relative_standard_error_above_maximum' END,
-  CASE WHEN hits < 10 THEN 'proposal_validation_failures_below_minimum' END], x -> x IS NOT NULL)) AS rs FROM p)
+  CASE WHEN hits < 10 THEN 'proposal_validation_failures_below_minimum' END], lambda x: x IS NOT NULL)) AS rs FROM p)
 SELECT job, age, round(pr, 9) AS projected_rse, array_to_string(list_sort(rs), ',') AS reasons, len(rs) = 0 AS passed FROM r""",
 )
 def proposal_validation(spark, sf):
@@ -410,7 +410,7 @@ def proposal_validation(spark, sf):
   CASE WHEN NOT coalesce(rse <= 0.3, FALSE) THEN 'relative_standard_error_above_maximum'
        WHEN rse <= 0 THEN 'positive_relative_standard_error_unavailable' END,
   CASE WHEN NOT coalesce(lo > 0, FALSE) THEN 'positive_confidence_interval_lower_bound_unavailable' END,
-  CASE WHEN hi IS NULL THEN 'finite_confidence_interval_unavailable' END], x -> x IS NOT NULL)) AS rs FROM wq)
+  CASE WHEN hi IS NULL THEN 'finite_confidence_interval_unavailable' END], lambda x: x IS NOT NULL)) AS rs FROM wq)
 SELECT job, age, array_to_string(list_sort(rs), ',') AS reasons, len(rs) = 0 AS passed FROM r""",
 )
 def final_estimate_gates(spark, sf):
@@ -478,18 +478,18 @@ def scheme_violations(spark, sf):
 
 @query(
     "safe_exp",
-    """SELECT l_partkey AS gidx, count(*) AS n, count(*) FILTER (WHERE x > 709) AS overflow,
-  round(sum(CASE WHEN x <= 709 AND x >= -708 THEN exp(x) * 1e-300 END), 9) AS total,
-  count(*) FILTER (WHERE x < -708.39) AS zero FROM (SELECT l_partkey, (l_quantity - 25) * 29.5 AS x FROM lineitem)
+    """SELECT l_partkey AS gidx, count(*) AS n, count(*) FILTER (WHERE x > 709.5) AS overflow,
+  round(sum(CASE WHEN x <= 709.5 AND x >= -708.39 THEN exp(x) * 1e-307 END), 9) AS total,
+  count(*) FILTER (WHERE x < -708.39) AS zero FROM (SELECT l_partkey, (l_quantity - 25) * 29.6 AS x FROM lineitem)
 GROUP BY 1""",
 )
 def safe_exp_query(spark, sf):
-    x = ((F.col("l_quantity") - 25) * 29.5).alias("x")
+    x = ((F.col("l_quantity") - 25) * 29.6).alias("x")
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("gidx"), x).withColumn("e", safe_exp(F.col("x")))
     return rows.groupBy("gidx").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("e").isNull()).alias("overflow"),
-        F.round(F.sum(F.col("e") * 1e-300), 9).alias("total"),
+        F.round(F.sum(F.col("e") * 1e-307), 9).alias("total"),
         F.count_if(F.col("e") == 0).alias("zero"),
     )
 
