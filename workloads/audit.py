@@ -37,11 +37,11 @@ HASH = "('0x' || substr(sha1({}), 1, 8))::BIGINT"
 def plan_sql(i: int) -> str:
     s = STAGES[i]
     draw = HASH.format(f"'draw:{s.rng_seed}:' || o_orderkey")
-    seed = HASH.format(f"'{s.rng_seed}:' || gidx || ':' || scenario || ':' || (trial_index * 2 + at + 1)")
+    seed = HASH.format(f"'{s.rng_seed}:' || gidx || ':' || scenario || ':' || (trial_index * 2 + place + 1)")
     return f"""a{i} AS (SELECT gidx, row_number() OVER (ORDER BY gidx) AS pos FROM f WHERE f_min >= {s.tau!r}),
 d{i} AS (SELECT o_orderkey AS trial_index, {draw} % (SELECT count(*) FROM a{i}) + 1 AS pos FROM orders),
 p{i} AS (SELECT '{s.id}' AS stage_id, trial_index, gidx, scenario, {seed} AS seed
-  FROM d{i} JOIN a{i} USING (pos) CROSS JOIN (VALUES (0, 'F'), (1, 'O')) sc(at, scenario))"""
+  FROM d{i} JOIN a{i} USING (pos) CROSS JOIN (VALUES (0, 'F'), (1, 'O')) sc(place, scenario))"""
 
 
 PLAN_SQL = f"""{P_SAFE_SQL}, f AS (SELECT gidx, min(p_safe) AS f_min FROM p GROUP BY gidx), {plan_sql(0)}, {plan_sql(1)},

@@ -158,8 +158,8 @@ def non_dominated(spark, sf):
     f"""WITH {POINTS_SQL}, b AS (SELECT run, cost, min(perf) AS best FROM pt GROUP BY ALL),
 s AS (SELECT *, min(best) OVER (PARTITION BY run ORDER BY cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b),
 o AS (SELECT run, count(*) FILTER (WHERE cost > 200 OR perf > 101) AS outside FROM pt GROUP BY run)
-SELECT run, outside, CASE WHEN outside = 0 THEN round(sum((200 - cost) * greatest(0, least(101, coalesce(prev, 101)) - best)), 6) END AS hv
-FROM s JOIN o USING (run) GROUP BY ALL""",
+SELECT run, any_value(outside) AS outside, CASE WHEN any_value(outside) = 0 THEN round(sum((200 - cost) * greatest(0, least(101, coalesce(prev, 101)) - best)), 6) END AS hv
+FROM s JOIN o USING (run) GROUP BY run""",
 )
 def hypervolume_2d(spark, sf):
     out = FR.hypervolume_2d(points(spark, sf), ["run"], "cost", "perf", (200.0, 101.0))
