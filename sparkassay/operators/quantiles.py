@@ -14,9 +14,12 @@ from .ordering import SLICE, null_safe_alias, with_slices
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: Column, qs: dict[str, float], slices: int | None = None
+    df: DataFrame, keys: list[str], value: Column, qs: dict, slices: int | None = None
 ) -> DataFrame:
-    """One row per key with one column per entry of ``qs`` (name -> level); NULL values are ignored."""
+    """One row per key with one column per entry of ``qs`` (name -> level); NULL values are ignored.
+
+    A level may be a column of the keys, or a function from the row count to a 0-based position.
+    """
     counted = (
         df.select(*keys, value.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
@@ -34,7 +37,11 @@ def exact_quantiles(
     names = list(qs)
     spots = []
     for i, name in enumerate(names):
-        at = F.lit(float(qs[name])) * (F.col("_total") - 1)
+        level = qs[name]
+        if callable(level) and not isinstance(level, Column):
+            at = level(F.col("_total")).cast("double")
+        else:
+            at = (level if isinstance(level, Column) else F.lit(float(level))) * (F.col("_total") - 1)
         low = F.floor(at)
         for side, rank in (("lo", low), ("hi", F.least(low + 1, F.col("_total") - 1))):
             spots.append(
