@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import margin_coverage_calibration, p_calibrate, quantile_shift
+from ..session import durable
 
 
 def _leaves(model: RandomForestRegressionModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -126,8 +127,7 @@ def hetero_margin_model(
     routed = _leaves(mean, weighted, ["y", "_wm"])
     means = routed.groupBy("tree", "leaf").agg((F.sum(F.col("y") * F.col("_wm")) / F.sum("_wm")).alias("m"))
     model = MarginModel(mean, log_var, means)
-    fit = margin_coverage_calibration(
-        model.predict(calib).select("gidx", "mu", "var"), calib_margins, gamma, family, df
-    ).first()
+    predicted = durable(model.predict(calib).select("gidx", "mu", "var"))
+    fit = margin_coverage_calibration(predicted, calib_margins, gamma, family, df).first()
     model.bias, model.scale = float(fit["bias"]), float(fit["scale"])
     return model

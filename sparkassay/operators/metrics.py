@@ -158,12 +158,10 @@ def margin_coverage_calibration(
     # the smallest scale that covers gamma is the order statistic at rank ceil(gamma n)
     need = exact_quantiles(ratios, [], F.col("_r"), {"s": lambda n: F.ceil(F.lit(gamma) * n) - 1}).scalar()
     scale = F.coalesce(clip(need, *bounds), F.lit(1.0))
-    return ratios.agg(
-        F.coalesce(bias, F.lit(0.0)).alias("bias"),
-        scale.alias("scale"),
-        F.avg((F.col("_r") <= scale).cast("double")).alias("coverage"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    # the comparison is projected before the aggregate, as predictions of a model may not be repeatable
+    flagged = ratios.select((F.col("_r") <= scale).cast("double").alias("_in"))
+    out = flagged.agg(F.avg("_in").alias("coverage"), F.count(F.lit(1)).alias("n"))
+    return out.select(F.coalesce(bias, F.lit(0.0)).alias("bias"), scale.alias("scale"), "coverage", "n")
 
 
 def quantile_crossing(quantiles: DataFrame) -> DataFrame:
