@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CAMPAIGN_ROW, JOB_PLAN, TRACE_DOCUMENT
@@ -35,25 +35,39 @@ def count_check(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return both.where(~F.col("rows").eqNullSafe(F.col("planned"))).select("job", "planned", "rows")
 
 
-def digest_check(spark: SparkSession, root: str) -> DataFrame:
-    """sha256 of every shard against its side-car: (file, recorded, actual, ok)."""
-    stem = lambda c: F.regexp_replace(c, r"(\.sha256\.json|\.jsonl)$", "")
-    files = (
+def _stem(c) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"^file:/+", "/"), r"(\.sha256\.json|\.jsonl?)$", "")
+
+
+def shard_digests(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """sha256 of every shard: (file, actual). A shard is one record, hashed where it is read."""
+    return (
         spark.read.format("binaryFile")
-        .load(f"{root}/*/sample-shards/*.jsonl")
-        .select(stem(F.col("path")).alias("file"), F.sha2("content", 256).alias("actual"))
+        .load(f"{root}/*/sample-shards/{pattern}")
+        .select(_stem(F.col("path")).alias("file"), F.sha2("content", 256).alias("actual"))
     )
-    notes = (
+
+
+def recorded_digests(spark: SparkSession, root: str) -> DataFrame:
+    return (
         spark.read.schema("sha256 STRING")
         .option("multiLine", True)
         .json(f"{root}/*/sample-shards/*.sha256.json")
-        .select(stem(F.col("_metadata.file_path")).alias("file"), F.col("sha256").alias("recorded"))
+        .select(_stem(F.col("_metadata.file_path")).alias("file"), F.col("sha256").alias("recorded"))
     )
-    tail = lambda d: d.withColumn("file", F.regexp_replace("file", r"^file:/*", "/"))
-    both = tail(files).join(tail(notes), "file", "full")
+
+
+def compare_digests(shards: DataFrame, notes: DataFrame) -> DataFrame:
+    """(file, recorded, actual, ok); a shard or a side-car alone is not ok."""
+    both = shards.join(notes, "file", "full")
     return both.withColumn("ok", F.coalesce(F.col("actual") == F.col("recorded"), F.lit(False)))
 
 
+def digest_check(spark: SparkSession, root: str) -> DataFrame:
+    """sha256 of every shard against its side-car."""
+    return compare_digests(shard_digests(spark, root), recorded_digests(spark, root))
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """One row per episode document; each file is one record, so files spread over tasks."""
     return spark.read.schema(TRACE_DOCUMENT).option("multiLine", True).json(path)

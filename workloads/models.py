@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparkassay.models import margins as MM
@@ -14,7 +15,7 @@ from sparkassay.plans import loops as L
 
 from .adapters import EP_ORDER, EP_ORDER_SQL, EP_SQL, by_part, episodes, table
 from .audit import RES_SQL, results
-from .rare import CUTS, job_rows, jobs, rounded
+from .rare import CUTS, MODE_OUT, MODE_ROUND, MODE_SQL, job_rows, jobs, rounded
 from .registry import query
 
 COLS = ["p_size", "p_retailprice", "brand"]
@@ -48,11 +49,13 @@ def parts(spark, sf):
     return d.where("split = 'train'"), d.where("split = 'calib'")
 
 
-@query("feature_vector")
+@query(
+    "feature_vector",
+    """SELECT p_partkey AS gidx, p_size::DOUBLE AS f0, p_retailprice AS f1, regexp_extract(p_brand, '(\\d+)', 1)::DOUBLE AS f2 FROM part""",
+)
 def feature_vector(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    return designs(spark, sf).select("gidx", F.array_join(vector_to_array("features").cast("array<string>"), ",").alias("features"))
+    v = vector_to_array("features")
+    return designs(spark, sf).select("gidx", *[v[i].alias(f"f{i}") for i in range(len(COLS))])
 
 
 @query("rf_safety")
@@ -173,12 +176,17 @@ def offline_labels_split(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("designs"))
 
 
-@query("replay_campaign")
+@query(
+    "replay_campaign",
+    f"""WITH RECURSIVE {MODE_SQL.replace("failure AND right(route_signature, 1) = '1' AS hit", "failure AS hit")} SELECT {MODE_OUT},
+  CASE WHEN scheme = 'nominal_mc' THEN 'mc_exact' WHEN events >= 20 AND event_ess >= 20 AND max_contrib <= 0.2 AND rse <= 0.25 THEN 'precise'
+    ELSE 'imprecise_exploratory' END AS status FROM mode""",
+)
 def replay_campaign(spark, sf):
     sig = F.substring("route_signature", 1, 1)
     rows = job_rows(spark, sf).withColumn("route_signature", F.when(sig == F.col("job"), "principal").otherwise("other"))
     out = J.replay_campaign(rows, jobs(spark, sf), "principal")
-    return out.withColumn("failed_gates", F.array_join("failed_gates", ","))
+    return rounded(out.drop("failed_gates"), MODE_ROUND)
 
 
 @query("replay_families")

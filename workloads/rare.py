@@ -506,3 +506,26 @@ def zero_failure_budget(spark, sf):
     return per.select("gidx", "n", B.zero_failure_budget(F.col("p"), F.lit(0.05)).alias("budget"))
 
 
+
+
+@query(
+    "shard_digest_check",
+    """SELECT l_returnflag AS job, count(*) AS rows, TRUE AS ok FROM lineitem GROUP BY 1
+UNION ALL SELECT 'tampered', 0, FALSE""",
+)
+def shard_digest_check(spark, sf):
+    """One shard per job with its digest beside it; an extra side-car has no shard."""
+    root = scratch_path(spark, "digests")
+    rows = job_rows(spark, sf).select("job", "route_signature", "failure")
+    jobs_ = ["A", "N", "R"]
+    for job in jobs_:
+        rows.where(F.col("job") == job).repartition(2).write.json(f"{root}/{job}/sample-shards")
+    shards = campaigns.shard_digests(spark, root, "*.json")
+    notes = shards.select("file", F.col("actual").alias("recorded")).unionByName(
+        shards.limit(1).select(F.lit("tampered/x").alias("file"), F.lit("00").alias("recorded"))
+    )
+    checked = campaigns.compare_digests(shards, notes)
+    job = F.when(F.col("file").startswith("tampered"), "tampered").otherwise(F.element_at(F.split("file", "/"), -3))
+    per = checked.groupBy(job.alias("job")).agg(F.min("ok").alias("ok"))
+    counts = campaigns.read_rows(spark, root, "*.json").groupBy("job").agg(F.count(F.lit(1)).alias("rows"))
+    return per.join(counts, "job", "left").select("job", F.coalesce("rows", F.lit(0)).alias("rows"), "ok")

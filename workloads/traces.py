@@ -519,3 +519,36 @@ def proposal_params(spark, sf):
     return rounded(out, {c: 9 for c in ("delay_min", "delay_avg", "jitter", "drop", "miss_scale", "trigger_mean_add", "trigger_var_scale")})
 
 
+
+
+@query(
+    "trace_scan",
+    f"""WITH {MS_SQL} SELECT episode, count(*) AS n, min(dist) AS min_d, max(t) - min(t) AS duration FROM ms GROUP BY episode""",
+)
+def trace_scan(spark, sf):
+    """Episode documents written from the events (one file each) and read back with the trace schema."""
+    from sparkassay.session import scratch_path
+    from sparkassay.sources import campaigns
+
+    path = scratch_path(spark, "traces")
+    item = F.struct("t", "event_id", "dist")
+    docs = records(spark, sf).groupBy("episode").agg(F.array_sort(F.collect_list(item)).alias("a"))
+    block = F.struct(F.col("a.t").alias("t"), F.col("a.dist").alias("dist_to_target"))
+    perception = F.struct(F.create_map(F.lit("target"), block).alias("blocks"))
+    docs = docs.select(
+        F.struct(
+            F.element_at("a.t", 1).alias("t_start"), F.element_at("a.t", -1).alias("t_end"), F.lit(0.01).alias("delta_t"),
+            F.lit("end").alias("cause"), F.col("episode").cast("string").alias("name"),
+        ).alias("scenario"),
+        F.struct(perception.alias("perception_data")).alias("ego"),
+        F.lit(6).alias("version"),
+    )
+    docs.write.option("maxRecordsPerFile", 1).json(path)
+    got = campaigns.read_traces(spark, path)
+    block = F.col("ego.perception_data.blocks")["target"]
+    return got.select(
+        F.col("scenario.name").cast("bigint").alias("episode"),
+        F.size(block["t"]).cast("bigint").alias("n"),
+        F.array_min(block["dist_to_target"]).alias("min_d"),
+        (F.col("scenario.t_end") - F.col("scenario.t_start")).alias("duration"),
+    )
