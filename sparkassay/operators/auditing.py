@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from ..functions.binomial import passing_failures, with_cp_upper
 from ..functions.numeric import is_finite
 from ..functions.seeds import fresh_seed, hash_int, plan_counter
+from ..session import default_slices
 from .designs import accept_threshold
 from .episodes import keep_first
-from .ordering import row_numbers
+from .ordering import row_numbers, slice_bounds
 from .reconcile import set_difference
 
 
@@ -106,7 +107,9 @@ def plan_load(plans: DataFrame) -> DataFrame:
     )
 
 
-def reuse_assign(plan: DataFrame, prior: DataFrame, prior_order: list[str]) -> DataFrame:
+def reuse_assign(
+    plan: DataFrame, prior: DataFrame, prior_order: list[str], trial_bounds: list | None = None
+) -> DataFrame:
     """k-th planned job of a (design, scenario) takes its k-th cached episode, first in first out.
 
     ``plan``: trial_index, gidx, scenario, seed. ``prior``: ep_uid, gidx, scenario, stage_id and the
@@ -115,10 +118,11 @@ def reuse_assign(plan: DataFrame, prior: DataFrame, prior_order: list[str]) -> D
     """
     keys = ["gidx", "scenario"]
     once = keep_first(prior, ["ep_uid"], prior_order)
-    cached = row_numbers(once, keys, prior_order, "_rn").select(
+    limits = slice_bounds(prior, prior_order[0], default_slices(prior.sparkSession))
+    cached = row_numbers(once, keys, prior_order, "_rn", bounds=limits).select(
         *keys, "_rn", "ep_uid", F.col("stage_id").alias("reused_from_stage")
     )
-    jobs = row_numbers(plan, keys, ["trial_index"], "_rn")
+    jobs = row_numbers(plan, keys, ["trial_index"], "_rn", bounds=trial_bounds)
     return jobs.join(cached, [*keys, "_rn"]).drop("_rn")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import with_cp_lower, with_cp_upper
 from ..functions.numeric import ratio, safe_exp
+from ..session import small_side
 from .estimators import is_estimate, stratified_estimate, z_two_sided
 
 # Family names and cuts, and the signature of the principal failure mode.
@@ -226,7 +227,7 @@ def scheme_violations(rows: DataFrame, jobs: DataFrame) -> DataFrame:
         .when((F.col("scheme") == "iid_single_proposal") & has, "component_on_iid_job")
     )
     return (
-        rows.join(jobs.select("job", "scheme"), "job")
+        rows.join(small_side(jobs.select("job", "scheme")), "job")
         .withColumn("rule", rule)
         .where("rule IS NOT NULL")
         .groupBy("job", "rule")
@@ -243,9 +244,10 @@ MODE_COLUMNS = [
 def mode_estimate(rows: DataFrame, jobs: DataFrame, hit: Column) -> DataFrame:
     """One event per job, each job with the estimator of its sampling scheme.
 
-    The job list decides; rows are filtered per scheme with a semi-join-like equi-join on the job key.
+    A job may hold most of the rows, so the job list is broadcast (after a size check) instead of
+    shuffling the rows by job.
     """
-    tagged = rows.withColumn("_hit", hit).join(jobs.select("job", "scheme"), "job")
+    tagged = rows.withColumn("_hit", hit).join(small_side(jobs.select("job", "scheme")), "job")
     null = F.lit(None).cast("double")
     mixed = tagged.where(F.col("scheme") == "deterministic_mixture")
     strat = stratified_estimate(mixed, ["job", "scheme"], "sampling_component", F.col("_hit"), F.col("failure"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import beta_quantile
 from ..functions.numeric import clip, is_finite
+from ..session import small_side
 from .ordering import running, slice_number
 from .quantiles import exact_quantiles
 
@@ -65,8 +66,8 @@ def quantile_deltas(predictions: DataFrame) -> DataFrame:
     """Residual quantile per level and the coverage before and after adding it: input (q, pred, y)."""
     res = predictions.withColumn("_r", F.col("y") - F.col("pred"))
     delta = exact_quantiles(res, ["q"], F.col("_r"), {"delta": F.col("q")})
-    # few levels, so the table of deltas is joined back by Spark's own size-checked broadcast
-    cover = res.join(delta, "q")
+    # one row per level; a shuffle on so few keys would pile all rows up in a few tasks
+    cover = res.join(small_side(delta), "q")
     return cover.groupBy("q").agg(
         F.first("delta").alias("delta"),
         F.avg((F.col("y") <= F.col("pred")).cast("double")).alias("cov_pre"),

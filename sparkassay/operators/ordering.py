@@ -79,13 +79,15 @@ def running(
     *,
     slices: int | None = None,
     include_current: bool = True,
+    bounds: list | None = None,
 ) -> DataFrame:
     """Add running count / sum / min / max columns per key in the given total order.
 
     ``measures`` maps an output name to (kind, expression). With ``include_current=False`` the frame
-    ends one row before the current one.
+    ends one row before the current one. ``bounds`` are slice limits from a cheaper table with a similar
+    spread; they affect the balance of the slices, never the result.
     """
-    cut = with_slices(df, order[0], slices)
+    cut = with_slices(df, order[0], slices, bounds)
     end = 0 if include_current else -1
     local_w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     before_w = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -117,9 +119,11 @@ def null_safe_alias(left: str, right: str, keys: list[str]) -> Column:
     return cond
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, slices: int | None = None) -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: list[str], order: list[str], out: str, slices: int | None = None, bounds: list | None = None
+) -> DataFrame:
     """1-based position of each row within its key."""
-    return running(df, keys, order, {out: ("count", F.lit(1))}, slices=slices)
+    return running(df, keys, order, {out: ("count", F.lit(1))}, slices=slices, bounds=bounds)
 
 
 def with_neighbours(

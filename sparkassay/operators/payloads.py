@@ -15,22 +15,29 @@ def decode(df: DataFrame, column: str = "payload_json") -> DataFrame:
     return df.withColumn("payload", F.from_json(column, PAYLOAD)).drop(column)
 
 
-def metric(path: str, column: str = "payload_json") -> Column:
-    """The finite number at a dotted path; anything else is NULL.
+def _text_schema(paths: list[list[str]]) -> T.DataType:
+    """Smallest schema that holds the given paths, with text leaves."""
+    if any(not p for p in paths):
+        return T.StringType()
+    heads = dict.fromkeys(p[0] for p in paths)
+    return T.StructType([T.StructField(h, _text_schema([p[1:] for p in paths if p[0] == h]), True) for h in heads])
+
+
+def metrics(df: DataFrame, paths: dict[str, str], column: str = "payload_json") -> DataFrame:
+    """Add the finite numbers at dotted paths (name -> path) from one parse; anything else is NULL.
 
     ``from_json`` keeps working where a document holds a bare NaN, unlike ``get_json_object``.
     """
-    parts = path.split(".")
-    schema: T.DataType = T.StringType()
-    for p in reversed(parts):
-        schema = T.StructType([T.StructField(p, schema, True)])
-    leaf = F.from_json(column, schema)
-    for p in parts:
-        leaf = leaf[p]
-    number = (
-        F.when(leaf == "true", F.lit(1.0)).when(leaf == "false", F.lit(0.0)).otherwise(leaf.try_cast("double"))
-    )
-    return finite_or_null(number)
+    split = {name: path.split(".") for name, path in paths.items()}
+    parsed = df.withColumn("_doc", F.from_json(column, _text_schema(list(split.values()))))
+    cols = {}
+    for name, parts in split.items():
+        leaf = F.col("_doc")
+        for p in parts:
+            leaf = leaf[p]
+        truth = F.when(leaf == "true", F.lit(1.0)).when(leaf == "false", F.lit(0.0))
+        cols[name] = finite_or_null(truth.otherwise(leaf.try_cast("double")))
+    return parsed.withColumns(cols).drop("_doc")
 
 
 def flatten(features: DataFrame) -> DataFrame:
@@ -79,4 +86,4 @@ def margin(min_d: Column, d_safe: float) -> Column:
     return min_d - F.lit(d_safe)
 
 
-__all__ = ["decode", "metric", "flatten", "unsafe", "strict", "margin", "lit_inf"]
+__all__ = ["decode", "metrics", "flatten", "unsafe", "strict", "margin", "lit_inf"]

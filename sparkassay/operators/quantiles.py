@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import SLICE, null_safe_alias, with_slices
+from ..session import default_slices
+from .ordering import SLICE, null_safe_alias, slice_bounds, with_slices
 
 
 def exact_quantiles(
@@ -20,13 +21,10 @@ def exact_quantiles(
 
     A level may be a column of the keys, or a function from the row count to a 0-based position.
     """
-    counted = (
-        df.select(*keys, value.cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cut = with_slices(counted, "_v", slices)
+    values = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    bounds = slice_bounds(values, "_v", slices or default_slices(df.sparkSession))
+    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cut = with_slices(counted, "_v", bounds=bounds)
     per_slice = cut.groupBy(*keys, SLICE).agg(F.sum("_n").alias("_sn"))
     kw = Window.partitionBy(*keys)
     before = kw.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)

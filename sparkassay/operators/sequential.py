@@ -160,17 +160,16 @@ def label_summary(
     ``scenarios``: the distinct scenarios. The grid is never multiplied by the scenarios: undecided
     designs come from the labels, and absent ones are the grid total minus the labelled designs in it.
     """
-    inside = labels.join(designs.select("gidx").distinct(), "gidx", "left_semi")
+    grid = designs.select("gidx").distinct().withColumn("_g", F.lit(True))
     need = remaining(F.col("n"), F.col("k"), rule)
-    seen = inside.groupBy("scenario").agg(
-        F.count(F.lit(1)).alias("_in"),
-        F.count_if(F.col("label").isNotNull()).alias("grid_labelled"),
-        F.sum(F.when(F.col("label").isNull(), need).otherwise(0)).alias("_open_need"),
-    )
-    everywhere = labels.groupBy("scenario").agg(
+    decided, inside = F.col("label").isNotNull(), F.coalesce("_g", F.lit(False))
+    everywhere = labels.join(grid, "gidx", "left").groupBy("scenario").agg(
         F.count(F.lit(1)).alias("designs"),
-        F.count_if(F.col("label").isNotNull()).alias("labelled"),
-        F.count_if(F.col("label").isNull()).alias("insufficient"),
+        F.count_if(decided).alias("labelled"),
+        F.count_if(~decided).alias("insufficient"),
+        F.count_if(inside).alias("_in"),
+        F.count_if(inside & decided).alias("grid_labelled"),
+        F.sum(F.when(inside & ~decided, need).otherwise(0)).alias("_open_need"),
     )
     unsafe = labels.where("label = 0").select("scenario", "gidx")
     span = (
@@ -179,7 +178,7 @@ def label_summary(
         .agg(F.min("min_d").alias("min_d_lo"), F.max("min_d").alias("min_d_hi"))
     )
     total = designs.agg(F.count_distinct("gidx").alias("n")).scalar()
-    out = scenarios.join(everywhere, "scenario", "left").join(seen, "scenario", "left").join(span, "scenario", "left")
+    out = scenarios.join(everywhere, "scenario", "left").join(span, "scenario", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return out.select(
         "scenario",

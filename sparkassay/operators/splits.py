@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeds import hash_int
+from ..session import small_side
 from .ordering import row_numbers
 
 SPLITS = ("calib", "test", "train")
@@ -40,7 +41,7 @@ def stratified_split(labels: DataFrame, calib: float, test: float, seed: int) ->
     where = (
         F.when(F.col("_rn") <= n_calib, "calib").when(F.col("_rn") <= n_calib + n_test, "test").otherwise("train")
     )
-    return ranked.join(sizes, "label").select("gidx", "label", where.alias("split"))
+    return ranked.join(small_side(sizes), "label").select("gidx", "label", where.alias("split"))
 
 
 def split_labels_filter(labels: DataFrame, splits: DataFrame, split: str) -> DataFrame:

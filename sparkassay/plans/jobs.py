@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gates as G
+from ..session import small_side
 from ..operators import aggregates, auditing, families, reconcile, sequential, splits
 
 
@@ -19,7 +20,7 @@ def replay_campaign(rows: DataFrame, jobs: DataFrame, signature: str = families.
 
 def replay_families(rows: DataFrame, jobs: DataFrame, **cuts) -> DataFrame:
     """Family estimates of every job under its own scheme, with their precision status."""
-    tagged = rows.join(jobs.select("job", "scheme"), "job")
+    tagged = rows.join(small_side(jobs.select("job", "scheme")), "job")
     out = None
     for scheme, estimator in families.FAMILY_SCHEME.items():
         mine = tagged.where(F.col("scheme") == scheme)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,6 +39,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast after checking that it has at most ``max_rows`` rows.
+
+    A larger one is returned as it is, and the join becomes a shuffle join with AQE's skew handling.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def default_slices(spark: SparkSession) -> int:
     """Slices of one ordered key: the next power of two above the shuffle width, 16 to 4096."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

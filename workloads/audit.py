@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sparkassay.functions import seeds as SD
 from sparkassay.operators import auditing as A
 from sparkassay.operators import designs as D
+from sparkassay.operators.ordering import slice_bounds
+from sparkassay.session import default_slices
 
 from .adapters import table
 from .designs import P_SAFE_SQL, p_safe_rows
@@ -116,7 +118,8 @@ reuse AS (SELECT trial_index, gidx, scenario, ep_uid, reused_from_stage FROM j J
 
 def reuse(spark, sf):
     plan = A.trial_plan(scores(spark, sf), STAGES[0], SCEN, trials(spark, sf))
-    return plan, A.reuse_assign(plan, prior(spark, sf), PRIOR_ORDER)
+    limits = slice_bounds(trials(spark, sf), "trial_index", default_slices(spark))
+    return plan, A.reuse_assign(plan, prior(spark, sf), PRIOR_ORDER, limits)
 
 
 @query("reuse_assign", f"WITH {REUSE_SQL} SELECT * FROM reuse")

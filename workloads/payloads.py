@@ -42,14 +42,9 @@ def documents(spark, sf):
 FROM doc""",
 )
 def payload_metric(spark, sf):
-    return documents(spark, sf).select(
-        "ep_uid",
-        "gidx",
-        "part",
-        P.metric("kpi.aoi_avg").alias("aoi"),
-        P.metric("safety_m.crash").alias("crash"),
-        P.metric("safety_m.min_d").alias("min_d"),
-    )
+    paths = {"aoi": "kpi.aoi_avg", "crash": "safety_m.crash", "min_d": "safety_m.min_d"}
+    docs = documents(spark, sf).select("ep_uid", "gidx", "part", "payload_json")
+    return P.metrics(docs, paths).drop("payload_json")
 
 
 @query(
@@ -58,7 +53,8 @@ def payload_metric(spark, sf):
   count(*) FILTER (WHERE NOT coalesce(doc_min_d >= 0.5, FALSE)) AS unsafe FROM doc GROUP BY ALL""",
 )
 def violation_flag(spark, sf):
-    rows = documents(spark, sf).select("gidx", "scenario", P.metric("safety_m.min_d").alias("min_d"))
+    docs = documents(spark, sf).select("gidx", "scenario", "payload_json")
+    rows = P.metrics(docs, {"min_d": "safety_m.min_d"})
     return rows.groupBy("gidx", "scenario").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(P.unsafe(F.col("min_d"), D_SAFE)).alias("unsafe")
     )
@@ -85,8 +81,9 @@ def violation_flag_strict(spark, sf):
     f"WITH {DOC_SQL} SELECT ep_uid, gidx, part, round(doc_min_d - 0.5, 9) AS margin FROM doc",
 )
 def episode_margin(spark, sf):
-    m = P.margin(P.metric("safety_m.min_d"), D_SAFE)
-    return documents(spark, sf).select("ep_uid", "gidx", "part", F.round(m, 9).alias("margin"))
+    docs = documents(spark, sf).select("ep_uid", "gidx", "part", "payload_json")
+    rows = P.metrics(docs, {"min_d": "safety_m.min_d"})
+    return rows.select("ep_uid", "gidx", "part", F.round(P.margin(F.col("min_d"), D_SAFE), 9).alias("margin"))
 
 
 # margins per part x supplier group: small groups, some with a single row
