@@ -61,12 +61,11 @@ def _put(df: DataFrame, root: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
 
-def _read(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
-    """Rows of earlier batches; an absent folder is an empty table."""
-    if before == 0:
+def _earlier(spark: SparkSession, root: str, batch: int, schema) -> DataFrame:
+    """Rows that batches before ``batch`` stored; a retried batch never sees its own first attempt."""
+    if batch == 0:
         return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    df = spark.read.option("basePath", root).schema(schema.add("batch", "int") if "batch" not in schema.names else schema).parquet(root)
-    return df if before is None else df.where(F.col("batch") < before)
+    return spark.read.parquet(root).where(F.col("batch") < batch)
 
 
 def stream_sprt(
@@ -85,7 +84,7 @@ def stream_sprt(
         slim = batch.select(*keys, *[c for c in order if c not in keys], unsafe.cast("int").alias("_u"))
         schema = slim.select(*keys, F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit("").alias("mode")).schema
         old = (
-            _read(spark, target, schema, before=number)
+            _earlier(spark, target, number, schema)
             .groupBy(*keys)
             .agg(F.max_by(F.struct("n", "k", "mode"), "batch").alias("s"))
             .select(*keys, "s.n", "s.k", "s.mode")
