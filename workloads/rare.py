@@ -158,7 +158,7 @@ def vector_sql(scheme: str) -> str:
                 var.append(f"{ga} * {gb} * v{min(a, b)}{max(a, b)}")
         rows.append(
             f"SELECT job, n, '{f}' AS family, c{i} AS events, s{i} / n AS est, sqrt(v{i}{i}) AS se, "
-            f"sqrt(v{i}{i}) / nullif(s{i} / n, 0) AS rse, s{i} * s{i} / q{i} AS ess, m{i} / s{i} AS mc, s{i} / tot AS share, "
+            f"sqrt(v{i}{i}) / nullif(s{i} / n, 0) AS rse, s{i} * s{i} / nullif(q{i}, 0) AS ess, m{i} / nullif(s{i}, 0) AS mc, s{i} / tot AS share, "
             f"sqrt(greatest(0, {' + '.join(var)})) AS share_se FROM b"
         )
     return f"""{VEC_SQL}, {cov_sql(scheme)}, b AS (SELECT *, s0 + s1 + s2 AS tot FROM a JOIN c USING (job)),
@@ -166,10 +166,12 @@ vec AS ({' UNION ALL '.join(rows)})"""
 
 
 ZS = E.z_two_sided(0.05 / 3)
+# a family without weight has the interval (0, NULL), no relative error and ESS 0
 FAMILY_OUT = f"""SELECT job, n, family, events, round(est, 9) AS estimate, round(se, 9) AS se, round(rse, 9) AS rse,
-  round(ess, 6) AS ess, round(mc, 9) AS max_contrib, round(exp(ln(est) - {Z!r} * rse), 9) AS ci_lo,
-  round(least(1, exp(ln(est) + {Z!r} * rse)), 9) AS ci_hi, round(exp(ln(est) - {ZS!r} * rse), 9) AS sim_lo,
-  round(least(1, exp(ln(est) + {ZS!r} * rse)), 9) AS sim_hi FROM vec"""
+  coalesce(round(ess, 6), 0) AS ess, round(mc, 9) AS max_contrib, coalesce(round(exp(ln(nullif(est, 0)) - {Z!r} * rse), 9), 0) AS ci_lo,
+  CASE WHEN est > 0 THEN round(least(1, exp(ln(nullif(est, 0)) + {Z!r} * rse)), 9) END AS ci_hi,
+  coalesce(round(exp(ln(nullif(est, 0)) - {ZS!r} * rse), 9), 0) AS sim_lo,
+  CASE WHEN est > 0 THEN round(least(1, exp(ln(nullif(est, 0)) + {ZS!r} * rse)), 9) END AS sim_hi FROM vec"""
 FAMILY_ROUND = {c: 9 for c in ("estimate", "se", "rse", "max_contrib", "ci_lo", "ci_hi", "sim_lo", "sim_hi")} | {"ess": 6}
 FAMILY_COLS = ["job", "n", "family", "events", "estimate", "se", "rse", "ess", "max_contrib", "ci_lo", "ci_hi", "sim_lo", "sim_hi"]
 
@@ -217,9 +219,11 @@ def family_aggregate(spark, sf):
 
 @query(
     "conditional_share",
-    f"""WITH {vector_sql('iid')}, l AS (SELECT *, ln(share / (1 - share)) AS lg, {Z!r} * share_se / (share * (1 - share)) AS hw FROM vec)
+    f"""WITH {vector_sql('iid')}, l AS (SELECT * EXCLUDE (share_se), CASE WHEN share > 0 AND share < 1 THEN share_se END AS share_se,
+  CASE WHEN share > 0 AND share < 1 THEN ln(share / (1 - share)) END AS lg FROM vec),
+l2 AS (SELECT *, {Z!r} * share_se / (share * (1 - share)) AS hw FROM l)
 SELECT job, family, round(share, 9) AS share, round(share_se, 9) AS se, round(1 / (1 + exp(-(lg - hw))), 9) AS ci_lo,
-  round(1 / (1 + exp(-(lg + hw))), 9) AS ci_hi FROM l""",
+  round(1 / (1 + exp(-(lg + hw))), 9) AS ci_hi FROM l2""",
 )
 def conditional_share(spark, sf):
     vec = FM.family_vector(sums(spark, sf, "iid_is"), ["job"], "iid_is")
@@ -341,7 +345,8 @@ def mode_estimate(spark, sf):
     CASE WHEN events < 20 THEN 'minimum_event_paths' END], lambda x: x IS NOT NULL), ',') AS weighted FROM mode)
 SELECT job, CASE WHEN events = 0 THEN 'not_observed' WHEN scheme = 'nominal_mc' THEN 'mc_exact_but_imprecise'
     WHEN weighted = '' THEN 'precise' ELSE 'imprecise_exploratory' END AS status,
-  CASE WHEN scheme = 'nominal_mc' THEN 'maximum_relative_standard_error' ELSE weighted END AS failed_gates,
+  CASE WHEN scheme = 'nominal_mc' THEN 'maximum_relative_standard_error' || CASE WHEN events < 20 THEN ',minimum_event_paths' ELSE '' END
+    ELSE weighted END AS failed_gates,
   CASE WHEN scheme = 'nominal_mc' THEN 'mc_exact' WHEN weighted = '' THEN 'precise' ELSE 'imprecise_exploratory' END AS mode_status
 FROM g""",
 )
