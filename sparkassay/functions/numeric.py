@@ -45,11 +45,3 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 def number_key(x: Column) -> Column:
     """Canonical text of a number, so that 0.20 and 0.2 (and -0.0 and 0) meet in an equi-join."""
     return F.when(x == 0, F.lit("0")).otherwise(x.cast("double").cast("string"))
-
-
-def null_safe(left, right, keys):
-    """Null-safe equality over several key columns of two aliased frames."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond

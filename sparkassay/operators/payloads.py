@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import finite_or_null, is_finite, lit_inf
+from ..functions.numeric import finite_or_null, is_finite
 from ..schemas import PAYLOAD
 
 
@@ -86,4 +86,4 @@ def margin(min_d: Column, d_safe: float) -> Column:
     return min_d - F.lit(d_safe)
 
 
-__all__ = ["decode", "metrics", "flatten", "unsafe", "strict", "margin", "lit_inf"]
+__all__ = ["decode", "metrics", "flatten", "unsafe", "strict", "margin"]

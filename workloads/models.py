@@ -121,8 +121,11 @@ def risk_isotonic(spark, sf):
 def hetero_margin_model(spark, sf):
     d = designs(spark, sf).select("gidx", "features")
     stats = A.margin_stats(margins_of(spark, sf)).join(d, "gidx")
-    held = margins_of(spark, sf).where("gidx % 3 = 0")
-    model = MM.hetero_margin_model(stats.where("gidx % 3 <> 0"), d.where("gidx % 3 = 0"), held, trees=15, depth=5)
+    sp = SP.stratified_split(labels(spark, sf), 0.3, 0.0, 13)
+    train, calib = (sp.where(F.col("split") == s).select("gidx") for s in ("train", "calib"))
+    model = MM.hetero_margin_model(
+        stats.join(train, "gidx"), d.join(calib, "gidx"), margins_of(spark, sf).join(calib, "gidx"), trees=15, depth=5
+    )
     return model.predict(d)
 
 
@@ -144,7 +147,7 @@ def score_grid(spark, sf):
 @query("active_learning_round")
 def active_learning_round(spark, sf):
     d = designs(spark, sf).withColumn("vec", F.array(F.col("p_size") / 50, F.col("brand") / 25))
-    start = labels(spark, sf).where("gidx % 4 = 0")
+    start = SP.stratified_split(labels(spark, sf), 0.25, 0.0, 5).where("split = 'calib'").select("gidx", "label")
     trials = episodes(spark, sf).withColumn("slot", F.col("gidx"))
     trials = by_part(trials)
     # several parts share a supplier's distance rule, so short sequences of one part decide early or stay open
@@ -159,7 +162,8 @@ def active_learning_round(spark, sf):
 def parego_propose(spark, sf):
     p = table(spark, sf, "part")
     cand = p.select(F.col("p_partkey").alias("gidx"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 1000).alias("vec"))
-    hist = p.where("p_partkey % 5 = 0").select(
+    tried = table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
+    hist = p.join(tried, "p_partkey", "left_semi").select(
         F.col("p_partkey").alias("gidx"), F.col("p_size").cast("double").alias("c"), (2000 - F.col("p_retailprice")).alias("f")
     )
     return L.parego_propose(cand, hist, objectives=["c", "f"], seed=11, trees=10)
