@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,21 @@ def default_slices(spark: SparkSession) -> int:
     while slices < width and slices < 4096:
         slices *= 2
     return slices
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark application, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkassay_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    path = os.path.join(folder, "sparkassay_package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for top, dirs, files in os.walk(here):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for name in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(top, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
+    context._sparkassay_shipped = True
