@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import lines
+from sparkassay.session import scratch_path
+
+from . import lines, packing, tokenfiles
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -27,3 +30,16 @@ def op8_line_spread(spark, sf):
     out = lines.remove_boilerplate(table(spark, sf, "documents"), report=True)
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
+@query("op1_packing")
+def op1_packing(spark, sf):
+    files = (public_tokenizers.path(f"byte_bpe_50k.{end}") for end in ("json", "tiktoken"))
+    return packing.pack(table(spark, sf, "documents"), *files, ids=False)
+
+
+@query("op10_token_files")
+def op10_token_files(spark, sf):
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read_token_files(spark, path, ids=False)
