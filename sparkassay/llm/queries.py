@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import lines, packing, tokenfiles
+from . import lines, packing, tokenfiles, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -43,3 +43,22 @@ def op10_token_files(spark, sf):
     path = scratch_path(spark, "token-files")
     tokenfiles.write_token_files(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return tokenfiles.read_token_files(spark, path, ids=False)
+
+
+@query(
+    "op2_warc",
+    f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM f""",
+)
+def op2_warc(spark, sf):
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    files = spark.read.parquet(f"{path}/list").select("path", "length")
+    page = {c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1) for c in ("record_id", "refers_to")}
+    number = {c: F.when(x != "", x).cast("long") for c, x in page.items()}
+    return warc.read_archives(spark, files, payload=False).select(
+        number["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", number["refers_to"].alias("refers_to")
+    )
