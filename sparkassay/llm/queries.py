@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import lines, packing, tokenfiles, warc
+from . import lines, packing, quality, tokenfiles, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -62,3 +62,10 @@ def op2_warc(spark, sf):
     return warc.read_archives(spark, files, payload=False).select(
         number["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", number["refers_to"].alias("refers_to")
     )
+
+
+@query("op4_quality")
+def op4_quality(spark, sf):
+    path = scratch_path(spark, "scored")
+    quality.score(table(spark, sf, "documents"), keep=["doc_id", "lang"]).write.parquet(path)
+    return quality.judge(spark.read.parquet(path)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
