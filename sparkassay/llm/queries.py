@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import lines, packing, quality, tokenfiles, warc
+from . import lines, packing, personal, quality, tokenfiles, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -69,3 +69,9 @@ def op4_quality(spark, sf):
     path = scratch_path(spark, "scored")
     quality.score(table(spark, sf, "documents"), keep=["doc_id", "lang"]).write.parquet(path)
     return quality.judge(spark.read.parquet(path)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+@query("op7_personal")
+def op7_personal(spark, sf):
+    found = personal.find(table(spark, sf, "documents"), keep=["doc_id"])
+    return found.select("doc_id", *[f"n_{k}" for k in personal.KINDS], "base_sha256", "spans")
