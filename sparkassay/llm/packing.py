@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import text as tx
-from .tokens import END_ID, LeadingSpace, end_mark
+from .tokens import END_ID, end_mark, leading_space
 
 SIZE = 2048
 SENTENCE_PENALTY = 8
@@ -135,7 +135,7 @@ def pack(
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
-        encoder = LeadingSpace(tokenizer, ranks)
+        encoder = leading_space(tokenizer, ranks)
         mark, base = end_mark(end_id), TaskContext.get().partitionId() << 32
         packer = Packer(encoder.sentence_end(), size)
         names = [f.name for f in fields]

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .files import write_file
-from .tokens import END_ID, DroppedSpace, end_mark
+from .sampling import distinct_sample
+from .tokens import END_ID, dropped_space, end_mark
 
 MAGIC = b"IDSHARD1"
 SAMPLE_DOCS = 512  # documents the dictionary is trained on
@@ -31,11 +32,10 @@ SHARD_BYTES = 8 << 20
 LEVEL = 3
 
 
-def train_dictionary(docs: DataFrame, encode, key: str, text: str, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, encode, text: str, width: int) -> bytes:
     """A dictionary from the ids of at most ``SAMPLE_DOCS`` documents, those with the smallest hash; empty if too few."""
-    short = docs.filter(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(text).alias("t"))
-    rows = short.orderBy(F.xxhash64("t"), "t").limit(SAMPLE_DOCS).collect()
-    coded = encode([r[0].encode() for r in rows]) if rows else []
+    texts = distinct_sample(docs.filter(F.octet_length(text) <= SAMPLE_BYTES), F.col(text), SAMPLE_DOCS)
+    coded = encode([t.encode() for t in texts])
     samples = [np.frombuffer(c, "<u4").astype(f"<u{width}").tobytes() for c in coded]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s]).as_bytes()
@@ -90,13 +90,13 @@ def write_token_files(
     """
     spark = docs.sparkSession
     width = 2
-    data = train_dictionary(docs, DroppedSpace(tokenizer), key, text, width)
+    data = train_dictionary(docs, dropped_space(tokenizer), text, width)
     write_file(f"{path}/dictionary.bin", data)
     digest = hashlib.sha256(data).digest()
     shared = spark.sparkContext.broadcast(data)
 
     def run(batches):
-        encoder, mark, part = DroppedSpace(tokenizer), end_mark(end_id), TaskContext.get().partitionId()
+        encoder, mark, part = dropped_space(tokenizer), end_mark(end_id), TaskContext.get().partitionId()
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_content_size=True)
         keys, counts, frames, size, shard = [], [], [], 0, 0
 

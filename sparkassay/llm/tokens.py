@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import re
 from array import array
@@ -153,5 +154,16 @@ class LeadingSpace:
         return self.whole(first) + middle + self.whole(b" " + parts[-1])
 
 
+@functools.cache
+def dropped_space(path: str) -> DroppedSpace:
+    """One per worker process: the next task finds the words of the last."""
+    return DroppedSpace(path)
+
+
+@functools.cache
+def leading_space(path: str, ranks: str) -> LeadingSpace:
+    return LeadingSpace(path, ranks)
+
+
 def end_mark(end_id: int = END_ID) -> bytes:
     return _bytes([end_id])
