@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import lines, packing, personal, quality, tokenfiles, warc
+from . import jaccard, lines, packing, personal, quality, tokenfiles, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -75,3 +75,8 @@ def op4_quality(spark, sf):
 def op7_personal(spark, sf):
     found = personal.find(table(spark, sf, "documents"), keep=["doc_id"])
     return found.select("doc_id", *[f"n_{k}" for k in personal.KINDS], "base_sha256", "spans")
+
+
+@query("op3_jaccard")
+def op3_jaccard(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
