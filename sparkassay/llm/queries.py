@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import jaccard, lines, packing, personal, quality, tokenfiles, warc
+from . import forest, jaccard, lines, packing, personal, quality, tokenfiles, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -80,3 +80,8 @@ def op7_personal(spark, sf):
 @query("op3_jaccard")
 def op3_jaccard(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op5_forest")
+def op5_forest(spark, sf):
+    return forest.nearest(table(spark, sf, "embeddings"))
