@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import forest, jaccard, lines, packing, personal, quality, tokenfiles, warc
+from . import forest, jaccard, lines, packing, personal, quality, repeats, tokenfiles, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -85,3 +85,8 @@ def op3_jaccard(spark, sf):
 @query("op5_forest")
 def op5_forest(spark, sf):
     return forest.nearest(table(spark, sf, "embeddings"))
+
+
+@query("op6_repeats")
+def op6_repeats(spark, sf):
+    return repeats.remove_repeats(table(spark, sf, "documents"), with_text=False)
