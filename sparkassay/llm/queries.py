@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import forest, jaccard, lines, packing, personal, quality, repeats, tokenfiles, warc
+from . import forest, jaccard, lines, packing, personal, quality, repeats, tokenfiles, transducer, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -90,3 +90,8 @@ def op5_forest(spark, sf):
 @query("op6_repeats")
 def op6_repeats(spark, sf):
     return repeats.remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
+@query("op9_transducer")
+def op9_transducer(spark, sf):
+    return transducer.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
