@@ -313,6 +313,15 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, red
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("body of the text")).mapInArrow(run, schema)
 
 
+def redact_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; all columns keep their names and order."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = {n: f"c{i}" for i, n in enumerate(names)}
+    found = find(plain, own[text], redacted=True)
+    return found.select(*[F.col("redacted" if n == text else own[n]).alias(n) for n in names])
+
+
 def redact(text: str, spans) -> str:
     """Replace the spans; of overlapping ones the union is replaced under the name of the first."""
     out, at = [], 0
