@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from sparkassay.session import durable, scratch_path
 
+from . import bloom
 from . import text as tx
 from .components import components
 
@@ -35,7 +36,6 @@ SHORT_LIST = 16
 COUNTERS = 1 << 20
 SLICE = 1 << 14
 SIGMAS = 8  # above the mean count at which a shingle's list is long
-BLOOM_BITS = 1 << 26
 
 
 def shingle_sets(bodies: pa.Array) -> list[np.ndarray]:
@@ -247,32 +247,21 @@ def _across(batches):
     yield from give(held)
 
 
-def _bloom(values: DataFrame) -> np.ndarray:
-    """A bit per hash of the values of column v: a filter of fixed size, built from at most BLOOM_BITS / 64 words."""
-    word = values.select(F.pmod(F.col("v"), F.lit(BLOOM_BITS)).alias("bit")).groupBy(
-        F.shiftright("bit", 6).alias("word")
-    ).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
-    table = word.toArrow()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _sets(docs: DataFrame, text: str, bloom: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, text: str, members: np.ndarray) -> DataFrame:
     """(class, set) of the classes in the filter, with few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+    shared = docs.sparkSession.sparkContext.broadcast(members)
 
     def run(batches):
         seen, bits = set(), shared.value
         for batch in batches:
             for _, sets in _each(batch, 0):
                 rows = []
-                for s in sets:
-                    if len(s) and (c := class_of(s)) not in seen:
-                        bit = c % BLOOM_BITS
-                        if bits[bit >> 6] >> np.uint64(bit & 63) & np.uint64(1):
-                            seen.add(c)
-                            rows.append((c, s.tobytes()))
+                classes = [class_of(s) for s in sets]
+                wanted = bloom.maybe(bits, np.asarray(classes, np.int64)).tolist()
+                for s, c, ok in zip(sets, classes, wanted):
+                    if ok and len(s) and c not in seen:
+                        seen.add(c)
+                        rows.append((c, s.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "set"])
 
@@ -294,7 +283,7 @@ def _probe(batches):
 def _links(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     pairs = durable(pairs.select("a", "b").distinct())
     ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
-    sets = durable(_sets(docs, text, _bloom(ends)).dropDuplicates(["class"]))
+    sets = durable(_sets(docs, text, bloom.build(ends)).dropDuplicates(["class"]))
     one = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
     return durable(two.select("a", "b", "x", "y").mapInArrow(_probe, "a long, b long"))
@@ -338,3 +327,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return own.select("key", "class", "n").join(named, "class", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are no near duplicate of one with a smaller key, with all their columns.
+
+    Rows with a null key all stay. Rows that are equal in key and text count once for the others, and one of them stays
+    for each key and text only if the key is the smallest of its component: repeated rows stay repeated.
+    """
+    found = near_duplicates(docs, key, text)
+    gone = found.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("k"), F.lit(True).alias("gone")).distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col(f"d.{key}") == F.col("g.k"), "left_anti")
