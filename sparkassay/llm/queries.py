@@ -59,7 +59,7 @@ def op2_warc(spark, sf):
     files = spark.read.parquet(f"{path}/list").select("path", "length")
     page = {c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1) for c in ("record_id", "refers_to")}
     number = {c: F.when(x != "", x).cast("long") for c, x in page.items()}
-    return warc.read_archives(spark, files, payload=False).select(
+    return warc.read_archives(files, payload=False).select(
         number["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", number["refers_to"].alias("refers_to")
     )
 

@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.session import durable
 
+from . import bloom
 from . import text as tx
 from .files import read_range, write_file
 
@@ -33,26 +35,24 @@ BLOCK_BYTES = 4 << 20
 HEADER_BYTES = 1 << 16  # longest record header
 
 
-def with_first(pages: DataFrame, key: str = "page_id", body: str = "html") -> DataFrame:
-    """Columns key, url, body, digest, first: ``first`` is the key of the response that a revisit refers to, or null.
+def _rows(pages: DataFrame, key: str, body: str) -> DataFrame:
+    """k, url, body, digest, and v, a hash of key and digest."""
+    digest = F.sha2(F.coalesce(F.col(body), F.lit("")).cast("binary"), 256).alias("digest")
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(key).alias("k"), url.alias("url"), F.col(body).alias("body"), digest)
+    return rows.withColumn("v", F.xxhash64("k", "digest"))
+
 
-    The rows are dealt by digest once; a payload that a third of all rows share is split by the skew join, as both
-    sides come straight from an exchange.
+def revisits(pages: DataFrame, key: str = "page_id", body: str = "html") -> DataFrame:
+    """(k, digest, first) of the rows that repeat the payload of a smaller key, ``first``; no payload is moved.
+
+    A payload that a third of all rows share is combined before the shuffle, and split by the skew join after it, as
+    both sides come straight from an exchange.
     """
-    digest = F.sha2(F.coalesce(F.col(body), F.lit("")).cast("binary"), 256)
-    size = F.coalesce(F.octet_length(body), F.lit(0))
-    firsts = (
-        pages.filter(size >= REVISIT_BYTES)
-        .select(F.col(key).alias("k"), digest.alias("digest"))
-        .groupBy("digest")
-        .agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("times"))
-        .filter("times > 1")
-        .select("digest", "first")
-    )
-    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col(key).alias("k"), url.alias("url"), F.col(body).alias("body"), digest.alias("digest"))
-    other = F.when(F.col("k").isNull() | (F.col("k") != F.col("first")), F.col("first"))
-    return rows.join(durable(firsts), "digest", "left").select("k", "url", "body", "digest", other.alias("first"))
+    rows = _rows(pages, key, body).filter(F.octet_length("body") >= REVISIT_BYTES).select("k", "digest")
+    firsts = rows.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = durable(firsts.filter("times > 1 and first is not null").select("digest", "first"))
+    return rows.join(firsts, "digest").filter("k is null or k <> first").select("k", "digest", "first").distinct()
 
 
 def record_bytes(key, url, body: bytes, digest: str, first) -> bytes:
@@ -79,18 +79,29 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", body: str
     null key is never the smallest unless all are null. Columns besides key, url and payload are not read.
     """
 
+    other = durable(revisits(pages, key, body))
+    shared = pages.sparkSession.sparkContext.broadcast(bloom.build(other.select(F.xxhash64("k", "digest").alias("v"))))
+
+    def chosen(member: bool):
+        def run(batches):
+            for batch in batches:
+                flags = bloom.maybe(shared.value, batch.column(4).to_numpy())
+                yield batch.filter(pa.array(flags if member else ~flags))
+
+        return run
+
     def run(batches):
         part, n, parts, size, records = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def close():
-            name = f"{path}/archives/{part:06d}-{n:04d}.warc"
+            name = f"{path}/archives/{part:06d}-{n:04d}-{uuid.uuid4().hex[:8]}.warc"
             write_file(name, *parts)
             return pa.RecordBatch.from_pydict(
                 {"path": [name], "length": pa.array([size], pa.int64()), "records": pa.array([records], pa.int64())}
             )
 
         for batch in batches:
-            keys, urls, digests, firsts = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            keys, urls, digests, firsts = (batch.column(i).to_pylist() for i in (0, 1, 3, 5))
             bodies = tx.plain(batch.column(2))
             for i, first in enumerate(firsts):
                 one = record_bytes(keys[i], urls[i], bodies[i].as_py(), digests[i], first)
@@ -102,7 +113,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", body: str
         if records:
             yield close()
 
-    found = with_first(pages, key, body).mapInArrow(run, "path string, length long, records long")
+    # Payloads stay where they are read, but for the rows that the filter takes for revisits: those are joined.
+    rows = _rows(pages, key, body)
+    schema = rows.schema
+    plain = rows.mapInArrow(chosen(False), schema).withColumn("first", F.lit(None).cast(schema["k"].dataType))
+    some = rows.mapInArrow(chosen(True), schema).alias("r").join(
+        other.alias("o"), (F.col("r.digest") == F.col("o.digest")) & F.col("r.k").eqNullSafe(F.col("o.k")), "left"
+    ).select("r.*", "o.first")
+    listed = "path string, length long, records long"
+    found = plain.mapInArrow(run, listed).unionByName(some.mapInArrow(run, listed))
     found.write.mode("overwrite").parquet(f"{path}/list")
 
 
@@ -148,38 +167,36 @@ def candidates(data: bytes, start: int, size: int) -> tuple[np.ndarray, np.ndarr
 
 def _links(frames):
     for frame in frames:
-        for path, start, size in zip(frame["path"], frame["start"], frame["size"]):
+        for file, path, start, size in zip(frame["file"], frame["path"], frame["start"], frame["size"]):
             data = read_range(path, int(start), int(size) + HEADER_BYTES)
             own, leaves = candidates(data, int(start), int(size))
-            yield pd.DataFrame({"path": path, "place": own, "leaves": leaves})
+            yield pd.DataFrame({"file": file, "place": own, "leaves": leaves})
 
 
-def entries(spark: SparkSession, files: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
+def entries(files: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """(path, place): the first record on the chain from the file's start in every block that has one."""
-    blocks = files.filter("length > 0").select(
-        "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))).alias("start")
-    )
-    size = F.least(F.lit(block), F.col("length") - F.col("start"))
-    blocks = blocks.select("path", "start", size.alias("size")).repartition("path", "start")
-    links = durable(blocks.mapInPandas(_links, "path string, place long, leaves long"))
+    named = files.filter("length > 0").select(F.xxhash64("path").alias("file"), "path", "length")
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))).alias("start")
+    size = F.least(F.lit(block), F.col("length") - F.col("start")).alias("size")
+    blocks = named.select("file", "path", "length", start).select("file", "path", "start", size)
+    links = durable(blocks.repartition("file", "start").mapInPandas(_links, "file long, place long, leaves long"))
     # Between blocks only places that some chain leaves to can be entered.
-    targets = links.select("path", F.col("leaves").alias("place")).distinct()
-    jump = durable(links.join(targets, ["path", "place"]).unionByName(links.filter("place = 0")).distinct())
-    reached = links.filter("place = 0").select("path", "place")
+    targets = links.select("file", F.col("leaves").alias("place")).distinct()
+    jump = links.join(targets, ["file", "place"]).unionByName(links.filter("place = 0"))
+    jump = durable(jump.select("file", "place", "leaves").distinct())
+    reached = links.filter("place = 0").select("file", "place")
     longest = files.agg(F.max(F.ceil(F.col("length") / block))).first()[0] or 1
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
-        step = jump.select("path", "place", "leaves")
-        reached = durable(reached.unionByName(reached.join(step, ["path", "place"]).select("path", F.col("leaves").alias("place"))).distinct())
-        far = jump.select("path", F.col("place").alias("leaves"), F.col("leaves").alias("beyond"))
-        jump = durable(
-            jump.join(far, ["path", "leaves"], "left").select(
-                "path", "place", F.coalesce("beyond", "leaves").alias("leaves")
-            )
-        )
-    return reached.join(links.select("path", "place"), ["path", "place"], "left_semi")
+        further = reached.join(jump, ["file", "place"]).select("file", F.col("leaves").alias("place"))
+        reached = durable(reached.unionByName(further).distinct())
+        far = jump.select("file", F.col("place").alias("leaves"), F.col("leaves").alias("beyond"))
+        doubled = jump.join(far, ["file", "leaves"], "left")
+        jump = durable(doubled.select("file", "place", F.coalesce("beyond", "leaves").alias("leaves")))
+    found = reached.join(links.select("file", "place"), ["file", "place"], "left_semi")
+    return found.join(named.select("file", "path"), "file").select("path", "place")
 
 
-def read_archives(spark: SparkSession, files: DataFrame, block: int = BLOCK_BYTES, payload: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, block: int = BLOCK_BYTES, payload: bool = True) -> DataFrame:
     """The records of ``files`` (path, length) that are reachable from each file's start.
 
     Columns path, place, record_type, record_id, target_uri, refers_to, payload_bytes, payload_digest, and payload if
@@ -220,4 +237,4 @@ def read_archives(spark: SparkSession, files: DataFrame, block: int = BLOCK_BYTE
     schema = "path string, place long, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string"
     if payload:
         names, schema = names + ["payload"], schema + ", payload binary"
-    return entries(spark, files, block).repartition("path", "place").mapInPandas(run, schema)
+    return entries(files, block).repartition("path", "place").mapInPandas(run, schema)
