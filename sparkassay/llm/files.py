@@ -27,3 +27,8 @@ def read_range(uri: str, start: int, length: int) -> bytes:
     system, path = _at(uri)
     with system.open_input_file(path) as f:
         return f.read_at(min(length, max(0, f.size() - start)), start) if length > 0 else b""
+
+
+def make_folder(uri: str) -> None:
+    system, path = _at(uri)
+    system.create_dir(path, recursive=True)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .files import write_file
+from .files import make_folder, write_file
 from .sampling import distinct_sample
 from .tokens import END_ID, dropped_space, end_mark
 
@@ -29,6 +29,7 @@ SAMPLE_DOCS = 512  # documents the dictionary is trained on
 SAMPLE_BYTES = 1 << 15  # longest of them
 DICTIONARY_BYTES = 1 << 16
 SHARD_BYTES = 8 << 20
+NO_DICTIONARY = b"none"  # an empty file would not be read
 LEVEL = 3
 
 
@@ -91,7 +92,8 @@ def write_token_files(
     spark = docs.sparkSession
     width = 2
     data = train_dictionary(docs, dropped_space(tokenizer), text, width)
-    write_file(f"{path}/dictionary.bin", data)
+    make_folder(f"{path}/shards")
+    write_file(f"{path}/dictionary.bin", data or NO_DICTIONARY)
     digest = hashlib.sha256(data).digest()
     shared = spark.sparkContext.broadcast(data)
 
@@ -134,7 +136,7 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", keys=N
     With ``keys``, a small set, only those documents are unpacked, each by its place in the shard's index.
     """
     data = spark.read.format("binaryFile").load(f"{path}/dictionary.bin").select("content").first()[0]
-    shared = spark.sparkContext.broadcast(bytes(data))
+    shared = spark.sparkContext.broadcast(b"" if bytes(data) == NO_DICTIONARY else bytes(data))
     wanted = None if keys is None else set(keys)
     more = ", ids array<int>" if ids else ""
 
