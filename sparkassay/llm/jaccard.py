@@ -9,9 +9,10 @@ sorted sets, which decides the overlap exactly.
 * List lengths come from a count sketch of fixed size over all texts; the order only has to be the same everywhere, so
   its errors change the work and never the result.
 * Equal sets are one class: a task lists a class once, so copies meet as one entry per task and are merged.
-* A list of up to ``SHORT_LIST`` classes gives all its pairs. In a longer one each class is paired with its neighbour in
-  size and with the first; when these links are known, only pairs of different components remain to be tried, so a large
-  group of near copies never gives all its pairs, and no link that joins two components is lost.
+* In a list each class is first paired with the smallest one only; when these links are known, only pairs of different
+  components remain to be tried, so a large group of near copies never gives all its pairs, and no link that joins two
+  components is lost.
+* A set travels to its candidates once for each of ``SALTS`` parts of them, so one with very many is spread over tasks.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .components import components
 
 SHINGLE = 5
 SHARE = 75  # of 100
-SHORT_LIST = 16
+SHORT_LIST = 2  # classes up to which a list gives all its pairs
+SALTS = 64
 COUNTERS = 1 << 20
 SLICE = 1 << 14
 SIGMAS = 8  # above the mean count at which a shingle's list is long
@@ -212,7 +214,6 @@ def _merge(batches):
                 opened = (shingle[f], c[f], n[f])
             pc, pn, pm = np.full(s, opened[1]), np.full(s, opened[2]), slice(f, f + s)
             yield _frame(pc, pn, c[pm], n[pm])
-            yield _frame(c[f : f + s - 1], n[f : f + s - 1], c[f + 1 : f + s], n[f + 1 : f + s])
             none = pa.nulls(s, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[pm]), pa.array(n[pm]), none, none, pa.array(shingle[pm])], ["a", "na", "b", "nb", "shingle"]
@@ -283,10 +284,12 @@ def _probe(batches):
 def _links(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     pairs = durable(pairs.select("a", "b").distinct())
     ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
-    sets = durable(_sets(docs, text, bloom.build(ends)).dropDuplicates(["class"]))
-    one = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    return durable(two.select("a", "b", "x", "y").mapInArrow(_probe, "a long, b long"))
+    sets = _sets(docs, text, bloom.build(ends)).dropDuplicates(["class"])
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    one = pairs.select("a", "part").distinct().join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    two = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    both = two.join(one, ["a", "part"]).select("a", "b", "x", "y")
+    return durable(both.mapInArrow(_probe, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
