@@ -1,18 +1,19 @@
 """Exact similarity join on sets of word shingles as a T-occurrence search with long lists set aside.
 
 Two sets of sizes n and m are linked when they share at least T = ceil(75 (n + m) / 175) shingles, so T >= 3/4 of the
-larger one. Every shingle has an inverted list of the sets that hold it. As DivideSkip does, a set's shingles are
-parted: the T - 1 longest lists are set aside, and any partner must occur in one of the remaining short ones. Those are
-dealt by shingle and merged in sorted order; the candidates found there are then probed by binary search in the whole
-sorted sets, which decides the overlap exactly.
+larger one. Every shingle has an inverted list of the sets that hold it. As DivideSkip does, the L = ceil(3/4 n) - 1
+longest lists of a set are set aside. Its short lists are merged and the occurrences of every partner counted; those
+with at least T - L are probed by binary search in the whole sorted sets, which decides the overlap exactly.
 
 * List lengths come from a count sketch of fixed size over all texts; the order only has to be the same everywhere, so
   its errors change the work and never the result.
 * Equal sets are one class: a task lists a class once, so copies meet as one entry per task and are merged.
-* In a list each class is first paired with the smallest one only; when these links are known, only pairs of different
-  components remain to be tried, so a large group of near copies never gives all its pairs, and no link that joins two
-  components is lost.
-* A set travels to its candidates once for each of ``SALTS`` parts of them, so one with very many is spread over tasks.
+* Short lists are dealt to the task of their home, the class among theirs that meets most others. A group of near copies
+  shares one home, so its lists are merged where its sets are probed, and only links leave the task, at most one for
+  each set: pairs whose components are joined already are not probed. A pair's occurrences in lists of other homes are
+  bounded by the lists that both have there.
+* A home with more than ``PART`` classes is searched in pairs of parts, so no task holds more than two parts.
+* A first pass without sets finds the classes that have a candidate at all; sets are made and moved for these only.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .components import components
 
 SHINGLE = 5
 SHARE = 75  # of 100
-SHORT_LIST = 2  # classes up to which a list gives all its pairs
-SALTS = 64
+PART = 4096  # classes of one home that meet in a task
+TASK_ROWS = 20_000
 COUNTERS = 1 << 20
 SLICE = 1 << 14
 SIGMAS = 8  # above the mean count at which a shingle's list is long
@@ -166,88 +167,29 @@ def _postings(docs: DataFrame, text: str, counters: np.ndarray) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle long, n long, class long")
 
 
-def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n, m) >= SHARE * np.maximum(n, m)
-
-
-def _frame(a, na, b, nb) -> pa.RecordBatch:
-    swap = a > b
-    cols = [np.where(swap, b, a), np.where(swap, nb, na), np.where(swap, a, b), np.where(swap, na, nb)]
-    keep = _fits(na, nb) & (a != b)
-    return pa.RecordBatch.from_arrays(
-        [*[pa.array(c[keep]) for c in cols], pa.nulls(int(keep.sum()), pa.int64())], ["a", "na", "b", "nb", "shingle"]
-    )
-
-
 def _merge(batches):
-    """Candidates from sorted postings (shingle, n, class); members of long lists come out with their shingle."""
+    """The lists with at least two classes, from sorted postings (shingle, n, class)."""
     held = [np.zeros(0, np.int64)] * 3
-    opened = None  # (shingle, class, n) of the first entry of a long list that is not over yet
+    again = False  # the first held entry follows another one of its list
 
     def give(cols, last):
-        nonlocal held, opened
+        nonlocal held, again
         shingle, n, c = cols
         new = np.append(True, (shingle[1:] != shingle[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]))[: len(shingle)]
         shingle, n, c = shingle[new], n[new], c[new]
-        first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)])
-        size = np.diff(np.append(first, len(shingle)))
-        if not last and len(size):
-            rest = int(first[-1])
-            if len(shingle) - rest < 50_000:
-                held = [x[rest:] for x in (shingle, n, c)]
-                shingle, n, c, first, size = shingle[:rest], n[:rest], c[:rest], first[:-1], size[:-1]
-            else:
-                held = [x[-1:] for x in (shingle, n, c)]
-        else:
-            held = [np.zeros(0, np.int64)] * 3
-        # A list is long if it is, or if it went on from an earlier part.
-        long = size > SHORT_LIST
-        if opened is not None and len(first) and shingle[0] == opened[0]:
-            long[0] = True
-        for d in range(1, SHORT_LIST):
-            fit = np.flatnonzero(~long & (size > d))
-            if len(fit):
-                left = np.concatenate([np.arange(f, f + s - d) for f, s in zip(first[fit].tolist(), size[fit].tolist())])
-                yield _frame(c[left], n[left], c[left + d], n[left + d])
-        for f, s in zip(first[long].tolist(), size[long].tolist()):
-            if opened is None or opened[0] != shingle[f]:
-                opened = (shingle[f], c[f], n[f])
-            pc, pn, pm = np.full(s, opened[1]), np.full(s, opened[2]), slice(f, f + s)
-            yield _frame(pc, pn, c[pm], n[pm])
-            none = pa.nulls(s, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[pm]), pa.array(n[pm]), none, none, pa.array(shingle[pm])], ["a", "na", "b", "nb", "shingle"]
-            )
+        same = shingle[1:] == shingle[:-1]
+        shared = np.append(again, same)[: len(shingle)] | np.append(same, False)[: len(shingle)]
+        if not last and len(shingle):
+            held, shared[-1] = [x[-1:] for x in (shingle, n, c)], False
+            again = bool(same[-1]) if len(same) else again
+        at = np.flatnonzero(shared)
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (shingle, c, n)], ["shingle", "class", "n"])
 
     for batch in batches:
-        cols = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-        yield from give(cols, False)
+        yield from give([np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)], False)
     yield from give(held, True)
 
 
-def _across(batches):
-    """Pairs of different components from sorted (shingle, root, class, n)."""
-    held = [np.zeros(0, np.int64)] * 4
-
-    def give(cols):
-        shingle, root, c, n = cols
-        first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)])
-        for f, s in zip(first.tolist(), np.diff(np.append(first, len(shingle))).tolist()):
-            for i in range(f, f + s - 1):
-                # Rows are sorted by root: those of other components start behind the run of this one.
-                j = i + 1 + int(np.searchsorted(root[i + 1 : f + s], root[i], "right"))
-                if j < f + s:
-                    k = f + s - j
-                    yield _frame(np.full(k, c[i]), np.full(k, n[i]), c[j : f + s], n[j : f + s])
-
-    for batch in batches:
-        cols = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-        rest = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-        held = [x[rest:] for x in cols]
-        yield from give([x[:rest] for x in cols])
-    yield from give(held)
-
-
 def _sets(docs: DataFrame, text: str, members: np.ndarray) -> DataFrame:
     """(class, set) of the classes in the filter, with few others."""
     shared = docs.sparkSession.sparkContext.broadcast(members)
@@ -269,27 +211,110 @@ def _sets(docs: DataFrame, text: str, members: np.ndarray) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "class long, set binary")
 
 
-def _probe(batches):
-    """Links among candidates (a, b, sets of both): every shingle of the smaller set is searched in the larger one."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            s, t = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
-            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-            both = int((t[at] == s).sum())
-            keep.append(100 * both >= SHARE * (len(s) + len(t) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def _links(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    pairs = durable(pairs.select("a", "b").distinct())
-    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
-    sets = _sets(docs, text, bloom.build(ends)).dropDuplicates(["class"])
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    one = pairs.select("a", "part").distinct().join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    two = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    both = two.join(one, ["a", "part"]).select("a", "b", "x", "y")
-    return durable(both.mapInArrow(_probe, "a long, b long"))
+def _overlap(s: np.ndarray, t: np.ndarray) -> int:
+    """Shared values of two sorted sets: every one of the smaller set is searched in the larger one."""
+    if len(s) > len(t):
+        s, t = t, s
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+
+
+def search(n: np.ndarray, total: np.ndarray, lists: list[np.ndarray], part: np.ndarray, sets: list[np.ndarray] | None):
+    """T-occurrence search among the classes of one home: (flags of classes with a candidate, links between positions).
+
+    ``n`` are the set sizes, ``total`` the number of short lists of each class in all homes, ``lists`` those in this
+    home. With two kinds of ``part``, only pairs of different parts are searched.
+    """
+    m = len(n)
+    size = np.asarray([len(x) for x in lists])
+    owner = np.repeat(np.arange(m), size)
+    _, number = np.unique(np.concatenate(lists), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    member, bounds = owner[order], np.searchsorted(number[order], np.arange(number.max() + 2))
+    first = np.append(0, np.cumsum(size))
+    elsewhere, crossed = total - size, len(np.unique(part)) > 1
+    aside = -(-SHARE * n // 100) - 1
+    found, links, root = np.zeros(m, bool), [], list(range(m))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for x in range(m):
+        met = np.bincount(np.concatenate([member[bounds[k] : bounds[k + 1]] for k in number[first[x] : first[x + 1]]]), minlength=m)
+        needed = -(-SHARE * (n + n[x]) // (100 + SHARE)) - np.maximum(aside, aside[x])
+        ok = (met > 0) & (met + np.minimum(elsewhere, elsewhere[x]) >= needed)
+        ok &= (100 * np.minimum(n, n[x]) >= SHARE * np.maximum(n, n[x])) & ((part != part[x]) if crossed else True)
+        ok[: x + 1] = False
+        some = np.flatnonzero(ok)
+        if len(some):
+            found[x] = found[some] = True
+            for y in some[np.argsort(-met[some], kind="stable")].tolist() if sets is not None else ():
+                i, j = top(x), top(y)
+                if i != j:
+                    both = _overlap(sets[x], sets[y])
+                    if 100 * both >= SHARE * (len(sets[x]) + len(sets[y]) - both):
+                        root[max(i, j)] = min(i, j)
+                        links.append((x, y))
+    return found, links
+
+
+def _home_groups(frame: pd.DataFrame):
+    frame = frame.sort_values(["home", "low", "high", "class"], kind="stable")
+    keys = frame[["home", "low", "high"]].to_numpy()
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else []
+    for a, b in zip(first, np.append(first[1:], len(keys))):
+        if b - a > 1:
+            yield frame.iloc[a:b]
+
+
+def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for group in _home_groups(frame):
+        lists = [np.asarray(x, np.int64) for x in group["lists"]]
+        found, _ = search(group["n"].to_numpy(), group["total"].to_numpy(), lists, group["part"].to_numpy(), None)
+        out.append(group[["home", "low", "high", "class"]][found])
+    return pd.concat(out) if out else frame[["home", "low", "high", "class"]][:0]
+
+
+def _probed(frame: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for group in _home_groups(frame):
+        lists = [np.asarray(x, np.int64) for x in group["lists"]]
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
+        _, links = search(group["n"].to_numpy(), group["total"].to_numpy(), lists, group["part"].to_numpy(), sets)
+        classes = group["class"].to_numpy()
+        out += [(classes[x], classes[y]) for x, y in links]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _at_home(member: DataFrame) -> DataFrame:
+    """(home, low, high, part, class, n, total, lists): a class with its short lists of one home, for each pair of parts."""
+    size = durable(member.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")))
+    sized = durable(member.join(size, "shingle"))
+    degree = durable(sized.groupBy("class").agg(F.sum("size").alias("degree"), F.count(F.lit(1)).alias("total")))
+    known = durable(sized.join(degree, "class").select("shingle", "class", "n", "degree", "total"))
+    home = durable(known.groupBy("shingle").agg(F.max(F.struct("degree", "class"))["class"].alias("home")))
+    rows = known.join(home, "shingle").groupBy("home", "class", "n", "total").agg(F.collect_list("shingle").alias("lists"))
+    rows = durable(rows)
+    parts = durable(rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 1"))
+    rows = rows.join(parts, "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")
+    rows = rows.select("home", part, "class", "n", "total", "lists", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return rows.select("home", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "n", "total", "lists")
+
+
+def _links(member: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    rows = durable(_at_home(member))
+    key = ["home", "low", "high"]
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)))
+    some = durable(dealt.groupBy("task").applyInPandas(_candidates, "home long, low int, high int, class long"))
+    sets = _sets(docs, text, bloom.build(some.select(F.col("class").alias("v")))).dropDuplicates(["class"])
+    full = rows.join(some, [*key, "class"]).join(sets, "class")
+    full = full.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)))
+    return durable(full.groupBy("task").applyInPandas(_probed, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,22 +330,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = spark.read.parquet(path)
     counters = _sketch(found.filter("slice is not null").select("slice", "counts"))
     lists = _postings(docs, text, counters).repartition("shingle").sortWithinPartitions("shingle", "n", "class")
-    merged = scratch_path(spark, "candidates")
-    lists.mapInArrow(_merge, "a long, na long, b long, nb long, shingle long").write.parquet(merged)
-    merged = spark.read.parquet(merged)
-    links = _links(merged.filter("shingle is null"), docs, text)
-    roots = components(links)
-    member = merged.filter("shingle is not null").select("shingle", F.col("a").alias("class"), F.col("na").alias("n")).distinct()
-    known = roots.select(F.col("node").alias("class"), "root")
-    member = durable(member.join(known, "class", "left").select("shingle", F.coalesce("root", "class").alias("root"), "class", "n"))
-    mixed = member.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
-    rest = durable(member.join(mixed, "shingle"))
-    if not rest.isEmpty():
-        rest = rest.repartition("shingle").sortWithinPartitions("shingle", "root", "class")
-        more = rest.select("shingle", "root", "class", "n").mapInArrow(_across, "a long, na long, b long, nb long, shingle long")
-        more = _links(more, docs, text)
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    kept = scratch_path(spark, "lists")
+    lists.mapInArrow(_merge, "shingle long, class long, n long").write.parquet(kept)
+    member = spark.read.parquet(kept)
+    roots = components(_links(member, docs, text))
     own = found.filter("slice is null")
     classes = own.filter("n > 0").groupBy("class").agg(F.min("key").alias("low"))
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
