@@ -4,14 +4,16 @@
    an anchor, and equal strings hold the same anchor at the same place. An anchor's surroundings are all bytes that a
    200-byte string around it can cover. Equal surroundings are repeats as a whole, which settles most of a repetitive
    corpus; texts whose anchor stands nowhere else have no repeat there.
-2. *Run-length index.* What is left, one occurrence for each different surroundings of a shared anchor, is dealt by
-   anchor into blocks of bounded size. A block gets the Burrows-Wheeler transform of its segments. Longest common
+2. *Run-length index.* What is left, one occurrence for each different surroundings of a shared anchor, is dealt into
+   blocks of bounded size, by the smallest text that shares the anchor. So the anchors that a group of near copies
+   shares mostly meet in one block, where the surroundings of a text's anchors are one segment. A block gets the Burrows-Wheeler transform of its segments. Longest common
    prefixes are sampled at the ends of the transform's runs only; in between, a prefix is one shorter than that of the
    byte before, so the matching statistics of all segments are streamed from the samples. Matches of 200 bytes are
    marked.
 3. The marks of each text are united and cut out.
 
-An anchor with more than ``HOT`` different surroundings is not indexed in one block: its strings are counted by hash.
+A text that would draw more than ``HOT`` surroundings to it draws none, and its anchors are dealt one by one; an anchor
+with more than ``HOT_ANCHOR`` different surroundings is not indexed in one block, but its strings are counted by hash.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import types as T
 
 from sparkassay.session import durable
 
+from . import bloom
 from . import text as tx
 
 LENGTH = 200
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a string around it can cover
 BLOCK_BYTES = 2 << 20
-HOT = 4096
+HOT = 100_000
+HOT_ANCHOR = 20_000
 
 
 def _slide(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -120,12 +124,19 @@ def _settle(batches):
             if known is not None and cols[0][-1] == known:
                 kinds[-1] = max(kinds[-1], 2)
             probe = new & (kinds[group] > 1)
+            # The home of an anchor: its smallest text. A group that was cut into parts is its own home.
+            home = np.minimum.reduceat(cols[2], np.flatnonzero(new_anchor))
+            if several is not None and cols[0][0] == several:
+                home[0] = several
+            if known is not None and cols[0][-1] == known:
+                home[-1] = known
+            home = home[group]
             for what, which in (("m", repeated), ("p", probe)):
                 at = np.flatnonzero(which)
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([what] * len(at)), *[pa.array(c[at]) for c in (cols[0], cols[2], cols[3], cols[4])]],
-                        ["what", "anchor", "row", "place", "size"],
+                        [pa.array([what] * len(at)), *[pa.array(c[at]) for c in (cols[0], home, cols[2], cols[3], cols[4])]],
+                        ["what", "anchor", "home", "row", "place", "size"],
                     )
         several = known
 
@@ -244,28 +255,48 @@ def _index(key, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["row", "low", "high"])
 
 
-def _pieces(batches):
-    """(anchor, row, low, place, body): the surroundings of each probe, cut from its text."""
-    for batch in batches:
-        rows, probes, bodies = batch.column(0).to_pylist(), batch.column(1), tx.plain(batch.column(2))
-        out, held = [], 0
-        for row, probe, body in zip(rows, probes, bodies):
-            text = body.as_py()
-            for p in probe.as_py():
-                low = max(0, p["place"] - REACH)
-                out.append((p["anchor"], row, low, p["place"], text[low : p["place"] + LENGTH]))
-                held += LENGTH + REACH
-            if held > 1 << 22:
+def _cut_out(probes: list, text: bytes, merge: bool):
+    """(home, anchor, low, place, body) of the probes (home, anchor, place) of a text. With ``merge``, overlapping
+    surroundings of one home are one piece, which names the anchor and place of its first probe."""
+    last = None
+    for home, anchor, place in sorted(probes, key=lambda p: (p[0], p[2])):
+        low, high = max(0, place - REACH), min(len(text), place + LENGTH)
+        if merge and last and last[0] == home and low <= last[4]:
+            last[4] = high
+        else:
+            if last:
+                yield (*last[:4], text[last[2] : last[4]])
+            last = [home, anchor, low, place, high]
+    if last:
+        yield (*last[:4], text[last[2] : last[4]])
+
+
+def _pieces(merge: bool):
+    def run(batches):
+        for batch in batches:
+            rows, probes, bodies = batch.column(0).to_pylist(), batch.column(1), tx.plain(batch.column(2))
+            out, held = [], 0
+            for row, probe, body in zip(rows, probes, bodies):
+                told = [(p["home"], p["anchor"], p["place"]) for p in probe.as_py()]
+                for home, anchor, low, place, piece in _cut_out(told, body.as_py(), merge):
+                    out.append((home, anchor, row, low, place, piece))
+                    held += len(piece)
+                if held > 1 << 22:
+                    yield _piece_batch(out)
+                    out, held = [], 0
+            if out:
                 yield _piece_batch(out)
-                out, held = [], 0
-        if out:
-            yield _piece_batch(out)
+
+    return run
+
+
+PIECE_SCHEMA = "home long, anchor long, row long, low long, place long, body binary"
 
 
 def _piece_batch(out) -> pa.RecordBatch:
     cols = list(zip(*out))
     return pa.RecordBatch.from_arrays(
-        [*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], ["anchor", "row", "low", "place", "body"]
+        [*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], ["home", "anchor", "row", "low", "place", "body"]
     )
 
 
@@ -286,30 +317,48 @@ def _strings(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["anchor", "shift", "h", "row", "at"])
 
 
+def _only(members: np.ndarray, wanted: bool, column: int):
+    def run(batches):
+        for batch in batches:
+            flags = bloom.maybe(members, batch.column(column).to_numpy())
+            yield batch.filter(pa.array(flags if wanted else ~flags))
+
+    return run
+
+
 def marks(told: DataFrame) -> DataFrame:
     """(row, low, high) byte ranges covered by repeated strings; ``told`` has row (a hash of the whole row) and text."""
     found = told.mapInArrow(_anchor_rows, ANCHOR_SCHEMA)
     found = found.repartition("anchor").sortWithinPartitions("anchor", "around")
-    settled = durable(found.mapInArrow(_settle, "what string, anchor long, row long, place long, size long"))
+    settled = durable(found.mapInArrow(_settle, "what string, anchor long, home long, row long, place long, size long"))
     low, high = F.greatest(F.lit(0), F.col("place") - REACH), F.least("size", F.col("place") + LENGTH)
     whole = settled.filter("what = 'm'").select("row", low.alias("low"), high.alias("high"))
-    probes = settled.filter("what = 'p'").groupBy("row").agg(F.collect_list(F.struct("anchor", "place")).alias("probes"))
-    texts = told.join(probes, "row").dropDuplicates(["row"]).select("row", "probes", "text")
-    cut = durable(texts.mapInArrow(_pieces, "anchor long, row long, low long, place long, body binary"))
-    volume = cut.agg(F.sum(F.length("body"))).first()[0] or 0
-    blocks = max(1, -(-volume // BLOCK_BYTES))
-    hot = cut.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor")
-    hot = durable(hot.withColumn("hot", F.lit(True)))
-    parted = cut.join(hot, "anchor", "left")
-    calm = parted.filter("hot is null").withColumn("block", F.pmod("anchor", F.lit(blocks)))
-    indexed = calm.groupBy("block").applyInPandas(_index, "row long, low long, high long")
-    strings = parted.filter("hot").select("anchor", "row", "low", "place", "body").mapInArrow(
-        _strings, "anchor long, shift long, h long, row long, at long"
-    )
-    key = ["anchor", "shift", "h"]
-    again = durable(strings.groupBy(*key).count().filter("count > 1").select(*key))
-    counted = strings.join(again, key).select("row", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high"))
-    return whole.unionByName(indexed).unionByName(counted)
+    probes = settled.filter("what = 'p'").select("home", "anchor", "row", "place")
+    crowded = durable(probes.groupBy("home").count().filter(F.col("count") > HOT).select("home", F.lit(True).alias("crowded")))
+    probes = probes.join(crowded, "home", "left")
+    home = F.when(F.col("crowded"), F.col("anchor")).otherwise(F.col("home"))
+    probes = durable(probes.select(home.alias("home"), "anchor", "row", "place"))
+    alone = F.col("home") == F.col("anchor")
+    hot = durable(probes.filter(alone).groupBy("home").count().filter(F.col("count") > HOT_ANCHOR).select("home"))
+    members = bloom.build(probes.select(F.col("row").alias("v")))
+    blocks = max(1, -(-probes.count() * (LENGTH + REACH) // (4 * BLOCK_BYTES)))
+    some = told.mapInArrow(_only(members, True, 0), "row long, text string").dropDuplicates(["row"])
+
+    def pieces(which: DataFrame, merge: bool) -> DataFrame:
+        listed = which.groupBy("row").agg(F.collect_list(F.struct("home", "anchor", "place")).alias("probes"))
+        return some.join(listed, "row").select("row", "probes", "text").mapInArrow(_pieces(merge), PIECE_SCHEMA)
+
+    calm = probes.join(hot, "home", "left_anti")
+    dealt = pieces(calm, True).withColumn("block", F.pmod(F.xxhash64("home"), F.lit(blocks)))
+    out = whole.unionByName(dealt.groupBy("block").applyInPandas(_index, "row long, low long, high long"))
+    if not hot.isEmpty():
+        # Here every anchor is its own home. Strings are told apart by their place beside it.
+        string = "anchor long, shift long, h long, row long, at long"
+        strings = pieces(probes.join(hot, "home"), False).select("anchor", "row", "low", "place", "body").mapInArrow(_strings, string)
+        key = ["anchor", "shift", "h"]
+        again = durable(strings.groupBy(*key).count().filter("count > 1").select(*key))
+        out = out.unionByName(strings.join(again, key).select("row", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high")))
+    return out
 
 
 def _cut(types, with_text: bool):
@@ -344,10 +393,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     """
     row = F.xxhash64(F.col(key), F.col(text)).alias("row")
     told = docs.select(row, F.col(text).alias("text"))
-    found = marks(told.filter(F.octet_length("text") >= LENGTH))
+    found = durable(marks(told.filter(F.octet_length("text") >= LENGTH)))
     ranges = found.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    joined = docs.select(F.col(key).alias("key"), row, F.col(text).alias("text")).join(ranges, "row", "left")
+    members = bloom.build(found.select(F.col("row").alias("v")))
+    full = docs.select(F.col(key).alias("key"), row, F.col(text).alias("text"))
+    kinds = full.schema
+    marked = full.mapInArrow(_only(members, True, 1), kinds).join(ranges, "row", "left").select("key", "text", "ranges")
+    clean = full.mapInArrow(_only(members, False, 1), kinds)
+    clean = clean.select("key", "text", F.lit(None).cast(marked.schema["ranges"].dataType).alias("ranges"))
     fields = [T.StructField("key", docs.schema[key].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if with_text else []))
-    return joined.select("key", "text", "ranges").mapInArrow(_cut(schema, with_text), schema).withColumnRenamed("key", key)
+    parts = [x.mapInArrow(_cut(schema, with_text), schema) for x in (clean, marked)]
+    return parts[0].unionByName(parts[1]).withColumnRenamed("key", key)
