@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,9 @@ SHINGLE = 5
 SHARE = 75  # of 100
 PART = 4096  # classes of one home that meet in a task
 TASK_ROWS = 20_000
-COUNTERS = 1 << 20
-SLICE = 1 << 14
+COUNTERS = 1 << 22
+SLICE = 1 << 16
+LIST_ROWS = 50_000  # entries of a list whose size is counted together
 SIGMAS = 8  # above the mean count at which a shingle's list is long
 
 
@@ -93,7 +94,7 @@ def _describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                     sizes.append(len(s))
                 if sets:
                     every = np.concatenate(sets)
-                    counters += np.bincount((every >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    counters += np.bincount((every >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             n = len(classes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
@@ -135,7 +136,7 @@ def short_lists(s: np.ndarray, counters: np.ndarray, limit: float) -> np.ndarray
     """The n - T + 1 shingles of a set whose lists are merged: those not known as frequent first, then by count."""
     n = len(s)
     most = n - -(-SHARE * n // 100) + 1
-    seen = counters[(s >> np.uint64(44)).astype(np.int64)]
+    seen = counters[(s >> np.uint64(42)).astype(np.int64)]
     rank = np.where(seen > limit, seen, 0)
     if not rank.any():
         return s[:most]
@@ -167,27 +168,52 @@ def _postings(docs: DataFrame, text: str, counters: np.ndarray) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle long, n long, class long")
 
 
-def _merge(batches):
-    """The lists with at least two classes, from sorted postings (shingle, n, class)."""
-    held = [np.zeros(0, np.int64)] * 3
-    again = False  # the first held entry follows another one of its list
+def _lists(size_of, names: list[str], overlap: int):
+    """Streams sorted rows by their first column, whole lists at a time where they are not longer than LIST_ROWS; the parts
+    of a longer one share ``overlap`` rows."""
 
-    def give(cols, last):
-        nonlocal held, again
-        shingle, n, c = cols
-        new = np.append(True, (shingle[1:] != shingle[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]))[: len(shingle)]
-        shingle, n, c = shingle[new], n[new], c[new]
-        same = shingle[1:] == shingle[:-1]
-        shared = np.append(again, same)[: len(shingle)] | np.append(same, False)[: len(shingle)]
-        if not last and len(shingle):
-            held, shared[-1] = [x[-1:] for x in (shingle, n, c)], False
-            again = bool(same[-1]) if len(same) else again
-        at = np.flatnonzero(shared)
-        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (shingle, c, n)], ["shingle", "class", "n"])
-
-    for batch in batches:
-        yield from give([np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)], False)
-    yield from give(held, True)
+    def run(batches):
+        held, again = None, None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            cols = cols if held is None else [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            rest = int(np.searchsorted(cols[0], cols[0][-1]))
+            if len(cols[0]) - rest > LIST_ROWS:
+                rest = len(cols[0])
+            keep = rest - overlap if rest == len(cols[0]) else rest
+            held = [c[keep:] for c in cols]
+            out, again = size_of([c[:rest] for c in cols], again)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+        if held is not None:
+            out, again = size_of(held, again)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+
+    return run
+
+
+def _shared(cols, again):
+    """(shingle, class, n, size) of the lists with several classes. Parts of a long list share a class, so none is alone."""
+    shingle, n, c = cols
+    new = np.append(True, (shingle[1:] != shingle[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]))[: len(shingle)]
+    shingle, n, c = shingle[new], n[new], c[new]
+    first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)])
+    length = np.diff(np.append(first, len(shingle)))
+    size = np.repeat(length, length)
+    some = size > 1
+    return [x[some] for x in (shingle, c, n, size)], None
+
+
+def _homes(cols, again):
+    """(home, shingle, class, n, total): the home of a list is its first entry; ``again`` is that of a list cut into parts."""
+    shingle, _, c, n, total = cols
+    first = np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)]
+    home = c[np.flatnonzero(first)][np.cumsum(first) - 1]
+    if again is not None and len(shingle):
+        home[shingle == again[0]] = again[1]
+    last = (shingle[-1], home[-1]) if len(shingle) else None
+    return [home, shingle, c, n, total], last
 
 
 def _sets(docs: DataFrame, text: str, members: np.ndarray) -> DataFrame:
@@ -291,13 +317,13 @@ def _probed(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _at_home(member: DataFrame) -> DataFrame:
     """(home, low, high, part, class, n, total, lists): a class with its short lists of one home, for each pair of parts."""
-    size = durable(member.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")))
-    sized = durable(member.join(size, "shingle"))
-    degree = durable(sized.groupBy("class").agg(F.sum("size").alias("degree"), F.count(F.lit(1)).alias("total")))
-    known = durable(sized.join(degree, "class").select("shingle", "class", "n", "degree", "total"))
-    home = durable(known.groupBy("shingle").agg(F.max(F.struct("degree", "class"))["class"].alias("home")))
-    rows = known.join(home, "shingle").groupBy("home", "class", "n", "total").agg(F.collect_list("shingle").alias("lists"))
-    rows = durable(rows)
+    own = Window.partitionBy("class")  # at most one row for each short list of a set
+    known = member.withColumn("degree", -F.sum("size").over(own)).withColumn("total", F.count(F.lit(1)).over(own))
+    known = known.select("shingle", "degree", "class", "n", "total")
+    known = known.repartition("shingle").sortWithinPartitions("shingle", "degree", "class")
+    names = ["home", "shingle", "class", "n", "total"]
+    homes = known.mapInArrow(_lists(_homes, names, 0), "home long, shingle long, class long, n long, total long")
+    rows = durable(homes.groupBy("home", "class", "n", "total").agg(F.collect_list("shingle").alias("lists")))
     parts = durable(rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 1"))
     rows = rows.join(parts, "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")
@@ -330,9 +356,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = spark.read.parquet(path)
     counters = _sketch(found.filter("slice is not null").select("slice", "counts"))
     lists = _postings(docs, text, counters).repartition("shingle").sortWithinPartitions("shingle", "n", "class")
-    kept = scratch_path(spark, "lists")
-    lists.mapInArrow(_merge, "shingle long, class long, n long").write.parquet(kept)
-    member = spark.read.parquet(kept)
+    names = ["shingle", "class", "n", "size"]
+    member = lists.mapInArrow(_lists(_shared, names, 1), "shingle long, class long, n long, size long")
     roots = components(_links(member, docs, text))
     own = found.filter("slice is null")
     classes = own.filter("n > 0").groupBy("class").agg(F.min("key").alias("low"))
