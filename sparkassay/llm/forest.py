@@ -68,14 +68,16 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(total[t, c])], ["tree", "code", "times"])
 
 
-def stop_level(codes: np.ndarray, below: np.ndarray, wanted: float) -> np.ndarray:
-    """The longest prefix at which a query's ranges hold ``wanted`` rows over all trees; ``below`` counts smaller codes."""
+def stop_level(codes: np.ndarray, below: np.ndarray, wanted: float, least: int) -> np.ndarray:
+    """The longest prefix at which a query's ranges hold ``wanted`` rows over all trees, and one of them ``least`` rows;
+    ``below`` counts smaller codes."""
     level = np.zeros(len(codes), np.int64)
     tree = np.arange(TREES)[None]
     for x in range(1, BITS + 1):
         shift = BITS - x
         low = (codes >> shift).astype(np.int64) << shift
-        level[(below[tree, low + (1 << shift)] - below[tree, low]).sum(1) >= wanted] = x
+        held = below[tree, low + (1 << shift)] - below[tree, low]
+        level[(held.sum(1) >= wanted) & (held.max(1) >= least)] = x
     return level
 
 
@@ -151,7 +153,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
         for batch in batches:
             if len(batch):
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, TREES)
-                level = stop_level(codes, shared.value, SHARE * rows)
+                level = stop_level(codes, shared.value, SHARE * rows, min(k + 1, rows))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(level)], ["id", "v", "codes", "level"])
 
     asked = coded.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
