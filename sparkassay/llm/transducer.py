@@ -19,6 +19,7 @@ import functools
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from . import text as tx
 from .tokens import Words
 
 MARK = "▁"
-STATES = 500_000  # remembered beginnings
+STATES = 800_000  # remembered beginnings of words
+WORDS = 1_000_000  # remembered words
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -54,7 +56,7 @@ class Transducer:
             self.written[i] = p.replace(MARK, " ").encode()
         self.allowed: dict[tuple[str, str], bool] = {}
         self.state: dict[str, str] = {}  # beginning of a unit -> the piece that ends its path
-        self.words = Words()
+        self.words = Words(WORDS)
 
     def merged(self, text: str) -> list[str]:
         """Merge characters by score, the leftmost of equal ones first, as long as a pair forms a piece."""
@@ -71,32 +73,31 @@ class Transducer:
         return parts
 
     def _passes(self, before: str, piece: str) -> bool:
-        pair = (before, piece)
-        found = self.allowed.get(pair)
-        if found is None:
-            if len(self.allowed) > 1_000_000:
-                self.allowed.clear()
-            found = self.allowed[pair] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        if len(self.allowed) > 1_000_000:
+            self.allowed.clear()
+        found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.allowed[before, piece] = found
         return found
 
     def path(self, unit: str) -> list[str]:
         """Pieces, or single characters without a piece, along the path of least weight."""
         if unit.startswith(MARK + MARK) or len(unit) < 2:
             return self.merged(unit)  # runs of marks have equal scores, so neighbours alone do not tell their order
-        state, ids = self.state, self.ids
+        state, ids, allowed, longest = self.state, self.ids, self.allowed, self.longest
         if len(state) > STATES:
             state.clear()
-        done = len(unit)
+        done = len(unit) - 1
         while done and unit[:done] not in state:
             done -= 1
         for end in range(done + 1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - longest), end):
                 piece = unit[start:end]
-                if piece not in ids and end - start > 1:
-                    continue
-                if self._passes(state[unit[:start]], piece) if start else self._passes("", piece):
-                    state[unit[:end]] = piece
-                    break
+                if piece in ids or end - start == 1:
+                    pair = (state[unit[:start]] if start else "", piece)
+                    passes = allowed.get(pair)
+                    if self._passes(*pair) if passes is None else passes:
+                        state[unit[:end]] = piece
+                        break
             else:
                 return self.merged(unit)
         out, end = [], len(unit)
@@ -111,7 +112,7 @@ class Transducer:
         for piece in self.path(unit):
             i = self.ids.get(piece)
             out += [i] if i is not None else self.byte[list(piece.encode())].tolist()
-        return np.asarray(out, "<u4").tobytes()
+        return array("I", out).tobytes()
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
