@@ -35,7 +35,7 @@ from . import text as tx
 LENGTH = 200
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a string around it can cover
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 HOT = 100_000
 HOT_ANCHOR = 20_000
 
@@ -151,33 +151,44 @@ def _settle(batches):
 def suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Suffix array of segments, and the ranks of all places by their first 7, 14, 28 ... bytes.
 
-    ``data`` holds the segments with one place behind each, at ``ends``; those places sort first and all differ.
+    ``data`` holds the segments with one place behind each, at ``ends``; those places sort first and all differ. A rank
+    is the place in the order at which the group of equal beginnings starts, so only groups of several are sorted again.
     """
-    n, held = len(data), len(ends)
-    own = np.searchsorted(ends, np.arange(n))
+    n = len(data)
+    own = np.searchsorted(ends, np.arange(n)).astype(np.int32)
     left = ends[own] - np.arange(n)
-    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for j in range(7):
-        key = (key << np.uint64(8)) | np.where(left > j, wide[j : j + n], np.uint64(0))
+        key = (key << np.uint64(8)) | np.where(left > j, wide[j : j + n], np.uint8(0)).astype(np.uint64)
     key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
+    rank = np.zeros(n, np.int32)
+    rank[ends] = np.arange(len(ends))
+    some, base = np.flatnonzero(left > 0), len(ends)
+    key, start = key[some], np.zeros(len(some), np.int64)
     levels, depth = [], 7
-    key = key.astype(np.uint64)
-    key[ends] = 0
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1 + held
-        rank[ends] = np.arange(held)
+        order = np.argsort(key if depth == 7 else start * (n + 1) + key)
+        some, key, start = some[order], key[order], start[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (start[1:] != start[:-1]))[: len(some)]
+        group = np.append(True, start[1:] != start[:-1])[: len(some)]
+        at = np.arange(len(some))
+        first = np.flatnonzero(group)
+        place = start + at - first[np.cumsum(group) - 1] + (base if depth == 7 else 0)
+        fresh = place[np.flatnonzero(new)][np.cumsum(new) - 1] if len(some) else place
+        rank = rank.copy()
+        rank[some] = fresh
         levels.append((depth, rank))
-        if len(np.unique(rank)) == n if depth >= LENGTH else False:
+        alone = new & np.append(new[1:], True)[: len(some)]
+        some = some[~alone]
+        if not len(some):
             break
-        beyond = np.where(left > depth, rank[np.minimum(np.arange(n) + depth, n - 1)], own)
-        key = (rank * (n + held + 1) + beyond).astype(np.uint64)
+        start = fresh[~alone].astype(np.int64)
+        key = np.where(left[some] > depth, rank[np.minimum(some + depth, n - 1)], own[some]).astype(np.int64)
         depth *= 2
-    order = np.argsort(rank, kind="stable")
-    return order, levels[:-1] if len(levels) > 1 else levels
+    order = np.zeros(n, np.int64)
+    order[rank] = np.arange(n)
+    return order, levels
 
 
 def common(data: np.ndarray, ends: np.ndarray, levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:

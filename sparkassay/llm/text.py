@@ -15,7 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
