@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import sequential
-from ..operators.episodes import merge_log
 from ..operators.frontiers import rolling_gate
 from ..operators.traces import latest_message_asof
 
@@ -43,12 +42,16 @@ def stream_ingest(stream: DataFrame, target: str, checkpoint: str, partition_by:
     )
 
 
-def stream_dedup(
-    stream: DataFrame, target: str, checkpoint: str, uid: str = "ep_uid", event_time: str = "ts", delay: str = "1 hour", trigger=AVAILABLE
-) -> StreamingQuery:
-    """Accept a uid once across shards; the watermark bounds how long uids are remembered."""
-    once = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([uid])
-    return stream_ingest(once, target, checkpoint, trigger=trigger)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_dedup(stream: DataFrame, target: str, checkpoint: str, uid: str = "ep_uid", trigger=AVAILABLE) -> StreamingQuery:
+    """Accept a uid once across shards and batches, in whatever order they come.
+
+    Every accepted uid stays in a keyed state on disk: nothing counts as late, so no uid is dropped or accepted again.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream_ingest(stream.dropDuplicates([uid]), target, checkpoint, trigger=trigger)
 
 
 def _each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, trigger) -> StreamingQuery:
@@ -142,60 +145,88 @@ def stream_gate(
 def stream_checkpoint_log(
     stream: DataFrame, target: str, checkpoint: str, keys: list[str], result: Callable[[DataFrame], DataFrame], trigger=AVAILABLE
 ) -> StreamingQuery:
-    """Raw episodes are durable before their results are; a result key is logged once."""
+    """Raw episodes are durable before their results are; read the log with ``checkpoint_log``.
+
+    A batch logs the results of the keys it touched, from all their episodes so far, as a new version: a trial that is
+    spread over batches ends with the result of the whole trial. Other keys are not computed again.
+    """
     raw, log = f"{target}/episodes", f"{target}/results"
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         _put(batch, raw, number)
-        new = result(spark.read.parquet(f"{raw}/batch={number}"))
+        mine = spark.read.parquet(f"{raw}/batch={number}")
         if number > 0:
-            new = merge_log(spark.read.parquet(log).where(F.col("batch") < number), new, keys)
-        _put(new, log, number)
+            past = spark.read.parquet(raw).where(F.col("batch") < number).select(*mine.columns)
+            touched = mine.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            mine = mine.unionByName(past.join(touched, same, "left_semi"))
+        _put(result(mine), log, number)
 
     return _each_batch(stream, work, checkpoint, trigger)
 
 
+def checkpoint_log(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The newest logged result of every key."""
+    log = spark.read.parquet(f"{target}/results")
+    rest = [c for c in log.columns if c not in (*keys, "batch")]
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s"))
+    return newest.select(*keys, *[F.col(f"s.{c}").alias(c) for c in rest])
+
+
 def stream_message_age(
     stream: DataFrame, target: str, checkpoint: str, keys: list[str], trigger=AVAILABLE
 ) -> StreamingQuery:
-    """Age of the freshest message of each target at every decision.
+    """Age of the freshest message of each target at every decision; read the answers with ``message_ages``.
 
-    Input: keys, t, is_decision, id, time_stamp. The best message so far of every target is stored per
-    batch and enters the next one as its first message.
+    Input: keys, t, is_decision, id, time_stamp. A decision sees only messages received up to its own time, whichever
+    batch brings them: a batch answers its decisions from all messages so far, and earlier decisions from its own
+    messages where these give a fresher answer.
     """
-    answers, best = f"{target}/ages", f"{target}/best"
+    answers, asked, told = f"{target}/ages", f"{target}/decisions", f"{target}/messages"
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        d = batch.where("is_decision").select(*keys, "t", F.col("id").alias("decision"))
-        m = batch.where("NOT is_decision").select(*keys, "t", "time_stamp", F.col("id").alias("msg_id"))
+        _put(batch.where("is_decision").select(*keys, "t", F.col("id").alias("decision")), asked, number)
+        _put(batch.where("NOT is_decision").select(*keys, "t", "time_stamp", F.col("id").alias("msg_id")), told, number)
+        decisions, messages = spark.read.parquet(asked), spark.read.parquet(told)
+        now = F.col("batch") == number
+        seen = messages.where(F.col("batch") <= number).drop("batch")
+        found = latest_message_asof(decisions.where(now).drop("batch"), seen, keys)
         if number > 0:
-            past = spark.read.parquet(best).where(F.col("batch") < number)
-            held = past.groupBy(*keys).agg(F.max(F.struct("time_stamp", "msg_id")).alias("s"))
-            early = F.lit(-(2**53)).cast("bigint").alias("t")
-            m = m.unionByName(held.select(*keys, early, "s.time_stamp", "s.msg_id"))
-        _put(latest_message_asof(d, m, keys), answers, number)
-        top = m.groupBy(*keys).agg(F.max(F.struct("time_stamp", "msg_id")).alias("s"))
-        _put(top.select(*keys, "s.time_stamp", "s.msg_id"), best, number)
+            old = decisions.where(F.col("batch") < number).drop("batch")
+            late = latest_message_asof(old, messages.where(now).drop("batch"), keys)
+            found = found.unionByName(late.where("msg_id IS NOT NULL"))
+        _put(found, answers, number)
 
     return _each_batch(stream, work, checkpoint, trigger)
 
 
+def message_ages(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The freshest answer of every decision: keys, decision, t, msg_id, age (null without a message)."""
+    found = spark.read.parquet(f"{target}/ages")
+    best = F.max(F.when(F.col("msg_id").isNotNull(), F.struct((-F.col("age")).alias("fresh"), "msg_id"))).alias("s")
+    return found.groupBy(*keys, "decision", "t").agg(best).select(
+        *keys, "decision", "t", F.col("s.msg_id").alias("msg_id"), (-F.col("s.fresh")).alias("age")
+    )
+
+
 FOLD_STATE = "topic ARRAY<STRING>, t ARRAY<BIGINT>, id ARRAY<BIGINT>, v ARRAY<DOUBLE>, closed BOOLEAN"
-FOLD_OUT = "episode BIGINT, chunk BIGINT, topic STRING, times ARRAY<BIGINT>, vals ARRAY<DOUBLE>"
+FOLD_OUT = "episode BIGINT, chunk BIGINT, topic STRING, times ARRAY<BIGINT>, ids ARRAY<BIGINT>, vals ARRAY<DOUBLE>, complete BOOLEAN"
+CHUNK_RECORDS = 100_000
 
 
 def stream_trace_fold(
     stream: DataFrame, target: str, checkpoint: str, chunk_ms: int, event_time: str | None = None, idle: str = "1 hour", trigger=AVAILABLE
 ) -> StreamingQuery:
-    """Fold records per (episode, time chunk) until the episode's termination record, then emit the arrays.
+    """Fold records per (episode, time chunk) until the episode's termination record; read with ``trace_folds``.
 
     Input: episode, topic, t (ms since the start of the episode), id, v, cause (set on the termination
     record only). A termination is copied to every chunk up to its time, so chunks close on their own
-    and a long episode never sits in one state. A record that comes after the termination is emitted
-    with its batch. With an ``event_time`` column, a chunk is dropped from state once the watermark is
-    ``idle`` past its last record (an abandoned episode).
+    and a long episode never sits in one state. No record is lost: a chunk of more than ``CHUNK_RECORDS``
+    records gives out a part before its end, a record that comes after the termination gives a part of
+    its own, and with an ``event_time`` column a chunk whose watermark is ``idle`` past its last record
+    (an abandoned episode) gives out what it has with ``complete`` false and leaves the state.
     """
     here = F.floor(F.col("t") / chunk_ms).cast("bigint")
     chunks = F.when(F.col("cause").isNotNull(), F.sequence(F.lit(0).cast("bigint"), here)).otherwise(F.array(here))
@@ -208,25 +239,32 @@ def stream_trace_fold(
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [list(x) for x in state.get[:4]] if state.exists else [[], [], [], []]
+        closed = bool(state.get[4]) if state.exists else False
+
+        def part(complete: bool) -> pd.DataFrame:
+            rows = pd.DataFrame(dict(zip(("topic", "t", "id", "v"), held))).sort_values(["t", "id"])
+            out = [
+                (*key, name, g["t"].tolist(), g["id"].tolist(), g["v"].tolist(), complete) for name, g in rows.groupby("topic", sort=True)
+            ]
+            return pd.DataFrame(out, columns=["episode", "chunk", "topic", "times", "ids", "vals", "complete"])
+
         if state.hasTimedOut:
+            yield part(closed)
             state.remove()
             return
-        topic, t, ident, v, closed = (list(x) if i < 4 else x for i, x in enumerate(state.get)) if state.exists else ([], [], [], [], False)
         for f in frames:
             mine = f[f["own"]]
-            topic += mine["topic"].tolist()
-            t += mine["t"].tolist()
-            ident += mine["id"].tolist()
-            v += mine["v"].tolist()
+            for values, name in zip(held, ("topic", "t", "id", "v")):
+                values += mine[name].tolist()
             closed = bool(closed or f["ends"].any())
+            if len(held[0]) > CHUNK_RECORDS:
+                yield part(closed)
+                held = [[], [], [], []]
         if closed:
-            rows = pd.DataFrame({"topic": topic, "t": t, "id": ident, "v": v}).sort_values(["t", "id"])
-            out = [
-                (key[0], key[1], name, g["t"].tolist(), g["v"].tolist()) for name, g in rows.groupby("topic", sort=True)
-            ]
-            topic, t, ident, v = [], [], [], []
-            yield pd.DataFrame(out, columns=["episode", "chunk", "topic", "times", "vals"])
-        state.update((topic, t, ident, v, closed))
+            yield part(True)
+            held = [[], [], [], []]
+        state.update((*held, closed))
         if event_time is not None:
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
 
@@ -235,3 +273,12 @@ def stream_trace_fold(
         GroupStateTimeout.NoTimeout if event_time is None else GroupStateTimeout.EventTimeTimeout,
     )
     return stream_ingest(folded, target, checkpoint, trigger=trigger)
+
+
+def trace_folds(spark: SparkSession, target: str) -> DataFrame:
+    """One row per (episode, chunk, topic) from all its parts, in order of time and id; ``complete`` once it has ended."""
+    each = spark.read.parquet(target).select("episode", "chunk", "topic", "complete", F.arrays_zip("times", "ids", "vals").alias("part"))
+    whole = each.groupBy("episode", "chunk", "topic").agg(
+        F.array_sort(F.flatten(F.collect_list("part"))).alias("all"), F.bool_or("complete").alias("complete")
+    )
+    return whole.select("episode", "chunk", "topic", *[F.col(f"all.{c}").alias(c) for c in ("times", "ids", "vals")], "complete")

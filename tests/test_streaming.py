@@ -11,9 +11,10 @@ from sparkassay.operators import traces as T
 from sparkassay.streaming import streams as ST
 
 
-def feed(spark, folder, df, order, parts):
-    """Write ``parts`` files in row order and stream them one per batch."""
+def feed(spark, folder, df, order, parts, shuffle=False):
+    """Write ``parts`` files in row order, or in random order, and stream them one per batch."""
     pdf = df.toPandas().sort_values(order)
+    pdf = pdf.sample(frac=1, random_state=3) if shuffle else pdf
     for i, idx in enumerate(np.array_split(np.arange(len(pdf)), parts)):
         spark.createDataFrame(pdf.iloc[idx], df.schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return ST.source(spark, f"{folder}/in", df.schema, maxFilesPerTrigger=1)
@@ -31,14 +32,14 @@ def test_online_label_equals_offline(spark, folder, parts):
     assert got == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_message_age_equals_batch(spark, folder, parts):
+@pytest.mark.parametrize(("parts", "shuffle"), [(1, False), (4, False), (5, True)])
+def test_message_age_equals_batch(spark, folder, parts, shuffle):
     rng = np.random.default_rng(9)
     rows = [(int(rng.integers(0, 3)), t, bool(rng.random() < 0.4), t, t - int(rng.integers(0, 50))) for t in range(120)]
     df = spark.createDataFrame(rows, "episode long, t long, is_decision boolean, id long, time_stamp long")
-    stream = feed(spark, folder, df, ["t"], parts)
+    stream = feed(spark, folder, df, ["t"], parts, shuffle)
     ST.stream_message_age(stream, f"{folder}/out", f"{folder}/cp", ["episode"]).awaitTermination()
-    got = sorted(map(str, spark.read.parquet(f"{folder}/out/ages").select("episode", "decision", "t", "msg_id", "age").collect()))
+    got = sorted(map(str, ST.message_ages(spark, f"{folder}/out", ["episode"]).select("episode", "decision", "t", "msg_id", "age").collect()))
     d = df.where("is_decision").withColumnRenamed("id", "decision")
     m = df.where("NOT is_decision").withColumnRenamed("id", "msg_id")
     want = T.latest_message_asof(d, m, ["episode"]).select("episode", "decision", "t", "msg_id", "age")
@@ -55,18 +56,21 @@ def test_restart_repeats_nothing(spark, folder):
     assert spark.read.parquet(f"{folder}/out").count() == 40
 
 
-def test_uid_is_accepted_once_over_batches(spark, folder):
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_uid_is_accepted_once_over_batches(spark, folder, shuffle):
     at = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(f"u{i % 7}", at + dt.timedelta(minutes=i)) for i in range(30)], "ep_uid string, ts timestamp")
-    ST.stream_dedup(feed(spark, folder, df, ["ts"], 3), f"{folder}/out", f"{folder}/cp", delay="2 hours").awaitTermination()
+    df = spark.createDataFrame([(f"u{i % 7}", at + dt.timedelta(days=i)) for i in range(30)], "ep_uid string, ts timestamp")
+    ST.stream_dedup(feed(spark, folder, df, ["ts"], 3, shuffle), f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert sorted(r["ep_uid"] for r in spark.read.parquet(f"{folder}/out").collect()) == [f"u{i}" for i in range(7)]
 
 
-def test_log_holds_each_key_once(spark, folder):
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_log_ends_with_whole_trials(spark, folder, shuffle):
     df = spark.createDataFrame([(i % 6, i) for i in range(30)], "key long, t long")
-    result = lambda d: d.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    ST.stream_checkpoint_log(feed(spark, folder, df, ["t"], 3), f"{folder}/out", f"{folder}/cp", ["key"], result).awaitTermination()
-    assert sorted(r["key"] for r in spark.read.parquet(f"{folder}/out/results").collect()) == list(range(6))
+    result = lambda d: d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("s"))
+    ST.stream_checkpoint_log(feed(spark, folder, df, ["t"], 3, shuffle), f"{folder}/out", f"{folder}/cp", ["key"], result).awaitTermination()
+    got = ST.checkpoint_log(spark, f"{folder}/out", ["key"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, result(df).collect()))
     assert spark.read.parquet(f"{folder}/out/episodes").count() == 30
 
 
@@ -80,12 +84,14 @@ def test_gate_follows_the_newest_designs(spark, folder):
     assert [r["status"] for r in got] == ["passed", "passed", "stopped"]
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_fold_waits_for_the_end(spark, folder, parts):
+@pytest.mark.parametrize(("parts", "shuffle", "most"), [(1, False, 100_000), (4, False, 100_000), (4, True, 100_000), (3, True, 2)])
+def test_fold_waits_for_the_end(spark, folder, monkeypatch, parts, shuffle, most):
+    monkeypatch.setattr(ST, "CHUNK_RECORDS", most)
     rows = [(e, "ab"[i % 2], i * 10, i, float(i), "end" if i == 19 and e < 2 else None) for e in range(3) for i in range(20)]
     df = spark.createDataFrame(rows, "episode long, topic string, t long, id long, v double, cause string")
-    ST.stream_trace_fold(feed(spark, folder, df, ["t", "episode"], parts), f"{folder}/out", f"{folder}/cp", 60).awaitTermination()
-    got = spark.read.parquet(f"{folder}/out").toPandas()
+    ST.stream_trace_fold(feed(spark, folder, df, ["t", "episode"], parts, shuffle), f"{folder}/out", f"{folder}/cp", 60).awaitTermination()
+    got = ST.trace_folds(spark, f"{folder}/out").toPandas()
+    got = got[got["complete"]]
     assert sorted(got["episode"].unique()) == [0, 1]  # episode 2 never ended
     for e in (0, 1):
         for topic, odd in (("a", 0), ("b", 1)):

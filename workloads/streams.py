@@ -13,18 +13,29 @@ from .sequential import KEYS, LABEL_SQL
 from .traces import DAY_MS, MS_SQL
 
 
-def stream(spark, sf, name):
-    """A table as a file stream."""
-    schema = table(spark, sf, name).schema
-    return ST.source(spark, sf, schema, pathGlobFilter=f"{name}.parquet")
+PARTS = 4
+
+
+def stream(spark, sf, name, order=None):
+    """A table as a stream of ``PARTS`` files, one per micro-batch: rows at random, or in runs of the ``order`` column."""
+    rows = table(spark, sf, name)
+    if order is None:
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))
+    else:
+        limits = list(rows.agg(F.expr(f"percentile({order}, array({', '.join(str(i / PARTS) for i in range(1, PARTS))}))")).first()[0])
+        part = sum((F.col(order) > F.lit(x)).cast("int") for x in limits)
+    folder = scratch_path(spark, f"{name}-files")
+    for i in range(PARTS):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return ST.source(spark, folder, rows.schema, maxFilesPerTrigger=1)
 
 
 def places(spark, name):
     return scratch_path(spark, name), scratch_path(spark, f"{name}-offsets")
 
 
-def episode_stream(spark, sf):
-    return stream(spark, sf, "lineitem").select(
+def episode_stream(spark, sf, order=None):
+    return stream(spark, sf, "lineitem", order).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ep_uid"),
         F.col("l_orderkey").alias("ep_id"),
         F.col("l_linenumber").alias("seq"),
@@ -52,7 +63,7 @@ def stream_ingest(spark, sf):
 @query("stream_dedup", f"WITH {EP_SQL} SELECT DISTINCT ep_uid FROM ep")
 def stream_dedup(spark, sf):
     target, offsets = places(spark, "dedup")
-    src = episode_stream(spark, sf).select("ep_uid", F.col("ship").cast("timestamp").alias("ts"))
+    src = episode_stream(spark, sf).select("ep_uid")
     ST.stream_dedup(src, target, offsets).awaitTermination()
     return spark.read.parquet(target).select("ep_uid")
 
@@ -60,7 +71,8 @@ def stream_dedup(spark, sf):
 @query("stream_sprt", f"WITH {LABEL_SQL} SELECT gidx, scenario, label, mode, n, k FROM lab")
 def stream_sprt(spark, sf):
     target, offsets = places(spark, "sprt")
-    ST.stream_sprt(episode_stream(spark, sf), target, offsets, KEYS, EP_ORDER, unsafe_flag()).awaitTermination()
+    # a sequential test takes its trials in their order, so the files are runs of it
+    ST.stream_sprt(episode_stream(spark, sf, "l_orderkey"), target, offsets, KEYS, EP_ORDER, unsafe_flag()).awaitTermination()
     return ST.sprt_state(spark, target, KEYS)
 
 
@@ -78,7 +90,7 @@ def stream_gate(spark, sf):
     ST.stream_gate(
         src, target, offsets, window=50, trials=4, scenarios=2, max_seconds=6, max_retries=10
     ).awaitTermination()
-    out = spark.read.parquet(f"{target}/status")
+    out = spark.read.parquet(f"{target}/status").orderBy(F.desc("batch")).limit(1)  # after the last batch
     return out.select("iter", "status", F.round("seconds_per_trial", 9).alias("seconds_per_trial"))
 
 
@@ -94,7 +106,7 @@ def stream_checkpoint_log(spark, sf):
     )
     result = lambda d: d.groupBy(*keys).agg(F.count(F.lit(1)).alias("episodes"), F.max("l_quantity").alias("top"))
     ST.stream_checkpoint_log(src, target, offsets, keys, result).awaitTermination()
-    return spark.read.parquet(f"{target}/results").drop("batch")
+    return ST.checkpoint_log(spark, target, keys)
 
 
 @query(
@@ -114,7 +126,7 @@ def stream_message_age(spark, sf):
         F.col("event_id").alias("id"), (t - k * 600000).alias("time_stamp"),
     )
     ST.stream_message_age(src, target, offsets, ["episode"]).awaitTermination()
-    return spark.read.parquet(f"{target}/ages").drop("batch")
+    return ST.message_ages(spark, target, ["episode"])
 
 
 @query(
@@ -138,6 +150,6 @@ def stream_trace_fold(spark, sf):
     )
     ST.stream_trace_fold(src, target, offsets, 7 * DAY_MS).awaitTermination()
     total = F.aggregate("vals", F.lit(0.0), lambda a, x: a + x)
-    return spark.read.parquet(target).select(
+    return ST.trace_folds(spark, target).select(
         "episode", "chunk", "topic", F.size("times").alias("len"), F.array_join("times", ",").alias("times"), F.round(total, 6).alias("total")
     )
