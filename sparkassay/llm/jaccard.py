@@ -11,7 +11,7 @@ with at least T - L are probed by binary search in the whole sorted sets, which
 * Short lists are dealt to the task of their home, the class among theirs that meets most others. A group of near copies
   shares one home, so its lists are merged where its sets are probed, and only links leave the task, at most one for
   each set: pairs whose components are joined already are not probed. A pair's occurrences in lists of other homes are
-  bounded by the lists that both have there.
+  bounded by the lists that both have in the homes they share.
 * A home with more than ``PART`` classes is searched in pairs of parts, so no task holds more than two parts.
 * A first pass without sets finds the classes that have a candidate at all; sets are made and moved for these only.
 """
@@ -36,10 +36,10 @@ SHINGLE = 5
 SHARE = 75  # of 100
 PART = 4096  # classes of one home that meet in a task
 TASK_ROWS = 20_000
+MOST_HOMES = 64  # a class with more homes bounds its occurrences elsewhere by their number alone
 COUNTERS = 1 << 22
 SLICE = 1 << 16
 LIST_ROWS = 50_000  # entries of a list whose size is counted together
-SIGMAS = 8  # above the mean count at which a shingle's list is long
 
 
 def shingle_sets(bodies: pa.Array) -> list[np.ndarray]:
@@ -123,7 +123,8 @@ def _sketch(blobs: DataFrame) -> np.ndarray:
         packed = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
         return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "counts": [packed]})
 
-    level = blobs.withColumn("some", F.pmod(F.crc32("counts"), F.lit(64)))
+    groups = max(1, round((blobs.count() * SLICE / COUNTERS) ** 0.5))
+    level = blobs.withColumn("some", F.pmod(F.crc32("counts"), F.lit(groups)))
     level = level.groupBy("slice", "some").applyInPandas(add, "slice long, counts binary")
     out = np.zeros(COUNTERS, np.uint32)
     unpack = zstandard.ZstdDecompressor()
@@ -133,7 +134,7 @@ def _sketch(blobs: DataFrame) -> np.ndarray:
 
 
 def short_lists(s: np.ndarray, counters: np.ndarray, limit: float) -> np.ndarray:
-    """The n - T + 1 shingles of a set whose lists are merged: those not known as frequent first, then by count."""
+    """The n - T + 1 shingles of a set whose lists are merged: those with at most the mean count first, then by count."""
     n = len(s)
     most = n - -(-SHARE * n // 100) + 1
     seen = counters[(s >> np.uint64(42)).astype(np.int64)]
@@ -146,26 +147,25 @@ def short_lists(s: np.ndarray, counters: np.ndarray, limit: float) -> np.ndarray
 def _postings(docs: DataFrame, text: str, counters: np.ndarray) -> DataFrame:
     spark = docs.sparkSession
     mean = float(counters.mean())
-    shared = spark.sparkContext.broadcast((counters, mean + SIGMAS * max(1.0, mean**0.5)))
+    shared = spark.sparkContext.broadcast((counters, mean))
 
     def run(batches):
         seen = set()
         for batch in batches:
             for _, sets in _each(batch, 0):
-                lists, classes, sizes = [], [], []
+                lists, classes = [], []
                 for s in sets:
                     if len(s) and (c := class_of(s)) not in seen:
                         seen.add(c)
                         lists.append(short_lists(s, *shared.value))
                         classes.append(c)
-                        sizes.append(len(s))
                 if lists:
                     times = [len(x) for x in lists]
-                    cols = [np.concatenate(lists).view(np.int64), np.repeat(np.asarray(sizes), times), np.repeat(np.asarray(classes), times)]
+                    cols = [np.concatenate(lists).view(np.int64), np.repeat(np.asarray(classes), times)]
                     for i in range(0, len(cols[0]), 20_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000]) for c in cols], ["shingle", "n", "class"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000]) for c in cols], ["shingle", "class"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle long, n long, class long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle long, class long")
 
 
 def _lists(size_of, names: list[str], overlap: int):
@@ -194,26 +194,26 @@ def _lists(size_of, names: list[str], overlap: int):
 
 
 def _shared(cols, again):
-    """(shingle, class, n, size) of the lists with several classes. Parts of a long list share a class, so none is alone."""
-    shingle, n, c = cols
-    new = np.append(True, (shingle[1:] != shingle[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]))[: len(shingle)]
-    shingle, n, c = shingle[new], n[new], c[new]
+    """(shingle, class, size) of the lists with several classes. Parts of a long list share a class, so none is alone."""
+    shingle, c = cols
+    new = np.append(True, (shingle[1:] != shingle[:-1]) | (c[1:] != c[:-1]))[: len(shingle)]
+    shingle, c = shingle[new], c[new]
     first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)])
     length = np.diff(np.append(first, len(shingle)))
     size = np.repeat(length, length)
     some = size > 1
-    return [x[some] for x in (shingle, c, n, size)], None
+    return [x[some] for x in (shingle, c, size)], None
 
 
 def _homes(cols, again):
-    """(home, shingle, class, n, total): the home of a list is its first entry; ``again`` is that of a list cut into parts."""
-    shingle, _, c, n, total = cols
+    """(home, shingle, class, total): the home of a list is its first entry; ``again`` is that of a list cut into parts."""
+    shingle, _, c, total = cols
     first = np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)]
     home = c[np.flatnonzero(first)][np.cumsum(first) - 1]
     if again is not None and len(shingle):
         home[shingle == again[0]] = again[1]
     last = (shingle[-1], home[-1]) if len(shingle) else None
-    return [home, shingle, c, n, total], last
+    return [home, shingle, c, total], last
 
 
 def _sets(docs: DataFrame, text: str, members: np.ndarray) -> DataFrame:
@@ -244,11 +244,18 @@ def _overlap(s: np.ndarray, t: np.ndarray) -> int:
     return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
 
 
-def search(n: np.ndarray, total: np.ndarray, lists: list[np.ndarray], part: np.ndarray, sets: list[np.ndarray] | None):
+def search(
+    n: np.ndarray,
+    total: np.ndarray,
+    lists: list[np.ndarray],
+    part: np.ndarray,
+    others: list[tuple[np.ndarray, np.ndarray] | None],
+    sets: list[np.ndarray] | None,
+):
     """T-occurrence search among the classes of one home: (flags of classes with a candidate, links between positions).
 
     ``n`` are the set sizes, ``total`` the number of short lists of each class in all homes, ``lists`` those in this
-    home. With two kinds of ``part``, only pairs of different parts are searched.
+    home, ``others`` the other homes of each class and its number of lists there, if there are not too many. With two kinds of ``part``, only pairs of different parts are searched.
     """
     m = len(n)
     size = np.asarray([len(x) for x in lists])
@@ -257,6 +264,10 @@ def search(n: np.ndarray, total: np.ndarray, lists: list[np.ndarray], part: np.n
     order = np.argsort(number, kind="stable")
     member, bounds = owner[order], np.searchsorted(number[order], np.arange(number.max() + 2))
     first = np.append(0, np.cumsum(size))
+    told = np.asarray([o is not None for o in others])
+    held = [np.concatenate(x) for x in zip(*[(h, k, np.full(len(h), i)) for i, o in enumerate(others) if o is not None for h, k in [o]])] or [np.zeros(0, np.int64)] * 3
+    turn = np.argsort(held[0], kind="stable")
+    home, there, whose = (h[turn] for h in held)
     elsewhere, crossed = total - size, len(np.unique(part)) > 1
     aside = -(-SHARE * n // 100) - 1
     found, links, root = np.zeros(m, bool), [], list(range(m))
@@ -270,7 +281,14 @@ def search(n: np.ndarray, total: np.ndarray, lists: list[np.ndarray], part: np.n
     for x in range(m):
         met = np.bincount(np.concatenate([member[bounds[k] : bounds[k + 1]] for k in number[first[x] : first[x + 1]]]), minlength=m)
         needed = -(-SHARE * (n + n[x]) // (100 + SHARE)) - np.maximum(aside, aside[x])
-        ok = (met > 0) & (met + np.minimum(elsewhere, elsewhere[x]) >= needed)
+        further = np.minimum(elsewhere, elsewhere[x])
+        if told[x]:
+            exact = np.zeros(m, np.int64)
+            for h, k in zip(*others[x]):
+                a, b = np.searchsorted(home, (h, h + 1))
+                exact[whose[a:b]] += np.minimum(there[a:b], k)
+            further = np.where(told, np.minimum(exact, further), further)
+        ok = (met > 0) & (met + further >= needed)
         ok &= (100 * np.minimum(n, n[x]) >= SHARE * np.maximum(n, n[x])) & ((part != part[x]) if crossed else True)
         ok[: x + 1] = False
         some = np.flatnonzero(ok)
@@ -295,11 +313,23 @@ def _home_groups(frame: pd.DataFrame):
             yield frame.iloc[a:b]
 
 
+def _arguments(group: pd.DataFrame) -> tuple:
+    own = group["home"].iloc[0]
+    lists = [np.asarray(x, np.int64) for x in group["lists"]]
+    others = []
+    for homes, counts in zip(group["homes"], group["counts"]):
+        if homes is None:
+            others.append(None)
+            continue
+        homes, counts = np.asarray(homes, np.int64), np.asarray(counts, np.int64)
+        others.append((homes[homes != own], counts[homes != own]))
+    return group["n"].to_numpy(), group["total"].to_numpy(), lists, group["part"].to_numpy(), others
+
+
 def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
     out = []
     for group in _home_groups(frame):
-        lists = [np.asarray(x, np.int64) for x in group["lists"]]
-        found, _ = search(group["n"].to_numpy(), group["total"].to_numpy(), lists, group["part"].to_numpy(), None)
+        found, _ = search(*_arguments(group), None)
         out.append(group[["home", "low", "high", "class"]][found])
     return pd.concat(out) if out else frame[["home", "low", "high", "class"]][:0]
 
@@ -307,32 +337,36 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
 def _probed(frame: pd.DataFrame) -> pd.DataFrame:
     out = []
     for group in _home_groups(frame):
-        lists = [np.asarray(x, np.int64) for x in group["lists"]]
         sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
-        _, links = search(group["n"].to_numpy(), group["total"].to_numpy(), lists, group["part"].to_numpy(), sets)
+        _, links = search(*_arguments(group), sets)
         classes = group["class"].to_numpy()
         out += [(classes[x], classes[y]) for x, y in links]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _at_home(member: DataFrame) -> DataFrame:
+def _at_home(member: DataFrame, sizes: DataFrame) -> DataFrame:
     """(home, low, high, part, class, n, total, lists): a class with its short lists of one home, for each pair of parts."""
     own = Window.partitionBy("class")  # at most one row for each short list of a set
     known = member.withColumn("degree", -F.sum("size").over(own)).withColumn("total", F.count(F.lit(1)).over(own))
-    known = known.select("shingle", "degree", "class", "n", "total")
+    known = known.select("shingle", "degree", "class", "total")
     known = known.repartition("shingle").sortWithinPartitions("shingle", "degree", "class")
-    names = ["home", "shingle", "class", "n", "total"]
-    homes = known.mapInArrow(_lists(_homes, names, 0), "home long, shingle long, class long, n long, total long")
-    rows = durable(homes.groupBy("home", "class", "n", "total").agg(F.collect_list("shingle").alias("lists")))
+    names = ["home", "shingle", "class", "total"]
+    homes = known.mapInArrow(_lists(_homes, names, 0), "home long, shingle long, class long, total long")
+    rows = homes.groupBy("home", "class", "total").agg(F.collect_list("shingle").alias("lists")).join(sizes, "class")
+    few = F.count(F.lit(1)).over(own) <= MOST_HOMES
+    rows = durable(
+        rows.withColumn("homes", F.when(few, F.collect_list("home").over(own)))
+        .withColumn("counts", F.when(few, F.collect_list(F.size("lists").cast("long")).over(own)))
+    )
     parts = durable(rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 1"))
     rows = rows.join(parts, "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")
-    rows = rows.select("home", part, "class", "n", "total", "lists", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return rows.select("home", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "n", "total", "lists")
+    rows = rows.select("home", part, "class", "n", "total", "lists", "homes", "counts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return rows.select("home", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "n", "total", "lists", "homes", "counts")
 
 
-def _links(member: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    rows = durable(_at_home(member))
+def _links(member: DataFrame, sizes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    rows = durable(_at_home(member, sizes))
     key = ["home", "low", "high"]
     tasks = max(1, -(-rows.count() // TASK_ROWS))
     dealt = rows.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)))
@@ -355,10 +389,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     _describe(docs, key, text).write.parquet(path)
     found = spark.read.parquet(path)
     counters = _sketch(found.filter("slice is not null").select("slice", "counts"))
-    lists = _postings(docs, text, counters).repartition("shingle").sortWithinPartitions("shingle", "n", "class")
-    names = ["shingle", "class", "n", "size"]
-    member = lists.mapInArrow(_lists(_shared, names, 1), "shingle long, class long, n long, size long")
-    roots = components(_links(member, docs, text))
+    lists = _postings(docs, text, counters).repartition("shingle").sortWithinPartitions("shingle", "class")
+    names = ["shingle", "class", "size"]
+    member = lists.mapInArrow(_lists(_shared, names, 1), "shingle long, class long, size long")
+    sizes = found.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"))
+    roots = components(_links(member, sizes, docs, text))
     own = found.filter("slice is null")
     classes = own.filter("n > 0").groupBy("class").agg(F.min("key").alias("low"))
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
