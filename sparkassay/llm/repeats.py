@@ -36,7 +36,7 @@ LENGTH = 200
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a string around it can cover
 BLOCK_BYTES = 1 << 20
-HOT = 100_000
+HOT = 30_000
 HOT_ANCHOR = 20_000
 
 
@@ -148,8 +148,8 @@ def _settle(batches):
 # ---- the run-length index of a block
 
 
-def suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix array of segments, and the ranks of all places by their first 7, 14, 28 ... bytes.
+def suffixes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffix array of segments, by ranks of all places from their first 7, 14, 28 ... bytes.
 
     ``data`` holds the segments with one place behind each, at ``ends``; those places sort first and all differ. A rank
     is the place in the order at which the group of equal beginnings starts, so only groups of several are sorted again.
@@ -166,7 +166,7 @@ def suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple
     rank[ends] = np.arange(len(ends))
     some, base = np.flatnonzero(left > 0), len(ends)
     key, start = key[some], np.zeros(len(some), np.int64)
-    levels, depth = [], 7
+    depth = 7
     while True:
         order = np.argsort(key if depth == 7 else start * (n + 1) + key)
         some, key, start = some[order], key[order], start[order]
@@ -176,9 +176,7 @@ def suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple
         first = np.flatnonzero(group)
         place = start + at - first[np.cumsum(group) - 1] + (base if depth == 7 else 0)
         fresh = place[np.flatnonzero(new)][np.cumsum(new) - 1] if len(some) else place
-        rank = rank.copy()
         rank[some] = fresh
-        levels.append((depth, rank))
         alone = new & np.append(new[1:], True)[: len(some)]
         some = some[~alone]
         if not len(some):
@@ -188,30 +186,19 @@ def suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple
         depth *= 2
     order = np.zeros(n, np.int64)
     order[rank] = np.arange(n)
-    return order, levels
+    return order
 
 
-def common(data: np.ndarray, ends: np.ndarray, levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common prefix of the suffixes at a and b; it never runs over a segment's end."""
+def common(data: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at a and b, which never runs over a segment's end."""
+    hashes = tx.Hashes(data)
+    most = np.minimum(ends[np.searchsorted(ends, a)] - a, ends[np.searchsorted(ends, b)] - b)
     total = np.zeros(len(a), np.int64)
-    a, b = a.copy(), b.copy()
-    last = len(data) - 1
-    marked = np.zeros(len(data), bool)
-    marked[ends] = True
-    for depth, rank in levels[::-1]:
-        same = rank[np.minimum(a, last)] == rank[np.minimum(b, last)]
-        # Ranks of a level tell places apart by their first ``depth`` bytes, cut at the segment's end.
-        own = ends[np.minimum(np.searchsorted(ends, a), len(ends) - 1)] - a
-        same &= own >= depth
-        total += same * depth
-        a += same * depth
-        b += same * depth
-    for _ in range(7):
-        x, y = np.minimum(a, last), np.minimum(b, last)
-        same = (data[x] == data[y]) & ~marked[x] & ~marked[y]
-        total += same
-        a += same
-        b += same
+    step = 1 << int(most.max(initial=0)).bit_length()
+    while step := step >> 1:
+        fits = np.flatnonzero(total + step <= most)
+        x, y = a[fits] + total[fits], b[fits] + total[fits]
+        total[fits[hashes.spans(x, x + step) == hashes.spans(y, y + step)]] += step
     return total
 
 
@@ -220,7 +207,7 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     size = np.asarray([len(s) for s in segments], np.int64)
     ends = np.cumsum(size + 1) - 1
     data = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    order, levels = suffixes(data, ends)
+    order = suffixes(data, ends)
     before = np.where(order > 0, data[order - 1].astype(np.int64), -1)
     border = np.zeros(len(data), bool)
     border[ends] = True
@@ -230,7 +217,7 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     head[0] = False
     at = np.flatnonzero(head)
     reach = np.zeros(len(data), np.int64)
-    reach[order[at]] = order[at] + common(data, ends, levels, order[at - 1], order[at])
+    reach[order[at]] = order[at] + common(data, ends, order[at - 1], order[at])
     statistic = np.maximum.accumulate(reach) - np.arange(len(data))
     found = statistic >= LENGTH
     long = np.flatnonzero(found[order])
