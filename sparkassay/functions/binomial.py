@@ -63,7 +63,9 @@ def _beta_cf(a, b, x):
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
         if np.all(np.abs(d * c - 1.0) < 1e-15):
-            break
+            return h
+    if np.any(np.abs(d * c - 1.0) > 1e-9):
+        raise ArithmeticError("the continued fraction of the beta function has not converged")
     return h
 
 

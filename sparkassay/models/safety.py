@@ -106,14 +106,24 @@ def rf_safety(
     return tried[at], losses
 
 
-def _poisson_count(u: Column, mean: Column, top: int = 12) -> Column:
-    """Poisson draw by inversion of a uniform; the tail beyond ``top`` has negligible mass for small means."""
-    term, cum, out = F.exp(-mean), F.exp(-mean), F.lit(0)
-    for k in range(1, top + 1):
-        out = out + (u > cum).cast("int")
-        term = term * mean / k
-        cum = cum + term
-    return out
+def _poisson_count(mean: Column, *seed: Column) -> Column:
+    """Poisson draw of any mean: the sum of ceil(mean) draws of a mean up to one, each by inversion of its own uniform.
+
+    A part counts up to 24, above which a mean of one has less mass (1e-25) than a uniform can resolve.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(mean).cast("int"))
+    small = mean / parts
+
+    def draw(i: Column) -> Column:
+        u = hash_uniform(*seed, i)
+        term, cum, out = F.exp(-small), F.exp(-small), F.lit(0)
+        for k in range(1, 25):
+            out = out + (u > cum).cast("int")
+            term = term * small / k
+            cum = cum + term
+        return out
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, x: a + x)
 
 
 def mlp_ensemble(
@@ -132,8 +142,7 @@ def mlp_ensemble(
     scaled = scaler.transform(train).withColumn("_w", balanced_weight(counts))
     nets = []
     for i in range(members):
-        u = hash_uniform(F.lit("boot"), F.lit(seed + 17 * i), F.col("gidx"))
-        times = _poisson_count(u, F.col("_w"))
+        times = _poisson_count(F.col("_w"), F.lit("boot"), F.lit(seed + 17 * i), F.col("gidx"))
         boot = scaled.withColumn("_k", F.explode(F.array_repeat(F.lit(1), times))).select("_sx", "label")
         net = MultilayerPerceptronClassifier(
             layers=[n_features, *hidden, 2], featuresCol="_sx", labelCol="label", maxIter=max_iter, seed=seed + i,

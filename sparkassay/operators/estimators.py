@@ -27,19 +27,32 @@ def z_two_sided(delta: float) -> float:
     return NormalDist().inv_cdf(1.0 - delta / 2.0)
 
 
-def invalid_weights(rows: DataFrame) -> DataFrame:
-    """Rows whose log weight is missing, NaN or +inf; an estimate refuses such input."""
+def bad_weight() -> Column:
     lw = F.col("log_weight")
-    return rows.where(lw.isNull() | F.isnan(lw) | (lw == lit_inf()))
+    return lw.isNull() | F.isnan(lw) | (lw == lit_inf())
+
+
+def invalid_weights(rows: DataFrame) -> DataFrame:
+    """Rows whose log weight is missing, NaN or +inf; the estimate of a key with any of them is NULL."""
+    return rows.where(bad_weight())
+
+
+def _told(df: DataFrame) -> DataFrame:
+    """NaN, which a bad weight leaves in every sum of its key, shown as NULL."""
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
 
 def _banded(rows: DataFrame, keys: list[str], hit: Column | str) -> DataFrame:
     """Per (keys, band): counts, sums and centred second moment of w * hit, on the scale of the key's top band."""
     lw = F.col("log_weight")
     band = F.when(is_finite(lw), F.floor(lw / BAND)).cast("double")
-    base = rows.select(*keys, lw.alias("_lw"), band.alias("_b"), _col(hit).cast("boolean").alias("_hit"))
-    w = F.when(F.col("_b").isNotNull(), F.exp(F.col("_lw") - F.col("_b") * BAND)).otherwise(F.lit(0.0))
-    y = F.when(F.col("_hit"), F.col("_w")).otherwise(F.lit(0.0))
+    base = rows.select(
+        *keys, lw.alias("_lw"), band.alias("_b"), _col(hit).cast("boolean").alias("_hit"), bad_weight().alias("_bad")
+    )
+    w = F.when(F.col("_bad"), F.lit(float("nan"))).when(F.col("_b").isNotNull(), F.exp(F.col("_lw") - F.col("_b") * BAND))
+    w = w.otherwise(F.lit(0.0))
+    y = F.when(F.col("_hit") | F.col("_bad"), F.col("_w")).otherwise(F.lit(0.0))
     part = (
         base.withColumn("_w", w)
         .withColumn("_y", y)
@@ -107,7 +120,7 @@ def _diagnostics() -> dict[str, Column]:
 def weight_diagnostics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Overlap of proposal and nominal law per key; -inf is weight zero."""
     sums = _joined(_banded(rows, keys, F.lit(False)), keys)
-    return sums.select(*keys, "n", *[c.alias(n) for n, c in _diagnostics().items()])
+    return _told(sums.select(*keys, "n", *[c.alias(n) for n, c in _diagnostics().items()]))
 
 
 def _log_ci(log_est: Column, rse: Column, delta: float) -> tuple[Column, Column]:
@@ -117,7 +130,7 @@ def _log_ci(log_est: Column, rse: Column, delta: float) -> tuple[Column, Column]
 
 def is_estimate(rows: DataFrame, keys: list[str], hit: Column | str, delta: float = 0.05) -> DataFrame:
     """Weighted mean of hits with error, hit ESS, log-scale interval and self-normalised estimate."""
-    return _finish_is(_joined(_banded(rows, keys, hit), keys), keys, delta)
+    return _told(_finish_is(_joined(_banded(rows, keys, hit), keys), keys, delta))
 
 
 def _finish_is(sums: DataFrame, keys: list[str], delta: float) -> DataFrame:
@@ -185,7 +198,7 @@ def stratified_estimate(
         "bad_strata",
         *[c.alias(k) for k, c in _diagnostics().items()],
     )
-    return out.join(fails, keys)
+    return _told(out.join(fails, keys))
 
 
 def _joined_strata(rows: DataFrame, keys: list[str], stratum: str, hit: Column | str) -> DataFrame:
@@ -283,4 +296,5 @@ def severity_curve(
     sums = sums.withColumn("threshold", F.get(values, F.col("_slot"))).withColumn(
         "m2", F.greatest(zero, F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n"))
     )
-    return _finish_is(sums, [*keys, "threshold"], delta)
+    sums = sums.withColumn("sy", F.when(F.isnan("sw"), F.col("sw")).otherwise(F.col("sy")))  # a bad weight spoils all thresholds
+    return _told(_finish_is(sums, [*keys, "threshold"], delta))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binomial import passing_failures
+from .ordering import row_numbers
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,13 @@ def mode_label(mode: Column) -> Column:
 
 
 def first_trials(trials: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """The first ``limit`` rows per key with their position ``n``."""
+    """The first ``limit`` rows per key with their position ``n``.
+
+    Spark cuts a key before the shuffle only up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows; beyond it the
+    positions come from sliced windows, so a hot key is not sorted in one task either way.
+    """
+    if limit > int(trials.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return row_numbers(trials, keys, order, "n").where(F.col("n") <= limit)
     w = Window.partitionBy(*keys).orderBy(*order)
     return trials.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
 

@@ -46,6 +46,19 @@ def test_no_hits_and_no_weight(spark):
     assert (r["estimate"], r["hits"], r["ess"], r["snis"], r["max_norm_w"]) == (0.0, 2, 0.0, None, None)
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_a_bad_weight_leaves_no_estimate(spark, bad):
+    rows = [("a", True, 0.0, "x"), ("a", False, bad, "x"), ("a", True, 0.0, "y"), ("a", True, 0.0, "y")]
+    rows += [("b", True, 0.0, "x"), ("b", False, float("-inf"), "x"), ("b", True, 0.0, "y"), ("b", True, 0.0, "y")]
+    df = spark.createDataFrame(rows, "job string, failure boolean, log_weight double, sampling_component string")
+    one = {r["job"]: r for r in E.is_estimate(df, ["job"], "failure").collect()}
+    assert one["a"]["estimate"] is None and one["a"]["ess"] is None and abs(one["b"]["estimate"] - 0.75) < 1e-12
+    two = {r["job"]: r for r in E.stratified_estimate(df, ["job"], "sampling_component", "failure", "failure").collect()}
+    assert two["a"]["estimate"] is None and two["b"]["estimate"] is not None
+    three = {r["job"]: r for r in E.weight_diagnostics(df, ["job"]).collect()}
+    assert three["a"]["ess"] is None and three["b"]["n"] == 4
+
+
 def test_invalid_weights_are_reported(spark):
     rows = [("a", x, True, "s") for x in (0.0, math.nan, math.inf, -math.inf)] + [("a", None, True, "s")]
     assert E.invalid_weights(spark.createDataFrame(rows, SCHEMA)).count() == 3

@@ -84,3 +84,9 @@ def test_remaining_is_zero_after_a_decision(spark):
     rows = [(59, 0), (10, 0), (0, 0), (70, 1), (3, 3)]
     out = S.sprt_remaining(spark.createDataFrame(rows, "n long, k long")).collect()
     assert {(r["n"], r["k"]): r["need"] for r in out} == {(59, 0): 0, (10, 0): 3, (0, 0): 3, (70, 1): 4, (3, 3): 0}
+
+
+def test_a_limit_beyond_the_group_limit(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS g", "id AS ord")
+    got = S.first_trials(df, ["g"], ["ord"], 1200)
+    assert got.count() == 2400 and got.where("ord = 2 * (n - 1) + g").count() == 2400
