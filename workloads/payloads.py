@@ -184,14 +184,14 @@ VORDER = EP_ORDER_SQL.replace("metric", "value").replace("part", "gidx")
 
 @query(
     "fixed_replication",
-    f"""WITH {VALUE_SQL}, dd AS (SELECT * FROM v QUALIFY
-  row_number() OVER (PARTITION BY part, scenario, ep_id ORDER BY {VORDER}) = 1),
-r AS (SELECT part AS gidx, scenario, value, row_number() OVER (PARTITION BY part, scenario ORDER BY {VORDER}) AS ord FROM dd)
+    f"""WITH {EP_SQL}, v AS (SELECT * EXCLUDE (metric), CASE WHEN tax NOT IN (0.07, 0.08) THEN metric END AS value FROM ep),
+dd AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY part, scenario, ep_id ORDER BY {VORDER}) = 1),
+r AS (SELECT part AS gidx, scenario, value, row_number() OVER (PARTITION BY part, scenario ORDER BY {VORDER}) AS ord FROM dd WHERE value IS NOT NULL)
 SELECT gidx, scenario, ord::INT AS ord, value, count(*) OVER (PARTITION BY gidx, scenario) < 12 AS short
 FROM r WHERE ord <= 12""",
 )
 def fixed_replication(spark, sf):
-    rows = values(spark, sf).where(~F.col("tax").isin(0.07, 0.08))
+    rows = values(spark, sf)  # the operator skips values that are not finite
     order = ["value" if c == "metric" else c for c in EP_ORDER]
     return A.fixed_replication(by_part(rows), 12, order, seed="ep_id")
 

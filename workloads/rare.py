@@ -360,19 +360,19 @@ def precision_gates(spark, sf):
     )
 
 
-GATE_IN_SQL = f"""{CAMPAIGN_SQL}, cg AS (SELECT *, first_external_message_age_ms::BIGINT AS age FROM ca WHERE first_external_message_age_ms IS NOT NULL),
+GATE_IN_SQL = f"""{CAMPAIGN_SQL}, cg AS (SELECT *, first_external_message_age_ms::BIGINT AS age FROM ca),
 {is_sql('cg', 'job, age', 'failure')},
 q AS (SELECT *, CASE WHEN sy > 0 THEN exp(ln(nullif(est, 0)) - {Z!r} * rse) ELSE 0 END AS lo,
   CASE WHEN sy > 0 THEN least(1, exp(ln(nullif(est, 0)) + {Z!r} * rse)) END AS hi, sy * sy / sy2 AS hess FROM s),
 d AS (SELECT job, age, sum(w) ** 2 / sum(w * w) / count(*) AS er, max(w) / sum(w) AS mx, ln(avg(w)) AS lm FROM y GROUP BY ALL),
-wq AS (SELECT *, list_filter([CASE WHEN er < 0.8 THEN 'ess_ratio_below_minimum' END,
+wq AS (SELECT q.*, er, mx, lm, list_filter([CASE WHEN er < 0.8 THEN 'ess_ratio_below_minimum' END,
   CASE WHEN mx > 0.006 THEN 'max_normalized_weight_above_maximum' END,
-  CASE WHEN abs(lm) > 0.12 THEN 'mean_weight_inconsistent_with_one' END], lambda x: x IS NOT NULL) AS wr FROM q JOIN d USING (job, age))"""
+  CASE WHEN abs(lm) > 0.12 THEN 'mean_weight_inconsistent_with_one' END], lambda x: x IS NOT NULL) AS wr FROM q JOIN d ON q.job = d.job AND q.age IS NOT DISTINCT FROM d.age)"""
 
 
 def gated(spark, sf):
     rows = campaign(spark, sf).withColumn("age", F.col("first_external_message_age_ms").cast("bigint"))
-    est = E.is_estimate(rows.where("age IS NOT NULL"), ["job", "age"], HIT)
+    est = E.is_estimate(rows, ["job", "age"], HIT)  # rows without age are a group of their own
     quality = G.weight_quality(
         F.col("ess_ratio"), F.col("max_norm_w"), F.col("log_mean_w"), min_ess_ratio=0.8, max_weight=0.006, max_log_mean=0.12
     )
