@@ -36,7 +36,7 @@ LENGTH = 200
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a string around it can cover
 BLOCK_BYTES = 1 << 20
-HOT = 30_000
+HOT = 20_000
 HOT_ANCHOR = 20_000
 
 
@@ -315,11 +315,10 @@ def _strings(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["anchor", "shift", "h", "row", "at"])
 
 
-def _only(members: np.ndarray, wanted: bool, column: int):
+def _only(members: np.ndarray, column: int):
     def run(batches):
         for batch in batches:
-            flags = bloom.maybe(members, batch.column(column).to_numpy())
-            yield batch.filter(pa.array(flags if wanted else ~flags))
+            yield batch.filter(pa.array(bloom.maybe(members, batch.column(column).to_numpy())))
 
     return run
 
@@ -340,7 +339,7 @@ def marks(told: DataFrame) -> DataFrame:
     hot = durable(probes.filter(alone).groupBy("home").count().filter(F.col("count") > HOT_ANCHOR).select("home"))
     members = bloom.build(probes.select(F.col("row").alias("v")))
     blocks = max(1, -(-probes.count() * (LENGTH + REACH) // (4 * BLOCK_BYTES)))
-    some = told.mapInArrow(_only(members, True, 0), "row long, text string").dropDuplicates(["row"])
+    some = told.mapInArrow(_only(members, 0), "row long, text string").dropDuplicates(["row"])
 
     def pieces(which: DataFrame, merge: bool) -> DataFrame:
         listed = which.groupBy("row").agg(F.collect_list(F.struct("home", "anchor", "place")).alias("probes"))
@@ -383,6 +382,18 @@ def _cut(types, with_text: bool):
     return run
 
 
+def _clean(members: np.ndarray, types, with_text: bool):
+    """The rows without marks, by the last column; filtered and cut in one worker."""
+    cut = _cut(types, with_text)
+
+    def run(batches):
+        yield from cut(
+            batch.filter(pa.array(~bloom.maybe(members, batch.column(3).to_numpy()))).select([0, 1, 2]) for batch in batches
+        )
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (binary) of every row.
 
@@ -396,11 +407,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     members = bloom.build(found.select(F.col("row").alias("v")))
     full = docs.select(F.col(key).alias("key"), row, F.col(text).alias("text"))
     kinds = full.schema
-    marked = full.mapInArrow(_only(members, True, 1), kinds).join(ranges, "row", "left").select("key", "text", "ranges")
-    clean = full.mapInArrow(_only(members, False, 1), kinds)
-    clean = clean.select("key", "text", F.lit(None).cast(marked.schema["ranges"].dataType).alias("ranges"))
+    marked = full.mapInArrow(_only(members, 1), kinds).join(ranges, "row", "left").select("key", "text", "ranges")
+    clean = full.select("key", "text", F.lit(None).cast(marked.schema["ranges"].dataType).alias("ranges"), "row")
     fields = [T.StructField("key", docs.schema[key].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if with_text else []))
-    parts = [x.mapInArrow(_cut(schema, with_text), schema) for x in (clean, marked)]
-    return parts[0].unionByName(parts[1]).withColumnRenamed("key", key)
+    clean = clean.mapInArrow(_clean(members, schema, with_text), schema)
+    return clean.unionByName(marked.mapInArrow(_cut(schema, with_text), schema)).withColumnRenamed("key", key)

@@ -21,13 +21,17 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n."""
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            steps = np.full(max(n + 1, CHUNK_BYTES + 1), b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, 0 to n; kept for the next chunk, but not those of a longer text."""
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        steps = np.full(max(n, CHUNK_BYTES) + 1, b, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= CHUNK_BYTES:
+        _powers[:] = out
+    return out[0], out[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
