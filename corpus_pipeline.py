@@ -10,31 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkassay.llm import jaccard, lines, packing, personal, quality
+from sparkassay.llm.registry import small_batches
 from sparkassay.session import scratch_path, ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside the perplexity bands of their language go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines that many sites share are cut out; every document stays."""
+    small_batches(spark)
     return _recount(lines.remove_boilerplate(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest id."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; every document stays."""
+    small_batches(spark)
     return _recount(personal.redact_documents(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 ids."""
+    small_batches(spark)
     files = (public_tokenizers.path(f"byte_bpe_50k.{end}") for end in ("json", "tiktoken"))
     return packing.pack(docs, *files)
 
