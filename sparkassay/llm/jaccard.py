@@ -212,7 +212,7 @@ def _homes(cols, again):
     home = c[np.flatnonzero(first)][np.cumsum(first) - 1]
     if again is not None and len(shingle):
         home[shingle == again[0]] = again[1]
-    last = (shingle[-1], home[-1]) if len(shingle) else None
+    last = (shingle[-1], home[-1]) if len(shingle) else again  # a call without rows is still within the list
     return [home, shingle, c, total], last
 
 

@@ -67,6 +67,36 @@ def test_a_group_of_near_copies_with_borderline_pairs(docs, monkeypatch, part):
     assert found(jaccard.near_duplicates(docs([(i, t, "en", "a") for i, t in rows]))) == brute(rows)
 
 
+def test_parts_of_a_long_list_share_a_home(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 5)
+    shingle, c = np.repeat([7, 8, 9], [3, 40, 4]), np.arange(47)
+    cols, names = [shingle, np.zeros(47, np.int64), c, c], ["home", "shingle", "class", "total"]
+    for size in (1, 2, 3, 6, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in cols], ["s", "d", "c", "t"]) for i in range(0, 47, size)]
+        out = pa.Table.from_batches(jaccard._lists(jaccard._homes, names, 0)(batches))
+        assert out["class"].to_pylist() == c.tolist()
+        assert out["home"].to_pylist() == np.repeat([0, 3, 43], [3, 40, 4]).tolist()
+
+
+def test_borderline_pairs_across_the_cut_of_a_list(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 5)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        rng = random.Random(5)
+        base, rows = [f"w{i}" for i in range(80)], []
+        for i in range(40):
+            w = list(base)
+            w[rng.choice(range(6, 74, 6))] = f"e{i}"  # any two have 66 or 71 of 76 shingles in common
+            rows.append((i, " ".join(w), "en", "a"))
+        assert found(jaccard.near_duplicates(docs(rows))) == brute([r[:2] for r in rows])
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_edges(edge, empty):
     rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
     assert found(jaccard.near_duplicates(edge)) == brute(rows)
