@@ -6,8 +6,9 @@ all trees at once, one bit at a time, until the ranges hold enough candidates. H
 counted over the whole table beforehand (at most TREES * 2^BITS numbers), so the level at which a query stops is the
 same in every block of the table.
 
-Inner products of vectors of different lengths are searched as angles: each vector gets one more component that fills
-its length up to the greatest one. Scores are taken from the original vectors in double precision, component by
+Inner products of vectors of different lengths are searched as angles: each row of the table gets one more component that
+fills its length up to the greatest one, and a query gets 0 there, so its angle to a row falls as their inner product
+grows. A vector that is both has a string for each part. Scores are taken from the original vectors in double precision, component by
 component in order, so equal vectors have equal scores.
 """
 
@@ -31,26 +32,52 @@ STEP = 256
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, v, norm): vectors that are not null, not zero and finite in every component, of the most common size."""
+    """(id, v, largest): vectors that are not null, not zero and finite in every component; ``largest`` is that of them."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    largest = F.array_max(F.transform("v", F.abs))
     found = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
     found = found.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(~bad)
-    return found.withColumn("norm", norm).filter("norm > 0 and norm < double('infinity')")
+    return found.withColumn("largest", largest).filter("largest > 0")
 
 
-def _strings(planes: np.ndarray, longest: float):
+def _lengths(largest: float):
+    """The greatest length among the vectors of a task, in units of the largest component, so no square overflows."""
+
+    def run(batches):
+        longest = 0.0
+        for batch in batches:
+            if len(batch):
+                v = batch.column(0).flatten().to_numpy().reshape(len(batch), -1) / largest
+                longest = max(longest, float((v * v).sum(1).max()) ** 0.5)
+        yield pa.RecordBatch.from_arrays([pa.array([longest])], ["longest"])
+
+    return run
+
+
+def _strings(planes: np.ndarray, largest: float, longest: float, every: int):
+    def codes(filled: np.ndarray) -> list[bytes]:
+        signs = (filled @ planes > 0).reshape(-1, TREES, BITS)
+        return [x.tobytes() for x in (signs << np.arange(BITS)[::-1]).sum(2).astype(np.uint16)]
+
     def run(batches):
         for batch in batches:
             n = len(batch)
             if not n:
                 continue
             v = batch.column(1).flatten().to_numpy().reshape(n, -1)
-            fill = np.sqrt(np.maximum(0, longest**2 - (v * v).sum(1)))
-            signs = (np.column_stack([v, fill]) @ planes > 0).reshape(n, TREES, BITS)
-            codes = (signs << np.arange(BITS)[::-1]).sum(2).astype(np.uint16)
+            scaled = v / largest
+            fill = np.sqrt(np.maximum(0, longest**2 - (scaled * scaled).sum(1)))
+            asks = np.flatnonzero(batch.column(0).to_numpy() % every == 0)
+            own = np.full(n, None, object)
+            own[asks] = codes(np.column_stack([scaled[asks], np.zeros(len(asks))]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tobytes() for x in v]), pa.array([x.tobytes() for x in codes])], ["id", "v", "codes"]
+                [
+                    batch.column(0),
+                    pa.array([x.tobytes() for x in v]),
+                    pa.array(codes(np.column_stack([scaled, fill]))),
+                    pa.array(own, pa.binary()),
+                ],
+                ["id", "v", "codes", "asked"],
             )
 
     return run
@@ -114,7 +141,7 @@ def _search(k: int):
                 rough = near[j, some]
                 if len(some) > k:
                     least = np.partition(rough, len(some) - k)[len(some) - k]
-                    some = some[rough >= least - 1e-9 * max(1.0, abs(least))]
+                    some = some[rough >= (least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else least)]
                 exact = scores(v[some], q[i + j])
                 best = np.lexsort((ids[some], -exact))[:k]
                 out.append((own[i + j], ids[some][best], exact[best]))
@@ -137,12 +164,14 @@ def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
     """
     spark = vectors.sparkSession
     found = usable(vectors, key, column)
-    sizes = found.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("norm"))
+    sizes = found.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("rows"), F.max("largest").alias("largest"))
     common = sizes.orderBy(F.desc("rows"), "size").first()
-    size, rows, longest = common or (1, 0, 1.0)
+    size, rows, largest = common or (1, 0, 1.0)
     planes = np.random.default_rng(SEED).normal(size=(size + 1, TREES * BITS))
     found = found.filter(F.size("v") == size).select("id", "v")
-    coded = durable(found.mapInArrow(_strings(planes, longest), "id long, v binary, codes binary"))
+    longest = found.select("v").mapInArrow(_lengths(largest), "longest double").agg(F.max("longest")).first()[0] or 1.0
+    strings = _strings(planes, largest, longest, every)
+    coded = durable(found.mapInArrow(strings, "id long, v binary, codes binary, asked binary"))
     counted = coded.select("codes").mapInArrow(_count, "tree long, code long, times long")
     table = counted.groupBy("tree", "code").agg(F.sum("times").alias("times")).toArrow()  # at most TREES * 2^BITS rows
     below = np.zeros((TREES, (1 << BITS) + 1), np.int64)
@@ -156,12 +185,12 @@ def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
                 level = stop_level(codes, shared.value, SHARE * rows, min(k + 1, rows))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(level)], ["id", "v", "codes", "level"])
 
-    asked = coded.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
+    asked = coded.filter("asked is not null").select("id", "v", F.col("asked").alias("codes")).dropDuplicates(["id", "v"])
     asked = asked.mapInArrow(descend, "id long, v binary, codes binary, level long")
     blocks = max(1, -(-rows // INDEX_ROWS))
     groups = max(1, -(-(rows // every + 1) // QUERY_ROWS))
     salt = F.xxhash64("id", "v")
-    index = coded.withColumn("block", F.pmod(salt, F.lit(blocks))).withColumn(
+    index = coded.drop("asked").withColumn("block", F.pmod(salt, F.lit(blocks))).withColumn(
         "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )
     asked = asked.withColumn("group", F.pmod(salt, F.lit(groups)).cast("int")).withColumn(

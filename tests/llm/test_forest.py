@@ -51,3 +51,28 @@ def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in forest.nearest(few).orderBy("query_id", "rank").collect()] == [(0, 1), (0, 20), (20, 1), (20, 0)]
     assert forest.nearest(few.limit(0)).collect() == []
+
+
+def recall(spark, table):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(table.tolist())], "vec_id long, embedding array<double>")
+    found, ids = {}, np.arange(len(table))
+    for r in forest.nearest(df).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == set(range(0, len(table), 20))
+    return np.mean([len(got & set(exact(ids, table, q)[0].tolist())) / 20 for q, got in found.items()])
+
+
+def test_recall_with_varied_lengths(spark):
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(3000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    assert recall(spark, unit * rng.uniform(0.2, 1, 3000)[:, None]) >= 0.85
+    assert recall(spark, unit * np.where(rng.random(3000) < 0.1, 3, 1)[:, None]) >= 0.85
+
+
+def test_squares_beyond_a_double(spark):
+    rows = [(i, [1e-200 * (1 + i), 1e-200]) for i in range(3)]
+    assert {r["query_id"] for r in forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == {0}
+    rows = [(i, [1e160 * (1 + i), 1.0]) for i in range(3)] + [(20, [1e-150, 0.0])]
+    found = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 20] == [2, 1, 0]
