@@ -56,7 +56,7 @@ SELECT page_id, payload_bytes, payload_digest,
 def op2_warc(spark, sf):
     path = scratch_path(spark, "archives")
     warc.write_archives(table(spark, sf, "pages"), path)
-    files = spark.read.parquet(f"{path}/list").select("path", "length")
+    files = spark.read.parquet(f"{path}/list")
     page = {c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1) for c in ("record_id", "refers_to")}
     number = {c: F.when(x != "", x).cast("long") for c, x in page.items()}
     return warc.read_archives(files, payload=False).select(

@@ -32,7 +32,7 @@ REVISIT_BYTES = 100  # payloads below this are never revisits
 
 ARCHIVE_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
-HEADER_BYTES = 1 << 16  # longest record header
+HEADER_BYTES = 1 << 16  # read beyond a block at first; a longer header is read on
 
 
 def _rows(pages: DataFrame, key: str, body: str) -> DataFrame:
@@ -125,31 +125,41 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", body: str
     found.write.mode("overwrite").parquet(f"{path}/list")
 
 
-def header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
-    """Fields, start of the payload and its length, if a record can start at ``at``."""
-    if data[at : at + 7] != MAGIC[:7]:
+def header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | tuple[()] | None:
+    """Fields, start of the payload and its length, if a record can start at ``at``; empty if ``data`` ends before that shows."""
+    line = data.find(b"\r\n", at, at + 18)
+    if data[at : at + 7] != MAGIC[:7] or line < 0:
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
-        return None
-    lines = data[at:end].split(b"\r\n")
     fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
+    while True:
+        first = line + 2
+        line = data.find(b"\r\n", first)
+        if line < 0:
+            return ()
+        if line == first:
+            break
+        name, colon, value = data[first:line].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
     length = fields.get(b"content-length", b"")
-    if not length.isdigit() or len(length) > 18 or len(lines[0]) > 16:
+    if not length.isdigit() or len(length) > 18:
         return None
-    return fields, end + 4, int(length)
+    return fields, line + 2, int(length)
+
 
+def whole_header(data: bytes, at: int, more) -> tuple[bytes, tuple[dict[bytes, bytes], int, int] | None]:
+    """``data``, read on by ``more`` (place and number of bytes) as far as the header at ``at`` needs it, and that header."""
+    while (found := header(data, at)) == () and (rest := more(len(data), max(HEADER_BYTES, len(data)))):
+        data += rest
+    return data, found or None
 
-def candidates(data: bytes, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+
+def candidates(data: bytes, start: int, size: int, more=lambda place, length: b"") -> tuple[np.ndarray, np.ndarray]:
     """Places in the first ``size`` bytes where a record can start, and where the chain from each leaves those bytes."""
     at, place, after = 0, [], []
     while 0 <= (at := data.find(MAGIC[:7], at)) < size:
-        found = header(data, at)
+        data, found = whole_header(data, at, more)
         if found:
             place.append(at)
             after.append(found[1] + found[2] + 4)
@@ -165,16 +175,24 @@ def candidates(data: bytes, start: int, size: int) -> tuple[np.ndarray, np.ndarr
     return own + start, leaves + start
 
 
+def _reader(path: str, start: int):
+    return lambda place, length: read_range(path, start + place, length)
+
+
 def _links(frames):
     for frame in frames:
         for file, path, start, size in zip(frame["file"], frame["path"], frame["start"], frame["size"]):
-            data = read_range(path, int(start), int(size) + HEADER_BYTES)
-            own, leaves = candidates(data, int(start), int(size))
+            more = _reader(path, int(start))
+            own, leaves = candidates(more(0, int(size) + HEADER_BYTES), int(start), int(size), more)
             yield pd.DataFrame({"file": file, "place": own, "leaves": leaves})
 
 
 def entries(files: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
-    """(path, place): the first record on the chain from the file's start in every block that has one."""
+    """(path, place): the first record on the chain from the file's start in every block that has one.
+
+    A chain that ends at the file's length has met every record. Where ``files`` tell their number of ``records``, any
+    other end is an error.
+    """
     named = files.filter("length > 0").select(F.xxhash64("path").alias("file"), "path", "length")
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))).alias("start")
     size = F.least(F.lit(block), F.col("length") - F.col("start")).alias("size")
@@ -192,6 +210,11 @@ def entries(files: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
         far = jump.select("file", F.col("place").alias("leaves"), F.col("leaves").alias("beyond"))
         doubled = jump.join(far, ["file", "leaves"], "left")
         jump = durable(doubled.select("file", "place", F.coalesce("beyond", "leaves").alias("leaves")))
+    if "records" in files.columns:
+        whole = jump.filter("place = 0").select("file", F.col("leaves").alias("length"))
+        cut = files.filter("records > 0").withColumn("file", F.xxhash64("path")).join(whole, ["file", "length"], "left_anti")
+        if some := [r["path"] for r in cut.select("path").limit(10).collect()]:
+            raise ValueError(f"records that cannot be reached from the start of {', '.join(some)}")
     found = reached.join(links.select("file", "place"), ["file", "place"], "left_semi")
     return found.join(named.select("file", "path"), "file").select("path", "place")
 
@@ -201,7 +224,8 @@ def read_archives(files: DataFrame, block: int = BLOCK_BYTES, payload: bool = Tr
 
     Columns path, place, record_type, record_id, target_uri, refers_to, payload_bytes, payload_digest, and payload if
     wanted. Digest and length of a response are taken from its payload, those of a revisit from its header. A chain ends
-    where no record can start: what follows is not read. Empty files give no rows.
+    where no record can start: what follows is not read, and an error if ``files`` has a column ``records``, as the
+    list of the writer does. Empty files give no rows.
     """
 
     def run(frames):
@@ -209,8 +233,12 @@ def read_archives(files: DataFrame, block: int = BLOCK_BYTES, payload: bool = Tr
             for path, place in zip(frame["path"], frame["place"]):
                 start = int(place)
                 end = (start // block + 1) * block
-                data, at, rows = read_range(path, start, end - start + HEADER_BYTES), 0, []
-                while start + at < end and (found := header(data, at)):
+                more = _reader(path, start)
+                data, at, rows = more(0, end - start + HEADER_BYTES), 0, []
+                while start + at < end:
+                    data, found = whole_header(data, at, more)
+                    if not found:
+                        break
                     fields, first, size = found
                     body = data[first : first + size]
                     if len(body) < size:

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from sparkassay.llm import warc
 from sparkassay.llm.files import write_file
@@ -66,3 +67,18 @@ def test_links_leave_the_block():
     own, leaves = warc.candidates(data, 1000, len(data))
     assert len(own) == 5 and (leaves == 1000 + len(data)).all() and own[0] == 1000
     assert np.diff(own).tolist() == [len(record(n)) for n in range(4)]
+
+
+def test_headers_of_any_length(spark, folder):
+    rows = [(i, "data:," + "x y" * 70_000 if i % 7 == 3 else f"http://a/{i}", f"<p>page {i}</p>" * 9) for i in range(20)]
+    for block in (5000, 1 << 22):
+        assert read(spark, rows, f"{folder}/{block}", block) == wanted(rows)
+
+
+def test_a_chain_that_breaks_is_an_error(spark, folder):
+    one = warc.record_bytes(1, None, b"x", "d", None)
+    write_file(f"{folder}/one.warc", one, b"lost", one)
+    files = spark.createDataFrame([(f"{folder}/one.warc", 2 * len(one) + 4, 2)], "path string, length long, records long")
+    with pytest.raises(ValueError, match="one.warc"):
+        warc.read_archives(files)
+    assert warc.read_archives(files.drop("records")).count() == 1
