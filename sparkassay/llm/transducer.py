@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 import zlib
 from array import array
@@ -32,6 +33,7 @@ from .tokens import Words
 
 MARK = "▁"
 STATES = 800_000  # remembered beginnings of words
+LONG = 64  # characters of a unit above which its states are kept by position, and for this unit only
 WORDS = 1_000_000  # remembered words
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -61,6 +63,8 @@ class Transducer:
     def merged(self, text: str) -> list[str]:
         """Merge characters by score, the leftmost of equal ones first, as long as a pair forms a piece."""
         parts, score = list(text), self.score
+        if len(parts) > LONG:
+            return self._merged_long(parts)
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -72,6 +76,28 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merged_long(self, parts: list[str | None]) -> list[str]:
+        """The same merges from a heap of pairs; a pair that is no more, or no more so, is passed over."""
+        n, score, heap = len(parts), self.score, []
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := after[i]) < n and (s := score.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (-s, i, parts[i], parts[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] == left and j < n and parts[j] == right:
+                parts[i], parts[j], after[i] = left + right, None, after[j]
+                if after[j] < n:
+                    before[after[j]] = i
+                offer(before[i])
+                offer(i)
+        return [p for p in parts if p is not None]
+
     def _passes(self, before: str, piece: str) -> bool:
         if len(self.allowed) > 1_000_000:
             self.allowed.clear()
@@ -83,6 +109,8 @@ class Transducer:
         """Pieces, or single characters without a piece, along the path of least weight."""
         if unit.startswith(MARK + MARK) or len(unit) < 2:
             return self.merged(unit)  # runs of marks have equal scores, so neighbours alone do not tell their order
+        if len(unit) > LONG:
+            return self._long_path(unit)
         state, ids, allowed, longest = self.state, self.ids, self.allowed, self.longest
         if len(state) > STATES:
             state.clear()
@@ -107,6 +135,27 @@ class Transducer:
             end -= len(piece)
         return out[::-1]
 
+    def _long_path(self, unit: str) -> list[str]:
+        """The path of a long unit, whose beginnings as strings would take the square of its length."""
+        ids, allowed, longest = self.ids, self.allowed, self.longest
+        last = [""]  # the piece that ends the path to each place
+        for end in range(1, len(unit) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = unit[start:end]
+                if piece in ids or end - start == 1:
+                    pair = (last[start], piece)
+                    passes = allowed.get(pair)
+                    if self._passes(*pair) if passes is None else passes:
+                        last.append(piece)
+                        break
+            else:
+                return self.merged(unit)
+        out, end = [], len(unit)
+        while end:
+            out.append(last[end])
+            end -= len(last[end])
+        return out[::-1]
+
     def unit_ids(self, unit: str) -> bytes:
         out: list[int] = []
         for piece in self.path(unit):

@@ -28,3 +28,13 @@ def test_edges_and_decoding(edge, empty):
     told = sorted(((r["doc_id"], r["text"]) for r in transducer.decode(coded, MODEL).collect()), key=str)
     assert told == sorted(((r["doc_id"], r["text"] or "") for r in edge.collect()), key=str)
     assert transducer.encode(empty, MODEL).collect() == []
+
+
+def test_long_units_hold_no_square_of_their_length():
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=MODEL), transducer.Transducer(MODEL)
+    rng = np.random.default_rng(2)
+    signs = list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/éß日本語\n")
+    texts = ["".join(rng.choice(signs, 3000)), "日本語の文章" * 500, "thequickbrownfox" * 200, " " * 3000, "a" + " " * 500 + "b", "=" * 1000]
+    for text, ids in zip(texts, machine.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
+    assert sum(map(len, machine.state)) <= 10_000
