@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import forest, jaccard, lines, packing, personal, quality, repeats, tokenfiles, transducer, warc
+from . import forest, jaccard, lines, packing, personal, quality, repeats, tokenfiles, transducer, warc, whitening
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -95,3 +95,9 @@ def op6_repeats(spark, sf):
 @query("op9_transducer")
 def op9_transducer(spark, sf):
     return transducer.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf):
+    out = whitening.whiten(table(spark, sf, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
