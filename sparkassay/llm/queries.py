@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import forest, jaccard, lines, packing, personal, quality, repeats, tokenfiles, transducer, warc, whitening
+from . import forest, jaccard, lines, packing, personal, phrases, quality, repeats, tokenfiles, transducer, warc, whitening
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -101,3 +101,34 @@ def op9_transducer(spark, sf):
 def op13_whitening(spark, sf):
     out = whitening.whiten(table(spark, sf, "embeddings"))
     return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    "op12_phrases",
+    f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+q AS (SELECT lang, row_number() OVER () AS q, regexp_extract_all(piece, '[^ \t]+') AS w FROM p),
+w AS (SELECT lang, q, unnest(w) AS w1, generate_subscripts(w, 1) AS i, w FROM q),
+g AS (SELECT lang, w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM w),
+f AS (SELECT lang, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= {phrases.LEAST} AND contains(phrase, ' ')),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r,
+    (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM k
+  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+m AS (SELECT lang, phrase, a, unnest(arg_min(struct_pack(l := l, r := r, score := score), (score, k))) FROM s GROUP BY lang, phrase, a),
+d AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE len(w) = 3
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE len(w) = 3),
+t AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = m.lang AND d.phrase = m.phrase AND 100 * d.a >= {phrases.COVER} * m.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT o.lang, rank::INTEGER AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= {phrases.TOP}""",
+)
+def op12_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents")).withColumn("rank", F.col("rank").cast("int"))

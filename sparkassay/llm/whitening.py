@@ -25,7 +25,7 @@ SHIFT = 1_000_000
 COMPONENTS = 16
 WIDTHS = (np.int8, np.int16, np.int32, np.int64)
 FARTHEST = 1 << 52  # whole numbers stop here, where doubles cease to hold all of them
-LANES = 128  # tasks that add up the matrices of all tasks
+LANES = 32  # tasks that add up the matrices of all tasks
 HALF = 26  # bits of the lower half of a number in sums
 OUT = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
 
