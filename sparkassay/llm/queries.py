@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.session import scratch_path
 
-from . import forest, jaccard, lines, packing, personal, phrases, quality, repeats, tokenfiles, transducer, warc, whitening
+from . import forest, jaccard, lines, packing, personal, phrases, quality, quantised, repeats, tokenfiles, transducer, warc, whitening
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -111,19 +111,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id,
     unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\n-\r]')) AS piece FROM documents),
 q AS (SELECT lang, row_number() OVER () AS q, regexp_extract_all(piece, '[^ \t]+') AS w FROM p),
-w AS (SELECT lang, q, unnest(w) AS w1, generate_subscripts(w, 1) AS i, w FROM q),
-g AS (SELECT lang, w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM w),
+w AS (SELECT lang, q, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM q),
+g AS (SELECT lang, w1, lead(w1) OVER v AS w2, lead(w1, 2) OVER v AS w3 FROM w WINDOW v AS (PARTITION BY q ORDER BY i)),
 f AS (SELECT lang, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL
   UNION ALL SELECT lang, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
   UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL),
 n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
 c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= {phrases.LEAST} AND contains(phrase, ' ')),
-k AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM c),
-s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r,
-    (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM k
-  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ')
-  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
-m AS (SELECT lang, phrase, a, unnest(arg_min(struct_pack(l := l, r := r, score := score), (score, k))) FROM s GROUP BY lang, phrase, a),
+k AS (SELECT *, unnest(range(1, len(w))) AS cut FROM c),
+e AS (SELECT *, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM k),
+s AS (SELECT e.lang, e.phrase, a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM e JOIN f l ON l.lang = e.lang AND l.phrase = head JOIN f r ON r.lang = e.lang AND r.phrase = tail),
+m AS (SELECT lang, phrase, a, unnest(arg_min(struct_pack(l := l, r := r, score := score), (score, cut))) FROM s GROUP BY lang, phrase, a),
 d AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE len(w) = 3
   UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE len(w) = 3),
 t AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = m.lang AND d.phrase = m.phrase AND 100 * d.a >= {phrases.COVER} * m.a)),
@@ -132,3 +131,19 @@ SELECT o.lang, rank::INTEGER AS rank, phrase, a, l, r, n, score::BIGINT AS score
 )
 def op12_phrases(spark, sf):
     return phrases.collocations(table(spark, sf, "documents")).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query(
+    "op11_vector_duplicates",
+    f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {quantised.COSINE}),
+c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+s AS (SELECT a, min(b) AS low FROM c GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+o AS (SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id
+  FROM v LEFT JOIN s ON s.a = vec_id LEFT JOIN n ON n.a = vec_id)
+SELECT *, vec_id = component_id AS kept FROM o""",
+)
+def op11_vector_duplicates(spark, sf):
+    return quantised.near_duplicates(table(spark, sf, "embeddings"))
