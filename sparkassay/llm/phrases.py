@@ -37,6 +37,7 @@ SLOTS_EACH = 16
 NEVER = 255
 HELD = 1 << 20  # counts held by a task before they are given out
 LANES = 64
+DEALS = 8
 
 BREAK = np.zeros(256, bool)
 BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -79,6 +80,7 @@ class Grams:
 
     def __init__(self, data: np.ndarray, limits: np.ndarray, fresh: int, salts: np.ndarray, longest: int):
         self.data = data
+        self.salts = salts
         self.start, self.end, self.row = runs(~APART[data], limits)
         words = mix(Hashes(data).spans(self.start, self.end) + salts[self.row]) if len(self.start) else np.zeros(0, np.uint64)
         breaks = np.cumsum(BREAK[data])
@@ -116,48 +118,47 @@ def _batches(batches, longest: int):
             yield Grams(data, limits, fresh, own[first : first + len(limits) - 1], longest), langs, first
 
 
-def _merged(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
-
-
 def _scan(shared, step: int, shards: int, longest: int):
-    """Counts of the active phrases of a task."""
+    """(key, start, c): counts of a task's active phrases, and the scan from which each is counted."""
 
-    def active(grams: Grams, m: int) -> np.ndarray:
+    def active(grams: Grams, m: int) -> tuple[np.ndarray, np.ndarray]:
         place = grams.place[m]
         if m == 1:
-            return grams.keys[1][place] if step < shards else np.zeros(0, np.uint64)
+            keys = grams.keys[1][place] if step < shards else np.zeros(0, np.uint64)
+            return keys, np.zeros(len(keys), np.uint8)
         table = shared.value.get(m - 1)
         if table is None:
-            return np.zeros(0, np.uint64)
-        part = grams.keys[m - 1]
-        at = slot(part, table)
-        reached = np.maximum(table[at[place]], table[at[place + 1]]).astype(int)
-        return grams.keys[m][place[(reached < step) & (reached + shards >= step)]]
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        at = slot(grams.keys[m - 1], table)
+        reached = np.maximum(table[at[place]], table[at[place + 1]])
+        now = (reached < step) & (reached.astype(int) + shards >= step)
+        return grams.keys[m][place[now]], reached[now] + np.uint8(1)
 
-    def out(keys, counts):
+    def out(keys, starts, counts):
         for i in range(0, len(keys), 100_000):
-            k = keys[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array((k & np.uint64(7)).astype(np.int32)), pa.array(counts[i : i + 100_000])], ["key", "m", "c"]
-            )
+            some = slice(i, i + 100_000)
+            columns = [pa.array(keys[some].view(np.int64)), pa.array(starts[some].astype(np.int32)), pa.array(counts[some])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "start", "c"])
+
+    def merged(parts):
+        keys, starts, counts = (np.concatenate(x) for x in zip(*parts))
+        found, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        return found, starts[first], np.bincount(at, counts, len(found)).astype(np.int64)
 
     def run(batches):
-        keys, counts, waiting, held = [], [], 0, 0
+        parts, waiting, held = [], 0, 0
         for grams, _, _ in _batches(batches, longest):
-            k, c = np.unique(np.concatenate([active(grams, m) for m in range(1, longest + 1)]), return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            waiting += len(k)
+            keys, starts = (np.concatenate(x) for x in zip(*[active(grams, m) for m in range(1, longest + 1)]))
+            parts.append((keys, starts, np.ones(len(keys), np.int32)))
+            waiting += len(keys)
             if waiting > max(HELD, held):
-                k, c = _merged(keys, counts)
-                if len(k) > 2 * HELD:
-                    yield from out(k, c)
-                    k, c = k[:0], c[:0]
-                keys, counts, waiting, held = [k], [c], 0, len(k)
-        if keys:
-            yield from out(*_merged(keys, counts))
+                parts, waiting = [merged(parts)], 0
+                held = len(parts[0][0])
+                if held > 2 * HELD:
+                    yield from out(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield from out(*merged(parts))
 
     return run
 
@@ -179,87 +180,147 @@ def _slots_for(count: int) -> int:
     return slots
 
 
+def _length(key: str = "key"):
+    return F.col(key).bitwiseAND(7)
+
+
 def count_phrases(docs: DataFrame, shard: str, least: int, longest: int, shards: int) -> DataFrame:
-    """(key, a): all words and phrases of at most ``longest`` words of (lang, text, shard) that occur ``least`` times."""
+    """(key, a): all words and phrases of at most ``longest`` words of (lang, text, shard) that occur ``least`` times.
+
+    Each scan stores the running counts of the phrases whose cycle goes on, and of those that end with it only the ones
+    that reached the threshold.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "phrase-counts")
     tables: dict[int, np.ndarray] = {}
     last: dict[int, int] = {}
-    step = 0
+    step, running = 0, None
     while step < shards or any(step <= x + shards for x in last.values()):
         shared = spark.sparkContext.broadcast(tables)
         scan = docs.filter(F.col(shard) == step % shards).select("lang", "text")
-        found = scan.mapInArrow(_scan(shared, step, shards, longest), "key long, m int, c long")
-        found.groupBy("key", "m").agg(F.sum("c").alias("c")).write.partitionBy("m").parquet(f"{path}/step={step}")
+        found = scan.mapInArrow(_scan(shared, step, shards, longest), "key long, start int, c long")
+        if running is not None:
+            found = found.unionByName(running.select("key", "start", "c"))
+        total = found.groupBy("key", "start").agg(F.sum("c").alias("c"))
+        total.filter((F.col("start") + shards - 1 > step) | (F.col("c") >= least)).write.parquet(f"{path}/step={step}")
         shared.unpersist()
-        counted = spark.read.schema("key long, c long, step int, m int").parquet(path)
-        now = counted.filter(F.col("step") == step)
-        lengths = {r["m"] for r in now.select("m").distinct().collect()}  # at most ``longest`` rows
-        for m in sorted(lengths - {longest}):
-            seen = counted.filter(F.col("m") == m)
-            if step >= shards:  # only phrases of this scan can have reached the threshold in it
-                seen = seen.join(now.filter(F.col("m") == m).select("key"), "key", "left_semi")
-            often = seen.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("key")
+        now = spark.read.schema("key long, start int, c long").parquet(f"{path}/step={step}")
+        running = now.filter(F.col("start") + shards - 1 > step)
+        often = now.filter(F.col("c") >= least)
+        sizes = {r["m"]: r["count"] for r in often.groupBy(_length().alias("m")).count().collect()}  # a row per length
+        for m in sorted(sizes.keys() - {longest}):
             if m not in tables:
-                size = often.count()
-                if not size:
-                    continue
-                tables[m] = np.full(_slots_for(size * shards), NEVER, np.uint8)
-            new = _marks(often, len(tables[m])) & (tables[m] == NEVER)
+                tables = tables | {m: np.full(_slots_for(sizes[m] * shards), NEVER, np.uint8)}
+            new = _marks(often.filter(_length() == m).select("key"), len(tables[m])) & (tables[m] == NEVER)
             if new.any():
                 tables = tables | {m: np.where(new, np.uint8(step), tables[m])}
                 last[m] = step
         step += 1
-    counted = spark.read.schema("key long, c long, step int, m int").parquet(path)
-    return counted.groupBy("key", "m").agg(F.sum("c").alias("a")).filter(F.col("a") >= least)
+    counted = spark.read.schema("key long, start int, c long, step int").parquet(path)
+    return counted.filter((F.col("start") + shards - 1 == F.col("step")) & (F.col("c") >= least)).select("key", F.col("c").alias("a"))
 
 
-NAMED = "key long, lang string, phrase string, n long, lefts array<long>, rights array<long>, inner array<long>"
+class Known:
+    """The keys a task has given out already, forgotten when they are too many."""
 
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
 
-def _names(shared, longest: int):
-    """The texts and subphrases of the phrases in the shared slots, once per task, and the words per language (key null)."""
-    several = range(2, longest + 1)
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the first of each key that is new."""
+        keys, at = np.unique(keys, return_index=True)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            fresh = self.keys[near] != keys
+            keys, at = keys[fresh], at[fresh]
+        self.keys = np.union1d(self.keys, keys) if len(self.keys) < HELD else keys
+        return at
+
+
+def _sides(shared, longest: int):
+    """(key, left, right, tongue): both subphrases and the language's number of the phrases in the shared slots."""
 
     def run(batches):
-        known, words, rows = {m: np.zeros(0, np.uint64) for m in several}, {}, []
+        known = {m: Known() for m in range(2, longest + 1)}
+        for grams, _, _ in _batches(batches, longest):
+            for m in known:
+                place = grams.place[m]
+                keys = grams.keys[m][place]
+                hit = np.flatnonzero(shared.value[slot(keys, shared.value)])
+                at = place[hit[known[m].new(keys[hit])]]
+                below = grams.keys[m - 1]
+                columns = [grams.keys[m][at], below[at], below[at + 1], grams.salts[grams.row[at]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["key", "left", "right", "tongue"])
+
+    return run
+
 
-        def out():
-            columns = list(zip(*rows))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "lang", "phrase", "n", "lefts", "rights", "inner"])
+def _names(shared, longest: int):
+    """The texts of the phrases in the shared slots, and the words per language (key null)."""
 
-        signed = lambda x: int(x.view(np.int64))
+    def run(batches):
+        known, words = {m: Known() for m in range(2, longest + 1)}, {}
         for grams, langs, first in _batches(batches, longest):
             for row, n in zip(*np.unique(grams.fresh_rows, return_counts=True)):
                 words[langs[first + row]] = words.get(langs[first + row], 0) + int(n)
-            for m in several:
+            for m in known:
                 place = grams.place[m]
-                key = grams.keys[m][place]
-                hit = np.flatnonzero(shared.value[slot(key, shared.value)])
-                key, at = np.unique(key[hit], return_index=True)
-                if len(known[m]):
-                    near = np.minimum(np.searchsorted(known[m], key), len(known[m]) - 1)
-                    new = known[m][near] != key
-                    key, at = key[new], at[new]
-                for k, i in zip(key, place[hit[at]]):
-                    part = lambda off, size: signed(grams.keys[size][i + off])  # noqa: E731, B023
-                    cuts = range(1, m)
-                    inner = [part(off, size) for size in range(2, m) for off in range(m - size + 1)]
-                    rows.append((signed(k), langs[first + grams.row[i]], grams.phrase(i, m).decode("utf-8", "replace"), None, [part(0, x) for x in cuts], [part(x, m - x) for x in cuts], inner))
-                    if len(rows) >= 10_000:
-                        yield out()
-                known[m] = np.union1d(known[m], key)
-                if len(known[m]) > HELD:
-                    known[m] = known[m][:0]
-        rows += [(None, lang, None, n, [], [], []) for lang, n in words.items()]
-        if rows:
-            yield out()
+                keys = grams.keys[m][place]
+                hit = np.flatnonzero(shared.value[slot(keys, shared.value)])
+                at = place[hit[known[m].new(keys[hit])]]
+                for i in range(0, len(at), 10_000):
+                    some = at[i : i + 10_000]
+                    names = [langs[first + r] for r in grams.row[some]]
+                    texts = [grams.phrase(x, m).decode("utf-8", "replace") for x in some]
+                    columns = [pa.array(grams.keys[m][some].view(np.int64)), pa.array(names), pa.array(texts), pa.nulls(len(some), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "lang", "phrase", "n"])
+        if words:
+            columns = [pa.nulls(len(words), pa.int64()), pa.array(list(words)), pa.nulls(len(words), pa.string()), pa.array(list(words.values()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "lang", "phrase", "n"])
 
     return run
 
 
+def _related(docs: DataFrame, deal: str, several: DataFrame, longest: int) -> DataFrame:
+    """(key, left, right, tongue) of all phrases, from growing shares of the documents for the phrases not yet met."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "sides")
+    known = None
+    for turn, (low, high) in enumerate(((0, 1), (1, 4), (4, DEALS))):
+        open_ = several if known is None else several.join(known.select("key"), "key", "left_anti")
+        count = open_.count()
+        if not count:
+            break
+        shared = spark.sparkContext.broadcast(_marks(open_.select("key"), _slots_for(count)))
+        some = docs.filter((F.col(deal) >= low) & (F.col(deal) < high)).select("lang", "text")
+        found = some.mapInArrow(_sides(shared, longest), "key long, left long, right long, tongue long")
+        found.dropDuplicates(["key"]).write.parquet(f"{path}/turn={turn}")
+        shared.unpersist()
+        known = spark.read.schema("key long, left long, right long, tongue long, turn int").parquet(path)
+    return known.drop("turn").dropDuplicates(["key"]) if known is not None else spark.createDataFrame([], "key long, left long, right long, tongue long")
+
+
+def _cuts(related: DataFrame, several: DataFrame, longest: int) -> DataFrame:
+    """(key, tongue, a, lefts, rights, inner): both sides of every cut, and all shorter phrases of two words or more inside."""
+    all_ = several.join(related, "key")
+    found = level = None
+    for m in range(2, longest + 1):
+        own = all_.filter(_length() == m)
+        if m == 2:
+            level = own.select("key", "tongue", "a", F.array("left").alias("lefts"), F.array("right").alias("rights"), F.array().cast("array<long>").alias("inner"))
+        else:
+            low = level.select(F.col("key").alias("left"), F.col("lefts").alias("lefts0"), F.col("inner").alias("inner0"))
+            high = level.select(F.col("key").alias("right"), F.col("rights").alias("rights0"), F.col("inner").alias("inner1"))
+            level = own.join(low, "left").join(high, "right").select(
+                "key", "tongue", "a",
+                F.concat("lefts0", F.array("left")).alias("lefts"),
+                F.concat(F.array("right"), "rights0").alias("rights"),
+                F.array_distinct(F.concat("inner0", "inner1", F.array("left", "right"))).alias("inner"),
+            )
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
 def collocations(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS
 ) -> DataFrame:
@@ -276,35 +337,41 @@ def collocations(
     if not 2 <= longest <= 7:
         raise ValueError("longest: 2 to 7 words")
     spark = docs.sparkSession
+    deal = F.pmod(F.xxhash64(key), F.lit(DEALS * shards))
     slim = docs.select(
-        F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")
+        F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"), (deal % shards).alias("shard"), F.floor(deal / shards).alias("deal")
     )
     path = scratch_path(spark, "frequent")
     count_phrases(slim, "shard", least, longest, shards).write.parquet(path)
     frequent = spark.read.parquet(path)
-    several = frequent.filter("m > 1")
-    slots = _slots_for(several.count())
-    shared = spark.sparkContext.broadcast(_marks(several.select("key"), slots))
-    path = scratch_path(spark, "phrases")
-    named = slim.select("lang", "text").mapInArrow(_names(shared, longest), NAMED)
-    named.groupBy("key", "lang", "phrase", "lefts", "rights", "inner").agg(F.sum("n").alias("n")).write.parquet(path)
-    named = spark.read.parquet(path)
-    words = named.filter("key IS NULL").select("lang", "n")
-    found = named.filter("key IS NOT NULL").drop("n").join(several.select("key", "a"), "key")
-    cuts = found.select("key", "lang", "phrase", "a", F.posexplode(F.arrays_zip("lefts", "rights")).alias("cut", "sides"))
+    several = frequent.filter(_length() > 1)
+    path = scratch_path(spark, "cuts")
+    _cuts(_related(slim, "deal", several, longest), several, longest).write.parquet(path)
+    found = spark.read.parquet(path)
+    cuts = found.select("key", "tongue", "a", F.posexplode(F.arrays_zip("lefts", "rights")).alias("cut", "sides"))
     for side, name in (("lefts", "l"), ("rights", "r")):
         cuts = cuts.join(frequent.select(F.col("key").alias(f"{name}_key"), F.col("a").alias(name)), F.col(f"sides.{side}") == F.col(f"{name}_key"))
     big = lambda c: F.col(c).cast("decimal(15,0)")
     parts = cuts.withColumn("above", F.lit(1_000_000).cast("decimal(7,0)") * (big("a") * big("a"))).withColumn("under", big("l") * big("r"))
     parts = parts.withColumn("score", F.expr("above div under"))
-    lowest = parts.groupBy("key", "lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s"))
-    scored = lowest.select("key", "lang", "phrase", "a", "s.l", "s.r", "s.score")
+    lowest = parts.groupBy("key", "tongue", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s"))
+    scored = lowest.select("key", "tongue", "a", "s.l", "s.r", "s.score")
     around = found.select(F.explode("inner").alias("key"), F.col("a").alias("longer")).groupBy("key").agg(F.max("longer").alias("longer"))
-    kept = scored.join(around, "key", "left").filter("longer IS NULL OR longer * 100 < a * %d" % COVER).drop("key", "longer")
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    lane = kept.withColumn("lane", F.pmod(F.xxhash64("phrase"), F.lit(LANES)))
-    some = lane.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "lane").orderBy(*order))).filter(F.col("rank") <= top)
-    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    return best.join(words, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
-    )
+    kept = scored.join(around, "key", "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * COVER)).drop("longer")
+    order = [F.desc("score"), F.desc("a")]
+    lanes = kept.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(LANES)))
+    for by in (["tongue", "lane"], ["tongue"]):  # ties at the limit all stay until they have names
+        lanes = lanes.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= top)
+    path = scratch_path(spark, "chosen")
+    lanes.select("key", "a", "l", "r", "score").write.parquet(path)
+    chosen = spark.read.parquet(path)
+    shared = spark.sparkContext.broadcast(_marks(chosen.select("key"), _slots_for(chosen.count())))
+    path = scratch_path(spark, "names")
+    named = slim.select("lang", "text").mapInArrow(_names(shared, longest), "key long, lang string, phrase string, n long")
+    named.groupBy("key", "lang", "phrase").agg(F.sum("n").alias("n")).write.parquet(path)
+    named = spark.read.parquet(path)
+    words = named.filter("key IS NULL").select("lang", "n")
+    best = chosen.join(named.filter("key IS NOT NULL").select("key", "lang", "phrase"), "key")
+    order = Window.partitionBy("lang").orderBy(*order, "phrase")
+    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
