@@ -72,6 +72,19 @@ def stop_mode(n: Column, k: Column, rule: SequentialRule) -> Column:
     )
 
 
+def stop_at(n: int, k: int, rule: SequentialRule) -> str | None:
+    """``stop_mode`` at one pair of counts."""
+    llr = k * rule.fail_step + (n - k) * rule.clean_step
+    fired = (
+        ("CP_K0", k == 0 and n >= rule.clean_needed),
+        ("WALD_SAFE", llr >= rule.log_a),
+        ("WALD_UNSAFE", llr <= rule.log_b),
+        ("CP_CAP", n >= rule.cap and k <= rule.cap_k),
+        ("CAP_UNSAFE", n >= rule.cap),
+    )
+    return next((mode for mode, yes in fired if yes), None)
+
+
 def clean_only_mode(n: Column, k: Column, rule: SequentialRule) -> Column:
     """Stop at the first failure, after enough clean trials, or at the cap."""
     return (

@@ -2,22 +2,25 @@
 
 Every function starts a query and returns it. Results go to Parquet below ``target``; whatever runs in
 ``foreachBatch`` writes one folder per batch and overwrites it on a retry, so a batch that is run twice
-leaves the same files. Operators that need state beyond a batch keep it as a table next to the results.
+leaves the same files. What outlives a batch is keyed state in RocksDB (``states``): no batch reads the results or
+the input of another. Rows that a state would not look at are cut before the shuffle, a batch of rows at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import sequential
 from ..operators.frontiers import rolling_gate
-from ..operators.traces import latest_message_asof
+from . import states
 
 AVAILABLE = {"availableNow": True}
 
@@ -45,75 +48,62 @@ def stream_ingest(stream: DataFrame, target: str, checkpoint: str, partition_by:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state on disk; the session's own setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def stream_dedup(stream: DataFrame, target: str, checkpoint: str, uid: str = "ep_uid", trigger=AVAILABLE) -> StreamingQuery:
     """Accept a uid once across shards and batches, in whatever order they come.
 
     Every accepted uid stays in a keyed state on disk: nothing counts as late, so no uid is dropped or accepted again.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream_ingest(stream.dropDuplicates([uid]), target, checkpoint, trigger=trigger)
+    with rocksdb(stream.sparkSession):
+        return stream_ingest(stream.dropDuplicates([uid]), target, checkpoint, trigger=trigger)
 
 
-def _each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, trigger) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+def _each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, trigger, mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def _put(df: DataFrame, root: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
 
-def _earlier(spark: SparkSession, root: str, batch: int, schema) -> DataFrame:
-    """Rows that batches before ``batch`` stored; a retried batch never sees its own first attempt."""
-    if batch == 0:
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    return spark.read.parquet(root).where(F.col("batch") < batch)
+def _key_fields(stream: DataFrame, keys: list[str]) -> list[T.StructField]:
+    return [T.StructField(k, stream.schema[k].dataType) for k in keys]
 
 
 def stream_sprt(
     stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], unsafe: Column,
-    rule: sequential.SequentialRule = sequential.SequentialRule(), trigger=AVAILABLE,
+    rule: sequential.SequentialRule = sequential.SequentialRule(), idle_ms: int | None = None, trigger=AVAILABLE,
 ) -> StreamingQuery:
-    """Online sequential label. State per design is (n, k, mode); trials after a decision are ignored.
+    """Online sequential label; read it with ``sprt_state``. State per design is (n, k, mode); trials after a decision are ignored.
 
-    A batch needs at most ``cap`` further trials of a design, cut before the shuffle, so a design that
-    dominates the stream does not dominate a task. Each batch stores only the designs it moved.
+    A batch needs at most ``cap`` further trials of a design. They are cut from every batch of rows before the shuffle,
+    so a design that dominates the stream does not dominate a task. Each batch stores only the designs it moved. With
+    ``idle_ms`` an undecided design that had no trial for so long (processing time) is forgotten and starts anew.
     """
-    state_cols = [*keys, "n", "k", "mode"]
-
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        slim = batch.select(*keys, *[c for c in order if c not in keys], unsafe.cast("int").alias("_u"))
-        schema = slim.select(*keys, F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit("").alias("mode")).schema
-        old = (
-            _earlier(spark, target, number, schema)
-            .groupBy(*keys)
-            .agg(F.max_by(F.struct("n", "k", "mode"), "batch").alias("s"))
-            .select(*keys, "s.n", "s.k", "s.mode")
-        )
-        settled = old.where("mode IS NOT NULL").select(*keys)
-        w = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        fresh = slim.join(settled, keys, "left_anti").withColumn("_i", rank).where(F.col("_i") <= rule.cap)
-        fresh = fresh.withColumn("_k", F.sum("_u").over(w)).join(
-            old.select(*keys, F.col("n").alias("_n0"), F.col("k").alias("_k0")), keys, "left"
-        )
-        n = (F.coalesce("_n0", F.lit(0)) + F.col("_i")).cast("bigint")
-        k = (F.coalesce("_k0", F.lit(0)) + F.col("_k")).cast("bigint")
-        path = fresh.select(*keys, n.alias("n"), k.alias("k")).withColumn(
-            "llr", sequential.log_likelihood(F.col("n"), F.col("k"), rule)
+    slim = stream.select(*keys, *[c for c in order if c not in keys], unsafe.cast("int").alias("unsafe__"))
+    cut = slim.mapInPandas(states.first_rows(keys, order, rule.cap), slim.schema)
+    out = T.StructType([*_key_fields(stream, keys), *[T.StructField(c, T.LongType()) for c in "nk"], T.StructField("mode", T.StringType())])
+    with rocksdb(stream.sparkSession):
+        labels = cut.groupBy(*keys).transformWithStateInPandas(
+            states.SequentialTest(keys, order, rule, idle_ms), out, "append", "none" if idle_ms is None else "processingTime"
         )
-        got = sequential._first_stop(path, keys, sequential.stop_mode(F.col("n"), F.col("k"), rule))
-        mode = F.when(F.col("label").isNotNull(), F.col("mode"))
-        _put(got.withColumn("mode", mode).select(*state_cols), target, number)
-
-    return _each_batch(stream, work, checkpoint, trigger)
+        return stream_ingest(labels, target, checkpoint, trigger=trigger)
 
 
 def sprt_state(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """Current label of every design seen by ``stream_sprt``."""
-    df = spark.read.parquet(target).groupBy(*keys).agg(F.max_by(F.struct("n", "k", "mode"), "batch").alias("s"))
+    df = spark.read.parquet(target).groupBy(*keys).agg(F.max(F.struct("n", "k", "mode")).alias("s"))  # n only grows
     return df.select(
         *keys,
         sequential.mode_label(F.col("s.mode")).alias("label"),
@@ -127,43 +117,65 @@ def stream_gate(
     stream: DataFrame, target: str, checkpoint: str, *, window: int, trials: int, scenarios: int, max_seconds: float,
     max_retries: float, trigger=AVAILABLE,
 ) -> StreamingQuery:
-    """Operational gate over the newest ``window`` designs after every batch: iter, seconds, retries in."""
-    rows, verdicts = f"{target}/rows", f"{target}/status"
-
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        _put(batch.select("iter", "seconds", "retries"), rows, number)
-        newest = spark.read.parquet(rows).where(F.col("batch") <= number).orderBy(F.col("iter").desc()).limit(window)
-        gate = rolling_gate(
-            newest, [], window=window, trials=trials, scenarios=scenarios, max_seconds=max_seconds, max_retries=max_retries
-        )
-        _put(gate.orderBy(F.col("iter").desc()).limit(1), verdicts, number)
+    """Operational gate over the newest ``window`` designs after every batch: iter, seconds, retries in.
+
+    The state is these designs. A task sends at most ``window`` rows of each batch of rows; a batch hands the state on
+    and stores its verdict.
+    """
+    rows = stream.select(F.col("iter").cast("long"), F.col("seconds").cast("double"), F.col("retries").cast("double"))
+    top = rows.mapInPandas(states.newest(window), rows.schema)
+    with rocksdb(stream.sparkSession):
+        held = top.withColumn("all", F.lit(0)).groupBy("all").transformWithStateInPandas(states.Newest(window), rows.schema, "update", "none")
+
+        def work(batch: DataFrame, number: int) -> None:
+            gate = rolling_gate(
+                batch, [], window=window, trials=trials, scenarios=scenarios, max_seconds=max_seconds, max_retries=max_retries
+            )
+            _put(gate.orderBy(F.col("iter").desc()).limit(1), f"{target}/status", number)
+
+        return _each_batch(held, work, checkpoint, trigger, "update")
 
-    return _each_batch(stream, work, checkpoint, trigger)
+
+class Chain:
+    """Two queries of which the second reads what the first has stored; both end together."""
+
+    def __init__(self, first: StreamingQuery, second: Callable[[], StreamingQuery], bounded: bool):
+        self.first = first
+        if bounded:
+            first.awaitTermination()
+        self.second = second()
+
+    def awaitTermination(self, timeout: int | None = None):
+        return self.second.awaitTermination(timeout) if timeout else self.second.awaitTermination()
+
+    def stop(self) -> None:
+        self.first.stop()
+        self.second.stop()
+
+    @property
+    def recentProgress(self):
+        return self.second.recentProgress
 
 
 def stream_checkpoint_log(
     stream: DataFrame, target: str, checkpoint: str, keys: list[str], result: Callable[[DataFrame], DataFrame], trigger=AVAILABLE
-) -> StreamingQuery:
+) -> Chain:
     """Raw episodes are durable before their results are; read the log with ``checkpoint_log``.
 
-    A batch logs the results of the keys it touched, from all their episodes so far, as a new version: a trial that is
-    spread over batches ends with the result of the whole trial. Other keys are not computed again.
+    One query stores the episodes; a second one reads the stored files as a stream and keeps ``result``, any streaming
+    aggregation by ``keys``, as mergeable buffers per key in its state. A batch reads its own new files only and logs the
+    results of the keys it touched as a new version: a trial that is spread over batches ends with the result of the
+    whole trial.
     """
-    raw, log = f"{target}/episodes", f"{target}/results"
+    spark, raw, log = stream.sparkSession, f"{target}/episodes", f"{target}/results"
 
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        _put(batch, raw, number)
-        mine = spark.read.parquet(f"{raw}/batch={number}")
-        if number > 0:
-            past = spark.read.parquet(raw).where(F.col("batch") < number).select(*mine.columns)
-            touched = mine.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-            mine = mine.unionByName(past.join(touched, same, "left_semi"))
-        _put(result(mine), log, number)
+    def results() -> StreamingQuery:
+        stored = spark.readStream.schema(stream.schema).parquet(raw)
+        with rocksdb(spark):
+            return _each_batch(result(stored), lambda batch, number: _put(batch, log, number), f"{checkpoint}/results", trigger, "update")
 
-    return _each_batch(stream, work, checkpoint, trigger)
+    first = stream_ingest(stream, raw, f"{checkpoint}/episodes", trigger=trigger)
+    return Chain(first, results, bool(trigger.get("availableNow") or trigger.get("once")))
 
 
 def checkpoint_log(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
@@ -175,36 +187,37 @@ def checkpoint_log(spark: SparkSession, target: str, keys: list[str]) -> DataFra
 
 
 def stream_message_age(
-    stream: DataFrame, target: str, checkpoint: str, keys: list[str], trigger=AVAILABLE
+    stream: DataFrame, target: str, checkpoint: str, keys: list[str], event_time: str | None = None, idle: str = "1 hour", trigger=AVAILABLE
 ) -> StreamingQuery:
     """Age of the freshest message of each target at every decision; read the answers with ``message_ages``.
 
     Input: keys, t, is_decision, id, time_stamp. A decision sees only messages received up to its own time, whichever
-    batch brings them: a batch answers its decisions from all messages so far, and earlier decisions from its own
-    messages where these give a fresher answer.
+    batch brings them. The state of a target is a staircase, the messages fresher than all received before them, and the
+    decisions that a late message may still change: a batch answers its own decisions and those older ones that its
+    messages improve. With an ``event_time`` column a timer ends the wait ``idle`` after it: decisions up to the watermark
+    leave the state, and all steps but the last up to it. Without one no record is ever late and the state keeps all.
     """
-    answers, asked, told = f"{target}/ages", f"{target}/decisions", f"{target}/messages"
-
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        _put(batch.where("is_decision").select(*keys, "t", F.col("id").alias("decision")), asked, number)
-        _put(batch.where("NOT is_decision").select(*keys, "t", "time_stamp", F.col("id").alias("msg_id")), told, number)
-        decisions, messages = spark.read.parquet(asked), spark.read.parquet(told)
-        now = F.col("batch") == number
-        seen = messages.where(F.col("batch") <= number).drop("batch")
-        found = latest_message_asof(decisions.where(now).drop("batch"), seen, keys)
-        if number > 0:
-            old = decisions.where(F.col("batch") < number).drop("batch")
-            late = latest_message_asof(old, messages.where(now).drop("batch"), keys)
-            found = found.unionByName(late.where("msg_id IS NOT NULL"))
-        _put(found, answers, number)
-
-    return _each_batch(stream, work, checkpoint, trigger)
+    low = F.lit(states.NEVER)
+    clock = F.lit(0).cast("long") if event_time is None else F.unix_millis(event_time)
+    if event_time is not None:
+        stream = stream.withWatermark(event_time, idle)
+    long = lambda c: F.coalesce(F.col(c).cast("long"), low).alias(c)
+    rows = stream.where("is_decision OR id IS NOT NULL").select(
+        *keys, F.coalesce("is_decision", F.lit(False)).alias("is_decision"), long("t"), long("id"), long("time_stamp"), clock.alias("at"),
+        *([] if event_time is None else [event_time]),
+    )
+    out = T.StructType([*_key_fields(stream, keys), *[T.StructField(c, T.LongType()) for c in ("decision", "t", "msg_id", "age")]])
+    wait = None if event_time is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    with rocksdb(stream.sparkSession):
+        ages = rows.groupBy(*keys).transformWithStateInPandas(
+            states.MessageAges(keys, wait), out, "append", "none" if event_time is None else "eventTime"
+        )
+        return stream_ingest(ages, target, checkpoint, trigger=trigger)
 
 
 def message_ages(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """The freshest answer of every decision: keys, decision, t, msg_id, age (null without a message)."""
-    found = spark.read.parquet(f"{target}/ages")
+    found = spark.read.parquet(target)
     best = F.max(F.when(F.col("msg_id").isNotNull(), F.struct((-F.col("age")).alias("fresh"), "msg_id"))).alias("s")
     return found.groupBy(*keys, "decision", "t").agg(best).select(
         *keys, "decision", "t", F.col("s.msg_id").alias("msg_id"), (-F.col("s.fresh")).alias("age")

@@ -3,11 +3,13 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sparkassay.operators import sequential as S
 from sparkassay.operators import traces as T
+from sparkassay.streaming import states
 from sparkassay.streaming import streams as ST
 
 
@@ -98,3 +100,74 @@ def test_fold_waits_for_the_end(spark, folder, monkeypatch, parts, shuffle, most
             mine = got[(got.episode == e) & (got.topic == topic)].sort_values("chunk")
             assert [x for v in mine["vals"] for x in v] == [float(i) for i in range(20) if i % 2 == odd]
             assert all(t // 60 == c for c, ts in zip(mine["chunk"], mine["times"]) for t in ts)
+
+
+def test_sequential_state_is_one_row_per_design(spark, folder):
+    """A batch reads its own rows only, and the state holds a row per design whatever came before."""
+    rows = [(g, i, 0) for i in range(200) for g in range(5)]
+    df = spark.createDataFrame(rows, "gidx long, ord long, bad int")
+    query = ST.stream_sprt(feed(spark, folder, df, ["ord", "gidx"], 4), f"{folder}/out", f"{folder}/cp", ["gidx"], ["ord"], F.col("bad") == 1)
+    query.awaitTermination()
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in batches] == [250] * 4
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in batches] == [5] * 4
+    assert spark.read.parquet(f"{folder}/out").count() == 10  # settled designs are not stored again
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ST.ROCKSDB
+
+
+def test_cut_keeps_the_first_trials_of_a_hot_design(spark):
+    cut = states.first_rows(["g"], ["t"], 3)
+    f = pd.DataFrame({"g": [1] * 50 + [2, None, None], "t": [*range(50, 0, -1), 7, 2, 1], "unsafe__": 0})
+    got = pd.concat(cut(iter([f, f])))
+    assert len(got) == 2 * 6 and sorted(got[got.g == 1].t) == [1, 1, 2, 2, 3, 3]
+
+
+def test_staircase():
+    rng = np.random.default_rng(1)
+    rows = np.column_stack([rng.integers(0, 30, 200), rng.integers(0, 40, 200), np.arange(200), np.zeros(200, int)])
+    steps = states.staircase(rows)
+    assert (np.diff(steps[:, 0]) > 0).all() and (np.diff(steps[:, 1]) >= 0).all() and len(steps) <= 30
+    for t, (stamp, message) in zip(range(-1, 32), states.answers(steps, np.arange(-1, 32)).tolist()):
+        seen = rows[rows[:, 0] <= t]
+        assert (stamp, message) == (max(map(tuple, seen[:, 1:3].tolist())) if len(seen) else (states.NEVER,) * 2)
+
+
+def test_late_messages_change_open_decisions_only(spark, folder):
+    """With a watermark a decision that is past it keeps its answer, and the steps before it leave the state."""
+    start = dt.datetime(2024, 1, 1)
+    day = lambda d: start + dt.timedelta(days=d)
+    schema = "episode long, t long, is_decision boolean, id long, time_stamp long, ts timestamp"
+    batches = [
+        [(1, 10, False, 1, 5, day(0)), (1, 20, True, 2, None, day(0)), (None, 1, True, 9, None, day(0)), (1, None, False, None, 7, day(0))],
+        [(1, 15, False, 3, 12, day(0)), (1, 30, False, 4, 25, day(10))],  # a late message, still in time
+        [(2, 1, False, 5, 1, day(20))],  # moves the watermark past the first decisions
+        [(2, 2, False, 6, 2, day(40))],
+        [(1, 16, False, 7, 14, day(41)), (1, 40, True, 8, None, day(41))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = ST.source(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
+        query = ST.stream_message_age(source, f"{folder}/out", f"{folder}/cp", ["episode"], event_time="ts", idle="1 day")
+        query.awaitTermination()
+    got = {(r["episode"], r["decision"]): (r["t"], r["msg_id"], r["age"]) for r in ST.message_ages(spark, f"{folder}/out", ["episode"]).collect()}
+    assert got == {(1, 2): (20, 3, 8), (None, 9): (1, None, None), (1, 8): (40, 4, 15)}
+
+
+def test_log_reads_only_new_episodes(spark, folder):
+    df = spark.createDataFrame([(i % 3, i) for i in range(40)], "key long, t long")
+    result = lambda d: d.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    query = ST.stream_checkpoint_log(feed(spark, folder, df, ["t"], 4), f"{folder}/out", f"{folder}/cp", ["key"], result)
+    query.awaitTermination()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 40
+
+
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_gate_state_is_bounded(spark, folder, shuffle):
+    df = spark.createDataFrame([(i, float(i), i % 2) for i in range(60)], "iter long, seconds double, retries int")
+    limits = dict(window=5, trials=1, scenarios=1, max_seconds=1e9, max_retries=1e9)
+    query = ST.stream_gate(feed(spark, folder, df, ["iter"], 3, shuffle), f"{folder}/out", f"{folder}/cp", **limits)
+    query.awaitTermination()
+    wide = pd.DataFrame({"iter": range(40), "seconds": 0.0, "retries": 0.0})
+    assert [len(f) for f in states.newest(5)(iter([wide, wide[:3]]))] == [5, 3]
+    last = spark.read.parquet(f"{folder}/out/status").orderBy(F.desc("batch")).first()
+    assert (last["iter"], last["seconds_per_trial"]) == (59, 57.0)

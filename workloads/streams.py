@@ -16,26 +16,41 @@ from .traces import DAY_MS, MS_SQL
 PARTS = 4
 
 
-def stream(spark, sf, name, order=None):
-    """A table as a stream of ``PARTS`` files, one per micro-batch: rows at random, or in runs of the ``order`` column."""
+def parts_of(spark, sf, name, order=None):
+    """The folder of a table cut into ``PARTS`` in one job: rows at random, or in runs of the ``order`` column, nulls first."""
     rows = table(spark, sf, name)
     if order is None:
         part = F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))
     else:
-        limits = list(rows.agg(F.expr(f"percentile({order}, array({', '.join(str(i / PARTS) for i in range(1, PARTS))}))")).first()[0])
-        part = sum((F.col(order) > F.lit(x)).cast("int") for x in limits)
-    folder = scratch_path(spark, f"{name}-files")
+        limits = rows.agg(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)], 1000)).first()[0]
+        part = sum((F.coalesce(F.col(order) > F.lit(x), F.lit(False)).cast("int") for x in limits or []), F.lit(0))
+    folder = scratch_path(spark, f"{name}-parts")
+    rows.withColumn("part__", part).write.partitionBy("part__").parquet(folder)
+    return folder
+
+
+def feed(spark, sf, name, start, order=None):
+    """Run the query that ``start`` makes of a stream once per part: each run finds the part's files, as many as there are."""
+    schema, parts, folder = table(spark, sf, name).schema, parts_of(spark, sf, name, order), scratch_path(spark, f"{name}-files")
     for i in range(PARTS):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return ST.source(spark, folder, rows.schema, maxFilesPerTrigger=1)
+        spark.read.schema(schema).parquet(f"{parts}/part__={i}").write.mode("append").parquet(folder)
+        start(ST.source(spark, folder, schema)).awaitTermination()
+
+
+def stream(spark, sf, name):
+    """A table as one stream of files, a few to a batch."""
+    folder = scratch_path(spark, f"{name}-files")
+    rows = table(spark, sf, name)
+    rows.repartition(2 * PARTS, F.xxhash64(*rows.columns)).write.parquet(folder)
+    return ST.source(spark, folder, rows.schema, maxFilesPerTrigger=2)
 
 
 def places(spark, name):
     return scratch_path(spark, name), scratch_path(spark, f"{name}-offsets")
 
 
-def episode_stream(spark, sf, order=None):
-    return stream(spark, sf, "lineitem", order).select(
+def episodes(lines):
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ep_uid"),
         F.col("l_orderkey").alias("ep_id"),
         F.col("l_linenumber").alias("seq"),
@@ -63,7 +78,7 @@ def stream_ingest(spark, sf):
 @query("stream_dedup", f"WITH {EP_SQL} SELECT DISTINCT ep_uid FROM ep")
 def stream_dedup(spark, sf):
     target, offsets = places(spark, "dedup")
-    src = episode_stream(spark, sf).select("ep_uid")
+    src = episodes(stream(spark, sf, "lineitem")).select("ep_uid")
     ST.stream_dedup(src, target, offsets).awaitTermination()
     return spark.read.parquet(target).select("ep_uid")
 
@@ -71,8 +86,8 @@ def stream_dedup(spark, sf):
 @query("stream_sprt", f"WITH {LABEL_SQL} SELECT gidx, scenario, label, mode, n, k FROM lab")
 def stream_sprt(spark, sf):
     target, offsets = places(spark, "sprt")
-    # a sequential test takes its trials in their order, so the files are runs of it
-    ST.stream_sprt(episode_stream(spark, sf, "l_orderkey"), target, offsets, KEYS, EP_ORDER, unsafe_flag()).awaitTermination()
+    # a sequential test takes its trials in their order, so the parts are runs of it
+    feed(spark, sf, "lineitem", lambda lines: ST.stream_sprt(episodes(lines), target, offsets, KEYS, EP_ORDER, unsafe_flag()), "l_orderkey")
     return ST.sprt_state(spark, target, KEYS)
 
 
