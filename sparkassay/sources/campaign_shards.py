@@ -263,3 +263,21 @@ def problems(scanned: DataFrame, plan: DataFrame) -> DataFrame:
     )
     jobs = both.select("job", F.lit(None).cast("int").alias("shard"), said.alias("problem"), "found", "expected")
     return shard.unionByName(jobs.where("problem IS NOT NULL"))
+
+
+def spoil(root: str, digests: dict[int, str | None], lone: tuple[str, int] | None = None) -> None:
+    """For drills: put ``digests`` (None: an unnamed side-car, so none) beside the shards of these numbers in every job,
+    and a digest without a shard at ``lone`` (job, number)."""
+    system, top = _at(root)
+    for x in shards(root):
+        if x.path and x.shard in digests:
+            if digests[x.shard] is None:
+                system.move(x.digest, f"{x.digest}.aside")
+            else:
+                with system.open_output_stream(x.digest) as out:
+                    out.write(json.dumps({"sha256": digests[x.shard]}).encode())
+    if lone:
+        folder = f"{top}/{lone[0]}/sample-shards"
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{lone[1]:06d}.sha256.json") as out:
+            out.write(json.dumps({"sha256": "0" * 64}).encode())

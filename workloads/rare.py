@@ -11,7 +11,10 @@ from sparkassay.functions.numeric import safe_exp
 from sparkassay.operators import estimators as E
 from sparkassay.operators import families as FM
 from sparkassay.operators import reconcile as R
+from sparkassay.operators.ordering import row_numbers
+from sparkassay.schemas import CAMPAIGN_ROW
 from sparkassay.session import scratch_path
+from sparkassay.sources import campaign_shards as CS
 from sparkassay.sources import campaigns
 
 from .adapters import CAMPAIGN_SQL, campaign, table
@@ -457,18 +460,67 @@ def published_compare(spark, sf):
 FROM lineitem GROUP BY 1 HAVING l_returnflag = 'N'""",
 )
 def campaign_scan(spark, sf):
+    rows = CS.parsed(CS.scan(spark, written_campaign(spark, sf)), CAMPAIGN_ROW)
+    return campaigns.count_check(rows, campaign_plan(spark, sf))
+
+
+SHARD_ROWS = 400
+SHARD_ORDER = ["l_orderkey", "l_linenumber", "l_quantity", "l_suppkey", "l_discount"]  # rows that tie here are equal
+PLACES_SQL = f"""pl AS (SELECT l_returnflag AS job, (n - 1) // {SHARD_ROWS} AS shard, (n - 1) % {SHARD_ROWS} AS ordinal,
+  l_returnflag || '|' || l_linenumber AS route_signature, l_quantity > 50 - l_suppkey % 5 AS failure, 0.5 + 10 * l_discount AS w
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity, l_suppkey, l_discount) AS n
+  FROM lineitem))"""
+
+
+def written_campaign(spark, sf):
+    """lineitem as a campaign: a job per return flag, its rows in order, ``SHARD_ROWS`` to a shard, all jobs in one write."""
     root = scratch_path(spark, "campaign")
-    rows = job_rows(spark, sf).drop("min_d")
-    # one folder per job, as a campaign lays its shards out
-    for job in ("A", "N", "R"):
-        rows.where(F.col("job") == job).drop("job").write.json(f"{root}/{job}/sample-shards")
-    back = campaigns.read_rows(spark, root, "*.json")
-    plan = (
-        job_rows(spark, sf)
-        .groupBy(F.col("job").alias("key"))
-        .agg((F.count(F.lit(1)) + F.when(F.first("job") == "N", 5).otherwise(0)).alias("episodes"))
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("job"), *SHARD_ORDER,
+        F.to_json(
+            F.struct(
+                (F.col("l_quantity") > 50 - F.col("l_suppkey") % 5).alias("failure"),
+                F.ln(0.5 + 10 * F.col("l_discount")).alias("log_weight"),
+                F.concat(F.col("l_returnflag"), F.lit("|"), F.col("l_linenumber").cast("string")).alias("route_signature"),
+            )
+        ).alias("line"),
     )
-    return campaigns.count_check(back, plan)
+    at = row_numbers(rows, ["job"], SHARD_ORDER, "n").withColumn("n", F.col("n") - 1)
+    CS.write(at.select("job", F.floor(F.col("n") / SHARD_ROWS).alias("shard"), (F.col("n") % SHARD_ROWS).alias("ordinal"), "line"), root)
+    return root
+
+
+def campaign_plan(spark, sf):
+    """The planned episodes: those there are, and five more for job N."""
+    rows = job_rows(spark, sf).groupBy(F.col("job").alias("key"))
+    return rows.agg((F.count(F.lit(1)) + F.when(F.first("job") == "N", 5).otherwise(0)).alias("episodes"))
+
+
+@query(
+    "campaign_rows",
+    f"WITH {PLACES_SQL} SELECT job, shard::INT AS shard, ordinal, route_signature, failure, round(w, 9) AS w FROM pl",
+)
+def campaign_rows(spark, sf):
+    rows = CS.parsed(CS.scan(spark, written_campaign(spark, sf)), CAMPAIGN_ROW)
+    return rows.select("job", "shard", "ordinal", "route_signature", "failure", F.round(F.exp("log_weight"), 9).alias("w"))
+
+
+@query(
+    "campaign_problems",
+    f"""WITH {PLACES_SQL} SELECT DISTINCT job, 1 AS shard, 'digest mismatch' AS problem, NULL::BIGINT AS found, NULL::BIGINT AS expected
+FROM pl WHERE shard = 1
+UNION ALL SELECT DISTINCT job, 2, 'missing digest', NULL, NULL FROM pl WHERE shard = 2
+UNION ALL SELECT job, NULL, 'row count', count(*), count(*) + 5 FROM pl WHERE job = 'N' GROUP BY job
+UNION ALL SELECT 'planned', NULL, 'no shards', NULL, 7
+UNION ALL SELECT 'lone', 3, 'missing shard', NULL, NULL
+UNION ALL SELECT 'lone', NULL, 'not planned', 0, NULL""",
+)
+def campaign_problems(spark, sf):
+    """A wrong digest beside every shard 1, none beside shard 2, a digest without a shard and a job that has not run."""
+    root = written_campaign(spark, sf)
+    CS.spoil(root, {1: "0" * 64, 2: None}, lone=("lone", 3))
+    plan = campaign_plan(spark, sf).unionByName(spark.createDataFrame([("planned", 7)], "key string, episodes long"))
+    return CS.problems(CS.scan(spark, root), plan)
 
 
 @query(
@@ -519,18 +571,8 @@ def zero_failure_budget(spark, sf):
 UNION ALL SELECT 'tampered', 0, FALSE""",
 )
 def shard_digest_check(spark, sf):
-    """One shard per job with its digest beside it; an extra side-car has no shard."""
-    root = scratch_path(spark, "digests")
-    rows = job_rows(spark, sf).select("job", "route_signature", "failure")
-    jobs_ = ["A", "N", "R"]
-    for job in jobs_:
-        rows.where(F.col("job") == job).repartition(2).write.json(f"{root}/{job}/sample-shards")
-    shards = campaigns.shard_digests(spark, root, "*.json")
-    notes = shards.select("file", F.col("actual").alias("recorded")).unionByName(
-        shards.limit(1).select(F.lit("tampered/x").alias("file"), F.lit("00").alias("recorded"))
-    )
-    checked = campaigns.compare_digests(shards, notes)
-    job = F.when(F.col("file").startswith("tampered"), "tampered").otherwise(F.element_at(F.split("file", "/"), -3))
-    per = checked.groupBy(job.alias("job")).agg(F.min("ok").alias("ok"))
-    counts = campaigns.read_rows(spark, root, "*.json").groupBy("job").agg(F.count(F.lit(1)).alias("rows"))
-    return per.join(counts, "job", "left").select("job", F.coalesce("rows", F.lit(0)).alias("rows"), "ok")
+    """Every shard against the digest beside it; an extra digest has no shard."""
+    root = written_campaign(spark, sf)
+    CS.spoil(root, {}, lone=("tampered", 0))
+    scanned = CS.scan(spark, root)
+    return scanned.groupBy("job").agg(F.count("line").alias("rows"), F.bool_and(F.col("problem").isNull()).alias("ok"))
