@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gates as G
 from ..session import small_side
-from ..operators import aggregates, auditing, families, reconcile, sequential, splits
+from ..operators import aggregates, auditing, families, reconcile, replay, sequential, splits
+from ..schemas import CAMPAIGN_ROW
+from ..sources import campaign_shards
 
 
 def replay_campaign(rows: DataFrame, jobs: DataFrame, signature: str = families.PRINCIPAL_MODE) -> DataFrame:
@@ -34,6 +36,20 @@ def replay_families(rows: DataFrame, jobs: DataFrame, **cuts) -> DataFrame:
     return out
 
 
+def replay_shards(spark: SparkSession, root: str, plan: DataFrame, hit: Column, family: Column) -> DataFrame:
+    """``replay.replay_sums`` of a campaign in storage; ``plan``: key, scheme, episodes.
+
+    A job whose shards fail their digests, or whose rows do not match the plan, keeps its counts and gets these problems
+    as further reasons against an estimate.
+    """
+    scanned = campaign_shards.scan(spark, root)
+    sums = replay.replay_sums(campaign_shards.parsed(scanned, CAMPAIGN_ROW), plan.select(F.col("key").alias("job"), "scheme"), hit, family)
+    wrong = campaign_shards.problems(scanned, plan).groupBy("job").agg(F.array_sort(F.collect_set("problem")).alias("_problems"))  # a few names
+    none = F.array().cast("array<string>")
+    both = {c: F.concat(F.coalesce("_problems", none), c) for c in ("reasons", "family_reasons")}
+    return sums.join(wrong, "job", "left").withColumns(both).drop("_problems")
+
+
 def verify_campaign(recomputed: DataFrame, published: DataFrame, numbers: list[str], texts: list[str] = ()) -> DataFrame:
     """Fields of a published analysis that the replay does not reproduce."""
     got = reconcile.melt(recomputed, ["job"], numbers, list(texts))

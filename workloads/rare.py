@@ -11,8 +11,10 @@ from sparkassay.functions.numeric import safe_exp
 from sparkassay.operators import estimators as E
 from sparkassay.operators import families as FM
 from sparkassay.operators import reconcile as R
+from sparkassay.operators import replay as RP
 from sparkassay.operators.ordering import row_numbers
 from sparkassay.schemas import CAMPAIGN_ROW
+from sparkassay.plans import jobs as J
 from sparkassay.session import scratch_path
 from sparkassay.sources import campaign_shards as CS
 from sparkassay.sources import campaigns
@@ -339,6 +341,87 @@ def mode_estimate(spark, sf):
     return rounded(modes(spark, sf), MODE_ROUND)
 
 
+REFUSED_SQL = """re AS (SELECT 'U' AS job, 'other' AS scheme, 'unknown_scheme' AS reason, failure, route_signature FROM ca WHERE sampling_component = 'R'
+  UNION ALL SELECT 'C', 'iid_single_proposal', 'component_on_iid_job', failure, route_signature FROM ca WHERE sampling_component = 'A'
+  UNION ALL SELECT 'M', 'deterministic_mixture', 'mixture_without_component', failure, route_signature FROM ca WHERE sampling_component = 'N'
+  UNION ALL SELECT 'P', NULL, 'unplanned', failure, route_signature FROM ca WHERE sampling_component = 'N')"""
+
+
+def replayed(spark, sf):
+    """Jobs A, N and R under their schemes, copies of them that break a rule each, and a planned job without rows."""
+    rows = job_rows(spark, sf).withColumn("proposal_log_ratios", F.create_map(F.lit("speed"), F.lit(0.0)))
+    for name, source in (("U", "R"), ("C", "A"), ("M", "N"), ("P", "N")):
+        rows = rows.unionByName(rows.where(F.col("job") == source).withColumn("job", F.lit(name)))
+    broken = [("U", "other"), ("C", "iid_single_proposal"), ("M", "deterministic_mixture"), ("Z", "nominal_mc")]
+    plan = jobs(spark, sf).unionByName(spark.createDataFrame(broken, "job string, scheme string"))
+    hit = F.col("failure") & (F.substring("route_signature", -1, 1) == "1")
+    return RP.replay_sums(rows, plan, hit, FM.failure_family(detection_cut=1000, age_cut=50))
+
+
+@query(
+    "replay_modes",
+    f"""WITH RECURSIVE {MODE_SQL}, {REFUSED_SQL},
+agg AS (SELECT sum(w) ** 2 / sum(w * w) AS ess FROM jr WHERE failure AND job = 'A'),
+st AS (SELECT string_agg(stratum || ':' || c, ',' ORDER BY stratum) AS strata FROM (SELECT stratum, count(*) AS c FROM jr WHERE job = 'A' GROUP BY 1))
+SELECT {MODE_OUT}, CASE WHEN job = 'A' THEN (SELECT round(ess, 5) FROM agg) END AS aggregate_ess,
+  CASE WHEN job = 'A' THEN (SELECT strata FROM st) ELSE '' END AS strata,
+  CASE job WHEN 'A' THEN 'stratified log normal' WHEN 'N' THEN 'log normal' ELSE 'exact' END AS interval_method, NULL AS reason FROM mode
+UNION ALL SELECT job, scheme, CASE job WHEN 'C' THEN 'iid_weighted' WHEN 'M' THEN 'stratified' END, NULL, NULL, NULL, NULL, NULL,
+  count(*) FILTER (WHERE failure AND right(route_signature, 1) = '1'), NULL, count(*) FILTER (WHERE failure), NULL, NULL, NULL,
+  '', NULL, reason FROM re GROUP BY job, scheme, reason
+UNION ALL SELECT 'Z', 'nominal_mc', 'exact_binomial', NULL, NULL, NULL, NULL, NULL, 0, NULL, 0, NULL, NULL, NULL, '', NULL, 'no_rows'""",
+)
+def replay_modes(spark, sf):
+    out = rounded(RP.replay_modes(replayed(spark, sf)), MODE_ROUND | {"aggregate_ess": 5})
+    own = F.when(F.col("job") == "A", F.transform("strata", lambda x: F.concat_ws(":", x["stratum"], x["n"].cast("string"))))
+    # the copy without components has one nameless stratum
+    return out.drop("n").withColumn("strata", F.coalesce(F.array_join(own, ","), F.lit("")))
+
+
+@query(
+    "replay_verify",
+    f"""WITH RECURSIVE {MODE_SQL}, p AS (SELECT job, 'estimate' AS field, estimate AS got, CASE job WHEN 'N' THEN estimate + 0.25 ELSE estimate END AS want FROM mode
+  UNION ALL SELECT job, 'events', events, CASE job WHEN 'R' THEN events + 1 ELSE events END FROM mode)
+SELECT job, field, round(got, 7) AS got, round(want, 7) AS want, FALSE AS absent FROM p WHERE got <> want
+UNION ALL SELECT 'S', 'estimate', NULL, 0.5, TRUE""",
+)
+def replay_verify(spark, sf):
+    """A published analysis with one estimate and one count changed, and a job that the campaign does not have."""
+    got = RP.replay_modes(replayed(spark, sf)).select("job", F.col("estimate"), F.col("events").cast("double").alias("events"))
+    known = got.where(F.col("job").isin("A", "N", "R"))
+    moved = {
+        "estimate": F.col("estimate") + F.when(F.col("job") == "N", 0.25).otherwise(0.0),
+        "events": F.col("events") + F.when(F.col("job") == "R", 1.0).otherwise(0.0),
+    }
+    published = known.withColumns(moved).unionByName(spark.createDataFrame([("S", 0.5, None)], "job string, estimate double, events double"))
+    out = J.verify_campaign(got, published, ["estimate", "events"])
+    return out.select("job", "field", F.round("got", 7).alias("got"), F.round("want", 7).alias("want"), "absent")
+
+
+@query(
+    "replay_family_rows",
+    f"""WITH {CAMPAIGN_SQL}, jr AS (SELECT sampling_component AS job, job AS stratum, failure, w,
+  CASE WHEN failure THEN CASE WHEN first_detection_ms IS NULL OR first_detection_ms > 1000 THEN 0
+    WHEN first_external_message_age_ms IS NULL OR first_external_message_age_ms > 50 THEN 1 ELSE 2 END END AS f FROM ca),
+y AS (SELECT *, i, CASE WHEN f = i THEN w ELSE 0 END AS y FROM jr, (SELECT unnest([0, 1, 2]) AS i) WHERE job <> 'R'),
+h AS (SELECT job, i, stratum, count(*) * var_samp(y) AS v FROM y GROUP BY ALL),
+v AS (SELECT job, i, sum(v) AS v FROM h GROUP BY ALL),
+s AS (SELECT job, i, count(*) AS n, count(*) FILTER (WHERE f = i) AS events, avg(y) AS est, var_samp(y) / count(*) AS vi, max(y) / sum(y) AS mc,
+  sum(y) ** 2 / sum(y * y) AS ess FROM y GROUP BY ALL),
+e AS (SELECT *, sqrt(CASE WHEN job = 'A' THEN v / n / n ELSE vi END) AS se FROM s JOIN v USING (job, i)),
+r AS (SELECT * FROM (VALUES ('R', 'weights_not_unit'), ('U', 'unknown_scheme'), ('C', 'component_on_iid_job'), ('M', 'mixture_without_component'),
+  ('P', 'unplanned'), ('Z', 'no_rows')) AS x(job, reason))
+SELECT job, (ARRAY['late_detection', 'early_detection_stale_first_delivery', 'early_detection_fresh_first_delivery'])[i + 1] AS family, events,
+  round(est, 9) AS estimate, round(se, 9) AS se, round(ess, 5) AS ess, round(mc, 9) AS max_contrib,
+  round(est / sum(est) OVER (PARTITION BY job), 9) AS share, NULL AS reason FROM e
+UNION ALL SELECT job, unnest(['late_detection', 'early_detection_stale_first_delivery', 'early_detection_fresh_first_delivery']), NULL, NULL, NULL, NULL, NULL, NULL,
+  reason FROM r""",
+)
+def replay_family_rows(spark, sf):
+    out = RP.replay_family_rows(replayed(spark, sf)).select("job", "family", "events", "estimate", "se", "ess", "max_contrib", "share", "reason")
+    return rounded(out, {"estimate": 9, "se": 9, "ess": 5, "max_contrib": 9, "share": 9})
+
+
 @query(
     "precision_gates",
     f"""WITH RECURSIVE {MODE_SQL}, g AS (SELECT *, array_to_string(list_filter([
