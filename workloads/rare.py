@@ -383,7 +383,7 @@ def replay_modes(spark, sf):
     f"""WITH RECURSIVE {MODE_SQL}, p AS (SELECT job, 'estimate' AS field, estimate AS got, CASE job WHEN 'N' THEN estimate + 0.25 ELSE estimate END AS want FROM mode
   UNION ALL SELECT job, 'events', events, CASE job WHEN 'R' THEN events + 1 ELSE events END FROM mode)
 SELECT job, field, round(got, 7) AS got, round(want, 7) AS want, FALSE AS absent FROM p WHERE got <> want
-UNION ALL SELECT 'S', 'estimate', NULL, 0.5, TRUE""",
+UNION ALL SELECT 'S', 'estimate', NULL, 0.5, TRUE UNION ALL SELECT 'S', 'events', NULL, 3.0, TRUE""",
 )
 def replay_verify(spark, sf):
     """A published analysis with one estimate and one count changed, and a job that the campaign does not have."""
@@ -393,7 +393,7 @@ def replay_verify(spark, sf):
         "estimate": F.col("estimate") + F.when(F.col("job") == "N", 0.25).otherwise(0.0),
         "events": F.col("events") + F.when(F.col("job") == "R", 1.0).otherwise(0.0),
     }
-    published = known.withColumns(moved).unionByName(spark.createDataFrame([("S", 0.5, None)], "job string, estimate double, events double"))
+    published = known.withColumns(moved).unionByName(spark.createDataFrame([("S", 0.5, 3.0)], "job string, estimate double, events double"))
     out = J.verify_campaign(got, published, ["estimate", "events"])
     return out.select("job", "field", F.round("got", 7).alias("got"), F.round("want", 7).alias("want"), "absent")
 
