@@ -65,7 +65,7 @@ def regression_metrics(scored: DataFrame, keys: list[str], pred: str = "pred", y
 def quantile_deltas(predictions: DataFrame) -> DataFrame:
     """Residual quantile per level and the coverage before and after adding it: input (q, pred, y)."""
     res = predictions.withColumn("_r", F.col("y") - F.col("pred"))
-    delta = exact_quantiles(res, ["q"], F.col("_r"), {"delta": F.col("q")})
+    delta = exact_quantiles(res, ["q"], F.col("_r"), {"delta": F.col("q")}, few=True)
     # one row per level; a shuffle on so few keys would pile all rows up in a few tasks
     cover = res.join(small_side(delta), "q")
     return cover.groupBy("q").agg(

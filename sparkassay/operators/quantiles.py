@@ -3,6 +3,10 @@
 The built-in ``percentile`` holds every distinct value of a group in one task. Here values are first
 counted per distinct value, the counts are cut into slices, the slices that hold a wanted rank are
 found from the per-slice totals, and only those slices are ordered.
+
+Few groups (the whole table, or a row per level) are narrowed down before: a mergeable sketch of each group gives limits
+whose rank is known to within one part in ``8 * GRID``, one pass counts what lies below the limits around a wanted rank,
+and only the values between them, some five parts in ``GRID``, are counted, cut and ordered.
 """
 
 from __future__ import annotations
@@ -10,19 +14,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_slices
+from ..session import default_slices, durable
 from .ordering import SLICE, null_safe_alias, slice_bounds, with_slices
 
 
+GRID = 1024  # limits of a sketch
+
+
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: Column, qs: dict, slices: int | None = None
+    df: DataFrame, keys: list[str], value: Column, qs: dict, slices: int | None = None, few: bool = False
 ) -> DataFrame:
     """One row per key with one column per entry of ``qs`` (name -> level); NULL values are ignored.
 
-    A level may be a column of the keys, or a function from the row count to a 0-based position.
+    A level may be a column of the keys, or a function from the row count to a 0-based position. ``few`` says that there
+    are no more than some hundred keys, each with a great many rows; the result is the same.
     """
     values = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    bounds = slice_bounds(values, "_v", slices or default_slices(df.sparkSession))
+    return _narrowed(values, keys, qs, slices) if few or not keys else _sliced(values, keys, qs, slices)
+
+
+def _position(level, total: Column) -> Column:
+    if callable(level) and not isinstance(level, Column):
+        return level(total).cast("double")
+    return (level if isinstance(level, Column) else F.lit(float(level))) * (total - 1)
+
+
+def rank_limits(values: DataFrame, keys: list[str], qs: dict) -> DataFrame:
+    """(keys, wanted): for every entry of ``qs`` its place, position and the limits that enclose both ranks beside it.
+
+    A sketch whose limits are off by at most an eighth of a grid step encloses a rank between the limits two steps away.
+    NaN is above all limits.
+    """
+    real = F.when(~F.isnan("_v"), F.col("_v"))
+    grid = F.percentile_approx(real, [i / GRID for i in range(GRID + 1)], 8 * GRID)
+    held = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(real).alias("_m"), grid.alias("_g"))
+    wanted = []
+    for i, level in enumerate(qs.values()):
+        at = _position(level, F.col("_n"))
+        low = F.floor(at)
+        step = GRID / F.greatest(F.col("_m"), F.lit(1))
+        below, above = F.floor(low * step) - 2, F.ceil((low + 2) * step) + 2
+        wanted.append(
+            F.struct(
+                F.lit(i).alias("i"),
+                at.alias("at"),
+                F.when((below < 0) | F.col("_g").isNull(), F.lit(float("-inf"))).otherwise(F.get("_g", F.least(below, F.lit(GRID)).cast("int"))).alias("lo"),
+                F.when((above > GRID) | F.col("_g").isNull(), F.lit(float("nan"))).otherwise(F.get("_g", F.greatest(above, F.lit(0)).cast("int"))).alias("hi"),
+            )
+        )
+    return held.where("_n > 0").select(*keys, F.array(*wanted).alias("_wanted"))
+
+
+def _narrowed(values: DataFrame, keys: list[str], qs: dict, slices: int | None) -> DataFrame:
+    limits = durable(rank_limits(values, keys, qs))
+    met = values.alias("a").join(F.broadcast(limits.alias("b")), null_safe_alias("a", "b", keys))  # a row per key, few by contract
+    met = met.select(*[F.col(f"a.{k}") for k in keys], "a._v", "b._wanted")
+    counts = [F.count_if(F.col("_v") < F.col("_wanted")[i]["lo"]).alias(f"_b{i}") for i in range(len(qs))]
+    below = met.groupBy(*keys).agg(*counts)
+    inside = F.filter("_wanted", lambda w: w["at"].isNotNull() & (F.col("_v") >= w["lo"]) & (F.col("_v") <= w["hi"]))
+    near = met.select(*keys, "_v", F.explode(inside).alias("_w")).select(*keys, "_v", F.col("_w.i").alias("_i"), F.col("_w.at").alias("_p"))
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("base")) for i in range(len(qs))])
+    offsets = below.select(*keys, F.explode(offsets).alias("_o")).select(*keys, F.col("_o.i").alias("_i"), F.col("_o.base").alias("_below"))
+    by = [*keys, "_i"]
+    joined = near.alias("a").join(F.broadcast(offsets.alias("b")), null_safe_alias("a", "b", by))
+    placed = joined.select(*[F.col(f"a.{k}") for k in by], (F.col("a._p") - F.col("b._below")).alias("_at"), "a._v")
+    inner = F.col("_at")
+    enclosed = lambda n: F.when((inner >= 0) & (F.floor(inner) < n), inner).otherwise(
+        F.raise_error(F.lit("a sketch of values does not enclose a rank")).cast("double")
+    )
+    found = _sliced(placed, [*by, "_at"], {"_x": enclosed}, slices)
+    cols = [F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(qs)]
+    out = found.groupBy(*keys).agg(*cols)
+    if not keys:
+        return out
+    every = limits.select(*keys).alias("a").join(out.alias("b"), null_safe_alias("a", "b", keys), "left")  # a key without a position has no quantile
+    return every.select(*[F.col(f"a.{k}") for k in keys], *[F.col(f"b.{name}") for name in qs])
+
+
+def _sliced(values: DataFrame, keys: list[str], qs: dict, slices: int | None) -> DataFrame:
+    bounds = slice_bounds(values, "_v", slices or default_slices(values.sparkSession))
     counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     cut = with_slices(counted, "_v", bounds=bounds)
     per_slice = cut.groupBy(*keys, SLICE).agg(F.sum("_n").alias("_sn"))
@@ -35,11 +105,7 @@ def exact_quantiles(
     names = list(qs)
     spots = []
     for i, name in enumerate(names):
-        level = qs[name]
-        if callable(level) and not isinstance(level, Column):
-            at = level(F.col("_total")).cast("double")
-        else:
-            at = (level if isinstance(level, Column) else F.lit(float(level))) * (F.col("_total") - 1)
+        at = _position(qs[name], F.col("_total"))
         low = F.floor(at)
         for side, rank in (("lo", low), ("hi", F.least(low + 1, F.col("_total") - 1))):
             spots.append(

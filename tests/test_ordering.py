@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkassay.operators import ordering as O
-from sparkassay.operators.quantiles import exact_quantiles
+from sparkassay.operators.quantiles import exact_quantiles, rank_limits
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,47 @@ def test_slice_number_matches_searchsorted(spark):
     xs = [-1.0, 1.0, 1.5, 2.5, 2.6, 2.75, 8.0, 9.0, 10.0, 11.0, 12.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select(O.slice_number(F.col("x"), bounds).alias("s")).collect()
     assert [r["s"] for r in got] == list(np.searchsorted(bounds, xs, side="left"))
+
+
+def odd_values(n, seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=n), rng.normal(size=n) * 1e-300, np.repeat([0.0, -0.0, 7.5], n // 3), rng.lognormal(0, 30, n)])
+    return rng.permutation(np.concatenate([x, [np.inf, -np.inf] * 3]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 3000])
+def test_narrowed_quantiles_equal_sorting(spark, n):
+    x = np.sort(odd_values(max(n, 3), n)[:n] if n < 3000 else odd_values(n, n))
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(5)
+    levels = {f"q{i}": q for i, q in enumerate([0.0, 0.1, 0.333, 0.5, 0.999, 1.0])}
+    rank = lambda total: F.ceil(F.lit(0.9) * total) - 1
+    got = exact_quantiles(df, [], F.col("v"), levels | {"rank": rank}).first()
+    for name, q in levels.items():
+        at = q * (len(x) - 1)
+        low = int(np.floor(at))
+        a, b = x[low], x[min(low + 1, len(x) - 1)]
+        want = a + (b - a) * (at - low)
+        assert got[name] == want or (np.isnan(want) and np.isnan(got[name]))
+    assert got["rank"] == x[int(np.ceil(0.9 * len(x))) - 1]
+
+
+def test_narrowed_quantiles_by_level_and_nan(spark):
+    rng = np.random.default_rng(5)
+    rows = [(q, float(v)) for q in (0.1, 0.5, 0.9) for v in rng.normal(size=2000)] + [(None, 1.0), (0.7, float("nan")), (0.7, 2.0), (0.2, None)]
+    df = spark.createDataFrame(rows, "q double, v double").repartition(4)
+    few = {r["q"]: r["d"] for r in exact_quantiles(df, ["q"], F.col("v"), {"d": F.col("q")}, few=True).collect()}
+    many = {r["q"]: r["d"] for r in exact_quantiles(df, ["q"], F.col("v"), {"d": F.col("q")}).collect()}
+    assert few.keys() == many.keys() and all(few[k] == many[k] or str(few[k]) == str(many[k]) for k in many)
+    none = df.limit(0)
+    assert exact_quantiles(none, [], F.col("v"), {"m": 0.5}).collect() == [(None,)]
+    assert exact_quantiles(none, ["q"], F.col("v"), {"m": 0.5}, few=True).collect() == []
+
+
+def test_only_values_near_a_rank_are_moved(spark):
+    """Of many values the limits of a rank enclose a small part, and both ranks beside the position."""
+    x = np.sort(np.random.default_rng(6).normal(size=60_000))
+    values = spark.createDataFrame([(float(v),) for v in x], "_v double").repartition(8)
+    for w in rank_limits(values, [], {str(q): q for q in (0.0, 0.25, 0.5, 0.987, 1.0)}).first()["_wanted"]:
+        low = int(w["at"])
+        assert w["lo"] <= x[low] and not x[min(low + 1, len(x) - 1)] > w["hi"]
+        assert ((x >= w["lo"]) & ~(x > w["hi"])).sum() < 0.01 * len(x)

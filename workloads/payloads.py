@@ -87,21 +87,20 @@ def episode_margin(spark, sf):
 
 
 # margins per part x supplier group: small groups, some with a single row
-MARGIN_SQL = """m AS (SELECT l_partkey * 100 + l_suppkey AS gidx, l_quantity / 10 - 0.5 AS margin FROM lineitem
-  WHERE l_tax <> 0.08)"""
+MARGIN_SQL = """m AS (SELECT l_partkey * 100 + l_suppkey AS gidx, CASE WHEN l_tax <> 0.08 THEN l_quantity / 10 - 0.5 END AS margin
+  FROM lineitem)"""
 
 
 def margins(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_tax <> 0.08")
-    return li.select(
-        (F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("gidx"), (F.col("l_quantity") / 10 - 0.5).alias("margin")
-    )
+    """Every row; a trial without a margin (tax 0.08) has null."""
+    margin = F.when(F.col("l_tax") != 0.08, F.col("l_quantity") / 10 - 0.5)
+    return table(spark, sf, "lineitem").select((F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("gidx"), margin.alias("margin"))
 
 
 @query(
     "margin_stats",
     f"""WITH {MARGIN_SQL}, g AS (SELECT gidx, avg(margin) AS y, count(*) AS n,
-  CASE WHEN count(*) > 1 THEN var_samp(margin) END AS v FROM m GROUP BY gidx),
+  CASE WHEN count(*) > 1 THEN var_samp(margin) END AS v FROM m WHERE margin IS NOT NULL GROUP BY gidx),
 f AS (SELECT *, greatest(coalesce(v, (SELECT quantile_cont(v, 0.5) FROM g)), 1e-6) AS var FROM g)
 SELECT gidx, round(y, 6) AS y, n, round(var, 6) AS var, round(greatest(var / n, 1e-5), 6) AS alpha,
   round(ln(var + 1e-6), 5) AS log_var, v IS NULL AS fallback FROM f""",

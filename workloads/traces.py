@@ -363,14 +363,19 @@ def draw_log_ratio(spark, sf):
 
 @query(
     "episode_log_ratio",
-    f"""WITH {DRAWS_SQL}, f AS (SELECT *, CASE WHEN {SHOWN_SQL} = 'finite' THEN lr WHEN isnan(lr) THEN NULL ELSE 0 END AS r FROM pdf),
-g AS (SELECT episode, component, sum(r) AS s, count(*) AS draws, count(*) - count(r) AS invalid FROM f GROUP BY ROLLUP (episode, component))
-SELECT episode, component, CASE WHEN invalid = 0 THEN round(s, 7) END AS log_ratio, draws, invalid FROM g WHERE episode IS NOT NULL""",
+    f"""WITH {DRAWS_SQL}, f AS (SELECT *, {SHOWN_SQL} AS shown, CASE WHEN {SHOWN_SQL} = 'finite' THEN lr END AS r FROM pdf),
+g AS (SELECT episode, component, sum(r) AS s, count(*) AS draws, count(*) FILTER (WHERE shown = 'nan') AS invalid,
+  count(*) FILTER (WHERE shown = 'inf') AS up, count(*) FILTER (WHERE shown = '-inf') AS down FROM f GROUP BY ROLLUP (episode, component))
+SELECT episode, component, CASE WHEN invalid > 0 THEN 'invalid' WHEN up > 0 AND down > 0 THEN 'nan' WHEN up > 0 THEN 'inf' WHEN down > 0 THEN '-inf'
+  ELSE 'finite' END AS class, CASE WHEN invalid + up + down = 0 THEN round(s, 7) END AS log_ratio, draws, invalid FROM g WHERE episode IS NOT NULL""",
 )
 def episode_log_ratio(spark, sf):
     lr = F.col("log_ratio")
-    rows = draws(spark, sf).withColumn("log_ratio", F.when(F.abs(lr) == float("inf"), F.lit(0.0)).otherwise(lr))
-    return rounded(T.draw_sums(rows, EP), {"log_ratio": 7})
+    shown = (
+        F.when(lr.isNull(), "invalid").when(F.isnan(lr), "nan").when(lr == float("inf"), "inf").when(lr == float("-inf"), "-inf").otherwise("finite")
+    )
+    out = T.draw_sums(draws(spark, sf), EP).withColumn("class", shown)
+    return out.withColumn("log_ratio", F.when(F.col("class") == "finite", F.round(lr, 7)))
 
 
 @query(
@@ -389,12 +394,12 @@ def proposal_log_ratio(spark, sf):
 @query(
     "defensive_mixture_weight",
     f"""WITH {DRAWS_SQL} SELECT episode, part, supp, line, CASE WHEN isnan(lr) OR isinf(lr) THEN CASE WHEN lr = 'infinity'::DOUBLE THEN round(-ln(0.1), 9) END
-  ELSE round(-ln(0.1 + 0.9 * exp(-lr)), 7) END AS log_weight FROM pdf WHERE NOT isnan(lr)""",
+  ELSE round(-ln(0.1 + 0.9 * exp(-lr)), 7) END AS log_weight FROM pdf""",
 )
 def defensive_mixture_weight(spark, sf):
     w = DR.defensive_mixture_weight(F.col("log_ratio"), 0.1)
-    rows = draws(spark, sf).where(~F.isnan("log_ratio"))
-    shown = F.when(w == float("-inf"), None).when(F.col("log_ratio") == float("inf"), F.round(w, 9)).otherwise(F.round(w, 7))
+    rows = draws(spark, sf)  # a draw without a ratio has no weight
+    shown = F.when((w == float("-inf")) | F.isnan(w), None).when(F.col("log_ratio") == float("inf"), F.round(w, 9)).otherwise(F.round(w, 7))
     return rows.select("episode", "part", "supp", "line", shown.alias("log_weight"))
 
 
