@@ -5,8 +5,8 @@ counted per distinct value, the counts are cut into slices, the slices that hold
 found from the per-slice totals, and only those slices are ordered.
 
 Few groups (the whole table, or a row per level) are narrowed down before: a mergeable sketch of each group gives limits
-whose rank is known to within one part in ``8 * GRID``, one pass counts what lies below the limits around a wanted rank,
-and only the values between them, some five parts in ``GRID``, are counted, cut and ordered.
+whose rank is known to within one part in ``8 * GRID``; a second pass counts what lies below the limits around a wanted rank, and
+only the values between them, some five parts in ``GRID``, are shuffled, cut and ordered.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..session import default_slices, durable
 from .ordering import SLICE, null_safe_alias, slice_bounds, with_slices
 
 
-GRID = 1024  # limits of a sketch
+GRID = 512  # limits of a sketch
 
 
 def exact_quantiles(
@@ -30,7 +30,10 @@ def exact_quantiles(
     are no more than some hundred keys, each with a great many rows; the result is the same.
     """
     values = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    return _narrowed(values, keys, qs, slices) if few or not keys else _sliced(values, keys, qs, slices)
+    if few or not keys:
+        return _narrowed(values, keys, qs, slices)
+    bounds = slice_bounds(values, "_v", slices or default_slices(values.sparkSession))
+    return _sliced(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), keys, qs, bounds)
 
 
 def _position(level, total: Column) -> Column:
@@ -66,23 +69,33 @@ def rank_limits(values: DataFrame, keys: list[str], qs: dict) -> DataFrame:
 
 
 def _narrowed(values: DataFrame, keys: list[str], qs: dict, slices: int | None) -> DataFrame:
-    limits = durable(rank_limits(values, keys, qs))
+    wanted = F.col("_wanted")
+    flat = [wanted[i][c].alias(f"_{c}{i}") for i in range(len(qs)) for c in ("at", "lo", "hi")]
+    limits = rank_limits(values, keys, qs).select(*keys, *flat)
+    limits = durable(limits) if keys else limits  # without keys it is used once
     met = values.alias("a").join(F.broadcast(limits.alias("b")), null_safe_alias("a", "b", keys))  # a row per key, few by contract
-    met = met.select(*[F.col(f"a.{k}") for k in keys], "a._v", "b._wanted")
-    counts = [F.count_if(F.col("_v") < F.col("_wanted")[i]["lo"]).alias(f"_b{i}") for i in range(len(qs))]
-    below = met.groupBy(*keys).agg(*counts)
-    inside = F.filter("_wanted", lambda w: w["at"].isNotNull() & (F.col("_v") >= w["lo"]) & (F.col("_v") <= w["hi"]))
-    near = met.select(*keys, "_v", F.explode(inside).alias("_w")).select(*keys, "_v", F.col("_w.i").alias("_i"), F.col("_w.at").alias("_p"))
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("base")) for i in range(len(qs))])
-    offsets = below.select(*keys, F.explode(offsets).alias("_o")).select(*keys, F.col("_o.i").alias("_i"), F.col("_o.base").alias("_below"))
-    by = [*keys, "_i"]
-    joined = near.alias("a").join(F.broadcast(offsets.alias("b")), null_safe_alias("a", "b", by))
-    placed = joined.select(*[F.col(f"a.{k}") for k in by], (F.col("a._p") - F.col("b._below")).alias("_at"), "a._v")
-    inner = F.col("_at")
-    enclosed = lambda n: F.when((inner >= 0) & (F.floor(inner) < n), inner).otherwise(
+    met = met.select(*[F.col(f"a.{k}") for k in keys], "a._v", *[F.col(f"b.{c}") for c in limits.columns[len(keys) :]])
+    v = F.col("_v")
+    # a value below the limits of a rank is only counted, as null; one above them is left out
+    use = lambda i: F.col(f"_at{i}").isNotNull() & ~(v > F.col(f"_hi{i}"))
+    part = lambda i: (F.lit(i).alias("_i"), F.col(f"_at{i}").alias("_p"), F.when(~(v < F.col(f"_lo{i}")), v).alias("_v"))
+    if len(qs) == 1:
+        counted = met.where(use(0)).select(*keys, *part(0))
+    else:
+        each = met.select(*keys, F.explode(F.array(*[F.when(use(i), F.struct(*part(i))) for i in range(len(qs))])).alias("_w"))
+        counted = each.where("_w IS NOT NULL").select(*keys, "_w.*")
+    by = [*keys, "_i", "_p"]
+    counted = durable(counted.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    base = counted.where("_v IS NULL").select(*by, F.col("_n").alias("_below"))
+    near = counted.where("_v IS NOT NULL").alias("a").join(F.broadcast(base.alias("b")), null_safe_alias("a", "b", by), "left")
+    inner = F.col("a._p") - F.coalesce("b._below", F.lit(0))
+    placed = near.select(*[F.col(f"a.{k}") for k in by], inner.alias("_at"), "a._v", "a._n")
+    at = F.col("_at")
+    enclosed = lambda n: F.when((at >= 0) & (F.floor(at) < n), at).otherwise(
         F.raise_error(F.lit("a sketch of values does not enclose a rank")).cast("double")
     )
-    found = _sliced(placed, [*by, "_at"], {"_x": enclosed}, slices)
+    bounds = slice_bounds(placed, "_v", slices or default_slices(values.sparkSession))
+    found = _sliced(placed, [*by, "_at"], {"_x": enclosed}, bounds)
     cols = [F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(qs)]
     out = found.groupBy(*keys).agg(*cols)
     if not keys:
@@ -91,9 +104,8 @@ def _narrowed(values: DataFrame, keys: list[str], qs: dict, slices: int | None)
     return every.select(*[F.col(f"a.{k}") for k in keys], *[F.col(f"b.{name}") for name in qs])
 
 
-def _sliced(values: DataFrame, keys: list[str], qs: dict, slices: int | None) -> DataFrame:
-    bounds = slice_bounds(values, "_v", slices or default_slices(values.sparkSession))
-    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+def _sliced(counted: DataFrame, keys: list[str], qs: dict, bounds: list) -> DataFrame:
+    """``exact_quantiles`` of (keys, _v, _n): distinct values with their counts."""
     cut = with_slices(counted, "_v", bounds=bounds)
     per_slice = cut.groupBy(*keys, SLICE).agg(F.sum("_n").alias("_sn"))
     kw = Window.partitionBy(*keys)

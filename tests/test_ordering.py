@@ -121,4 +121,4 @@ def test_only_values_near_a_rank_are_moved(spark):
     for w in rank_limits(values, [], {str(q): q for q in (0.0, 0.25, 0.5, 0.987, 1.0)}).first()["_wanted"]:
         low = int(w["at"])
         assert w["lo"] <= x[low] and not x[min(low + 1, len(x) - 1)] > w["hi"]
-        assert ((x >= w["lo"]) & ~(x > w["hi"])).sum() < 0.01 * len(x)
+        assert ((x >= w["lo"]) & ~(x > w["hi"])).sum() < 0.02 * len(x)
