@@ -295,7 +295,15 @@ def boundary_shortlist(spark, sf):
     return rounded(out, {"score": 9, "margin": 9})
 
 
-@query("farthest_first")
+@query(
+    "farthest_first",
+    f"""WITH RECURSIVE p AS (SELECT vec_id AS gidx, embedding::DOUBLE[] AS v FROM embeddings),
+t AS (SELECT 0 AS rank, gidx, [gidx] AS picks, [v] AS held FROM (SELECT * FROM p ORDER BY {HASH.format("'5:' || gidx")}, gidx LIMIT 1)
+  UNION ALL SELECT rank + 1, best.gidx, list_append(picks, best.gidx), list_append(held, best.v) FROM (
+    SELECT rank, picks, held, arg_max(struct_pack(gidx := p.gidx, v := v), (list_min(list_transform(held, lambda w: list_distance(v, w))), -p.gidx)) AS best
+    FROM t, p WHERE NOT list_contains(picks, p.gidx) AND rank < 11 GROUP BY rank, picks, held))
+SELECT gidx, rank::INT AS rank FROM t""",
+)
 def farthest_first(spark, sf):
     pts = table(spark, sf, "embeddings").select(F.col("vec_id").alias("gidx"), F.col("embedding").alias("vec"))
     return S.farthest_first(pts, 12, seed=5)
