@@ -406,8 +406,8 @@ def replay_verify(spark, sf):
 y AS (SELECT *, i, CASE WHEN f = i THEN w ELSE 0 END AS y FROM jr, (SELECT unnest([0, 1, 2]) AS i) WHERE job <> 'R'),
 h AS (SELECT job, i, stratum, count(*) * var_samp(y) AS v FROM y GROUP BY ALL),
 v AS (SELECT job, i, sum(v) AS v FROM h GROUP BY ALL),
-s AS (SELECT job, i, count(*) AS n, count(*) FILTER (WHERE f = i) AS events, avg(y) AS est, var_samp(y) / count(*) AS vi, max(y) / sum(y) AS mc,
-  sum(y) ** 2 / sum(y * y) AS ess FROM y GROUP BY ALL),
+s AS (SELECT job, i, count(*) AS n, count(*) FILTER (WHERE f = i) AS events, avg(y) AS est, var_samp(y) / count(*) AS vi,
+  CASE WHEN sum(y) > 0 THEN max(y) / sum(y) END AS mc, CASE WHEN sum(y) > 0 THEN sum(y) ** 2 / sum(y * y) ELSE 0 END AS ess FROM y GROUP BY ALL),
 e AS (SELECT *, sqrt(CASE WHEN job = 'A' THEN v / n / n ELSE vi END) AS se FROM s JOIN v USING (job, i)),
 r AS (SELECT * FROM (VALUES ('R', 'weights_not_unit'), ('U', 'unknown_scheme'), ('C', 'component_on_iid_job'), ('M', 'mixture_without_component'),
   ('P', 'unplanned'), ('Z', 'no_rows')) AS x(job, reason))
