@@ -15,12 +15,13 @@ from .registry import ORACLES, QUERIES, query, table  # noqa: F401
     "op8_line_spread",
     f"""WITH l AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place,
-    string_split(coalesce(text, ''), chr(10)) AS every FROM documents),
-c AS (SELECT *, (CASE WHEN place > 1 THEN every[place - 1] END, every[place + 1]) AS beside FROM l
-  WHERE regexp_matches(line, '[^ \\t-\\r]')),
-bad AS (SELECT line FROM c GROUP BY line
-  HAVING count(DISTINCT source) >= {lines.MIN_SITES} AND count(DISTINCT beside) >= {lines.MIN_CONTEXTS} * count(*)),
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+c AS (SELECT * FROM l WHERE regexp_matches(line, '[^ \\t-\\r]')),
+shared AS (SELECT line FROM c GROUP BY line HAVING count(DISTINCT source) >= {lines.MIN_SITES}),
+w AS (SELECT doc_id FROM c LEFT JOIN shared USING (line) GROUP BY doc_id
+  HAVING 100 * coalesce(sum(length(line)) FILTER (WHERE shared.line IS NULL), 0) >= {lines.OWN_PERCENT} * sum(length(line))),
+bad AS (SELECT line FROM c SEMI JOIN shared USING (line) SEMI JOIN w USING (doc_id) GROUP BY line
+  HAVING count(DISTINCT source) >= {lines.MIN_SITES}),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(bad.line) AS n_removed,
     coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE bad.line IS NULL), '') AS kept
   FROM l LEFT JOIN bad ON l.line = bad.line GROUP BY l.doc_id)
