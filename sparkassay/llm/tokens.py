@@ -6,7 +6,6 @@ import base64
 import functools
 import os
 import re
-from array import array
 
 import numpy as np
 
@@ -47,10 +46,12 @@ class DroppedSpace:
     """A tokenizer that drops white space and lower-cases: a text's ids are those of its words in order.
 
     A word of Latin letters, with ASCII punctuation behind it or not, is two pieces for the model, and those are
-    remembered too; every other word goes through the tokenizer's own normaliser and splitter.
+    remembered too; every other word goes through the tokenizer's own normaliser and splitter. New pieces are encoded
+    ``TOGETHER`` at a time, as one text cut at line feeds, which no piece holds.
     """
 
-    SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+    SIMPLE = re.compile(r"^(?:([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
+    TOGETHER = 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,23 +59,26 @@ class DroppedSpace:
 
         self.model, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), whole])
         self.words, self.pieces = Words(), Words()
         self.pieces.known[""] = b""
 
     def _learn(self, new: list[bytes]) -> None:
-        fit, known, simple = self.SIMPLE.fullmatch, self.words.known, []
-        for w in new:
-            found = fit(text := w.decode())
-            if found:
-                simple.append((w, found[1].lower(), found[2]))
+        known, simple = self.words.known, []
+        found = self.SIMPLE.findall(b"\n".join(new).decode()) if new else []
+        for w, (letters, signs) in zip(new, found, strict=True):
+            if letters:
+                simple.append((w, letters.lower(), signs))
             else:
-                known[w] = _bytes(self.model.encode(text, add_special_tokens=False).ids)
+                known[w] = _bytes(self.model.encode(w.decode(), add_special_tokens=False).ids)
         pieces = self.pieces.known
         fresh = list({x for _, a, b in simple for x in (a, b) if x not in pieces})
-        for i in range(0, len(fresh), 1000):
-            coded = self.bare.encode_batch_fast(fresh[i : i + 1000], add_special_tokens=False)
-            pieces.update((x, array("I", e.ids).tobytes()) for x, e in zip(fresh[i : i + 1000], coded))
+        for i in range(0, len(fresh), self.TOGETHER):
+            some = fresh[i : i + self.TOGETHER]
+            coded = self.bare.encode("\n".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(some)))
+            pieces.update(zip(some, _cut(np.asarray(coded.ids), np.append(0, ends[:-1]), ends)))
         known.update((w, pieces[a] + pieces[b]) for w, a, b in simple)
         self.pieces.forget(fresh)
 

@@ -37,6 +37,18 @@ def test_edges_and_single_reads(spark, edge, folder):
     assert [r["ids"] for r in one] == [Tokenizer.from_file(WORD).encode("one", add_special_tokens=False).ids + [1]]
 
 
+def test_words_are_encoded_as_by_the_library():
+    from sparkassay.llm.tokens import DroppedSpace
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}ord" + "!" * (i % 3) for i in range(1500)]
+    odd = ["Été,", "ÀÿÖ", "x" * 5000, "\u2028a\u2028", "\x1cb", "don't", "3.5", "\u00d7", "日本語", "a\u0130", "\U0001f600", "--", "\u0085"]
+    texts = [" ".join(words), " ".join(odd), "\n\n\t", "", *odd]
+    model, coded = Tokenizer.from_file(WORD), DroppedSpace(WORD)
+    for _ in range(2):  # as new and as known words
+        got = coded([t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty(spark, empty, folder):
     tokenfiles.write_token_files(empty, f"{folder}/none", WORD)
     assert tokenfiles.read_token_files(spark, f"{folder}/none").collect() == []
