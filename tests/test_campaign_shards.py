@@ -97,3 +97,16 @@ def test_cursor_of_each_job(spark, folder):
     put(f"{folder}/in", "b", 1, range(2))
     put(f"{folder}/in", "c", 0, range(1))
     assert run() == [("a", 0, 3), ("b", 0, 2), ("b", 1, 2), ("b", 2, 9), ("c", 0, 1)]
+
+
+def test_small_shards_share_a_task(spark, folder, monkeypatch):
+    for shard in range(60):
+        put(folder, "j", shard, range(shard, shard + 2), digest="wrong" if shard == 7 else "right")
+    scanned = CS.scan(spark, folder)
+    assert scanned.rdd.getNumPartitions() == 1
+    got = scanned.where("problem IS NULL").orderBy("shard", "ordinal").collect()
+    assert [(r["shard"], r["ordinal"]) for r in got] == [(s, i) for s in range(60) for i in range(2)]
+    assert [r["shard"] for r in scanned.where("problem IS NOT NULL").collect()] == [7]
+    monkeypatch.setattr(CS, "PARTITION_BYTES", 10 * CS.OPEN_BYTES)
+    runs = CS.packed(CS.shards(folder))
+    assert [x.shard for run in runs for x in run.shards] == list(range(60)) and 6 <= len(runs) <= 7
