@@ -127,3 +127,18 @@ def test_comparison_of_numbers(spark):
     rows = [(1.0, 1.0 + 1e-13, True), (1.0, 1.0 + 1e-9, False), (None, None, True), (None, 1.0, False), (math.nan, math.nan, False), (0.0, 1e-26, True)]
     df = spark.createDataFrame(rows, "a double, b double, ok boolean")
     assert df.where(R.same_number(F.col("a"), F.col("b")) != F.col("ok")).isEmpty()
+
+
+def test_a_figure_at_its_limit_passes_in_any_order(spark):
+    schema = "e double, m double, l double, n long, k long, r double"
+    up, down = 1 + 1e-13, 1 - 1e-13  # what the order of a sum may leave
+    rows = [(0.8 * down, 0.006 * up, 0.12 * up, 1000, 10, 0.2 * up), (0.79, 0.0061, -0.13, 1000, 9, 0.21)]
+    df = spark.createDataFrame(rows, schema).orderBy(F.desc("e"))
+    quality = G.weight_quality(F.col("e"), F.col("m"), F.col("l"), min_ess_ratio=0.8, max_weight=0.006, max_log_mean=0.12)
+    args = [F.col("n"), F.col("k"), F.col("r")]
+    _, proposal = G.proposal_validation(quality, *args, final_n=1000, min_failures=10, max_projected=0.2)
+    final = G.final_estimate(
+        quality, F.col("k"), F.col("e") * 10, F.col("r"), F.lit(0.1), F.lit(0.2), min_failures=10, min_ess=8.0, max_rse=0.2
+    )
+    got = df.select(F.size(quality), F.size(proposal), F.size(final)).collect()
+    assert [tuple(r) for r in got] == [(0, 0, 0), (3, 5, 6)]
