@@ -122,3 +122,24 @@ def test_only_values_near_a_rank_are_moved(spark):
         low = int(w["at"])
         assert w["lo"] <= x[low] and not x[min(low + 1, len(x) - 1)] > w["hi"]
         assert ((x >= w["lo"]) & ~(x > w["hi"])).sum() < 0.02 * len(x)
+
+
+def test_noise_of_decimals_is_exact_in_any_order(spark):
+    import random
+    from decimal import Decimal
+    from fractions import Fraction
+
+    from sparkassay.operators import aggregates as A
+
+    cents = [random.Random(5).randrange(1, 10**7) for _ in range(300)]
+    whole = [Fraction(c, 100) for c in cents]
+    mean = sum(whole) / 300
+    want = (float(mean), sum((x - mean) ** 2 for x in whole) / 299 / 300)
+    for turn in range(4):
+        random.Random(turn).shuffle(cents)
+        rows = [("a", "s", Decimal(c) / 100) for c in cents] + [("a", "s", None), ("b", "s", None), ("c", "s", Decimal(7))]
+        df = spark.createDataFrame(rows, "gidx string, scenario string, value decimal(15,2)").repartition(turn + 2)
+        got = {r["gidx"]: r for r in A.metric_agg_noise(df, ["gidx", "scenario"], "mean").collect()}
+        assert got["a"]["value"] == want[0] and abs(got["a"]["var"] / float(want[1]) - 1) < 1e-15
+        assert np.isnan(got["b"]["value"]) and got["b"]["var"] is None
+        assert (got["c"]["value"], got["c"]["var"]) == (7.0, 0.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkassay.functions.numeric import finite_or_null
 from sparkassay.operators import aggregates as A
 from sparkassay.operators import payloads as P
 
@@ -166,16 +167,22 @@ def metric_agg(spark, sf):
     return out.withColumns({"mean": F.round("mean", 9), "median": F.round("median", 4)})
 
 
-@query(
-    "metric_agg_noise",
-    f"""WITH {VALUE_SQL} SELECT part AS gidx, scenario, round(avg(value), 9) AS value,
-  round(CASE WHEN count(*) = 1 THEN 0 ELSE var_samp(value) / count(*) END, 1) AS var
-FROM v GROUP BY ALL""",
-)
+# Prices are whole cents, so their sums are exact; both sides divide the same two numbers and need no rounding.
+NOISE_SQL = f"""{EP_SQL}, cents AS (SELECT part AS gidx, scenario, CASE WHEN tax NOT IN (0.07, 0.08) THEN round(metric * 100)::BIGINT END AS c FROM ep),
+m AS (SELECT gidx, scenario, count(c)::DOUBLE AS n, sum(c)::HUGEINT AS s, sum(c::HUGEINT * c)::HUGEINT AS q FROM cents GROUP BY ALL),
+noise AS (SELECT gidx, scenario, CASE WHEN n = 0 THEN 'NaN'::DOUBLE ELSE s::DOUBLE / (n * 100) END AS value,
+  CASE WHEN n = 1 THEN 0 WHEN n > 1 THEN (n::HUGEINT * q - s * s)::DOUBLE / (n * n * (n - 1) * 10000) END AS var FROM m)"""
+
+
+def cents(spark, sf):
+    """Values per part as decimals; missing and not finite ones are null."""
+    exact = finite_or_null(F.col("value")).cast("decimal(15,2)")
+    return values(spark, sf).drop("gidx").withColumnRenamed("part", "gidx").withColumn("value", exact)
+
+
+@query("metric_agg_noise", f"WITH {NOISE_SQL} SELECT gidx, scenario, value, var FROM noise")
 def metric_agg_noise(spark, sf):
-    rows = values(spark, sf).drop("gidx").withColumnRenamed("part", "gidx")
-    out = A.metric_agg_noise(rows, ["gidx", "scenario"], "mean")
-    return out.withColumns({"value": F.round("value", 9), "var": F.round("var", 1)})
+    return A.metric_agg_noise(cents(spark, sf), ["gidx", "scenario"], "mean")
 
 
 VORDER = EP_ORDER_SQL.replace("metric", "value").replace("part", "gidx")
@@ -197,15 +204,9 @@ def fixed_replication(spark, sf):
 
 @query(
     "portfolio_objective",
-    f"""WITH {VALUE_SQL}, s AS (SELECT part AS gidx, scenario, avg(value) AS value,
-  CASE WHEN count(*) = 1 THEN 0 ELSE var_samp(value) / count(*) END AS var FROM v GROUP BY ALL)
-SELECT gidx, round(avg(value), 9) AS metric, round(-avg(value), 9) AS obj_perf,
-  round(CASE WHEN count(var) = 2 THEN sum(var) / 4 END, 1) AS obs_var FROM s GROUP BY gidx""",
+    f"""WITH {NOISE_SQL} SELECT gidx, sum(value) / count(*) AS metric, -(sum(value) / count(*)) AS obj_perf,
+  CASE WHEN count(var) = 2 THEN sum(var) / 4 END AS obs_var FROM noise GROUP BY gidx""",
 )
 def portfolio_objective(spark, sf):
-    rows = values(spark, sf).drop("gidx").withColumnRenamed("part", "gidx")
-    per = A.metric_agg_noise(rows, ["gidx", "scenario"], "mean")
-    out = A.portfolio_objective(per, 2, "mean", maximize=True)
-    return out.withColumns(
-        {"metric": F.round("metric", 9), "obj_perf": F.round("obj_perf", 9), "obs_var": F.round("obs_var", 1)}
-    )
+    per = A.metric_agg_noise(cents(spark, sf), ["gidx", "scenario"], "mean")
+    return A.portfolio_objective(per, 2, "mean", maximize=True)
