@@ -131,7 +131,8 @@ def test_noise_of_decimals_is_exact_in_any_order(spark):
 
     from sparkassay.operators import aggregates as A
 
-    cents = [random.Random(5).randrange(1, 10**7) for _ in range(300)]
+    draw = random.Random(5)
+    cents = [draw.randrange(1, 10**7) for _ in range(300)]
     whole = [Fraction(c, 100) for c in cents]
     mean = sum(whole) / 300
     want = (float(mean), sum((x - mean) ** 2 for x in whole) / 299 / 300)
