@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import margin_coverage_calibration, p_calibrate, quantile_shift
-from ..session import durable
+from ..session import durable, keyed
 
 
-def _leaves(model: RandomForestRegressionModel, df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, tree, leaf): the leaf of every tree that a row falls into."""
-    routed = model.transform(df)
-    return routed.select(*keep, F.posexplode(vector_to_array(model.getLeafCol())).alias("tree", "leaf"))
+def _routed(model: RandomForestRegressionModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, leaves): the leaves that a row falls into, in the order of the trees."""
+    return model.transform(df).select(*keep, vector_to_array(model.getLeafCol()).alias("leaves"))
+
+
+def _by_tree(routed: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, tree, leaf): one row per tree."""
+    return routed.select(*keep, F.posexplode("leaves").alias("tree", "leaf"))
 
 
 @dataclass
@@ -27,21 +31,27 @@ class QuantileForest:
     leaf_values: DataFrame  # tree, leaf, y, share (shares of a leaf sum to one)
     trees: int
 
+    def _classes(self, routed: DataFrame) -> DataFrame:
+        """(leaves, y, w): the distribution of every class of designs that fall into the same leaves."""
+        cells = _by_tree(routed.select("leaves").distinct(), ["leaves"]).join(self.leaf_values, ["tree", "leaf"])
+        return cells.groupBy("leaves", "y").agg((F.sum("share") / self.trees).alias("w"))
+
     def distribution(self, designs: DataFrame) -> DataFrame:
         """(gidx, y, w): predicted distribution per design, weights summing to one."""
-        routed = _leaves(self.model, designs, ["gidx"])
-        joined = routed.join(self.leaf_values, ["tree", "leaf"])
-        return joined.groupBy("gidx", "y").agg((F.sum("share") / self.trees).alias("w"))
+        routed = _routed(self.model, designs, ["gidx"])
+        return routed.join(keyed(self._classes(routed)), "leaves").select("gidx", "y", "w")
 
     def quantiles(self, designs: DataFrame, taus: list[float]) -> DataFrame:
         """(gidx, tau, q): smallest value whose cumulative weight reaches tau.
 
-        A design's distribution has at most trees x leaf-size values, so its window is bounded.
+        Designs in the same leaves share a distribution, which is read once per class. It has at most trees x leaf-size
+        values, so its window is bounded.
         """
-        w = Window.partitionBy("gidx").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-        cum = self.distribution(designs).withColumn("_c", F.sum("w").over(w))
+        routed = _routed(self.model, designs, ["gidx"])
+        w = Window.partitionBy("leaves").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+        cum = self._classes(routed).withColumn("_c", F.sum("w").over(w))
         picks = [F.min(F.when(F.col("_c") >= t - 1e-12, F.col("y"))).alias(f"_q{i}") for i, t in enumerate(taus)]
-        wide = cum.groupBy("gidx").agg(*picks, F.max("y").alias("_top"))
+        wide = routed.join(keyed(cum.groupBy("leaves").agg(*picks, F.max("y").alias("_top"))), "leaves")
         cells = [
             F.struct(F.lit(float(t)).alias("tau"), F.coalesce(f"_q{i}", "_top").alias("q")) for i, t in enumerate(taus)
         ]
@@ -52,8 +62,10 @@ class QuantileForest:
         share = self.leaf_values.groupBy("tree", "leaf").agg(
             F.sum(F.when(F.col("y") < at, F.col("share")).otherwise(0.0)).alias("s")
         )
-        routed = _leaves(self.model, designs, ["gidx"])
-        return routed.join(share, ["tree", "leaf"]).groupBy("gidx").agg(F.avg("s").alias("p_unsafe"))
+        routed = _routed(self.model, designs, ["gidx"])
+        cells = _by_tree(routed.select("leaves").distinct(), ["leaves"]).join(share, ["tree", "leaf"])
+        below = cells.groupBy("leaves").agg(F.avg("s").alias("p_unsafe"))
+        return routed.join(keyed(below), "leaves").select("gidx", "p_unsafe")
 
 
 def quantile_forest(
@@ -63,11 +75,12 @@ def quantile_forest(
         featuresCol="features", labelCol=label, weightCol=weight, numTrees=trees, minInstancesPerNode=min_leaf,
         maxDepth=depth, seed=seed, leafCol="_leaf",
     ).fit(train)
-    routed = _leaves(rf, train, [label, weight])
-    per = routed.groupBy("tree", "leaf", F.col(label).alias("y")).agg(F.sum(weight).alias("_w"))
+    # rows with the same leaves and value are merged before the trees are spread out
+    merged = _routed(rf, train, [label, weight]).groupBy("leaves", F.col(label).alias("y")).agg(F.sum(weight).alias("_w"))
+    per = _by_tree(merged, ["y", "_w"]).groupBy("tree", "leaf", "y").agg(F.sum("_w").alias("_w"))
     total = per.groupBy("tree", "leaf").agg(F.sum("_w").alias("_t"))
     table = per.join(total, ["tree", "leaf"]).select("tree", "leaf", "y", (F.col("_w") / F.col("_t")).alias("share"))
-    return QuantileForest(rf, table, trees)
+    return QuantileForest(rf, durable(table), trees)  # read by every use; its rows need the whole training table
 
 
 def quantile_calibrated_predict(quantiles: DataFrame, deltas: dict[float, float], taus: list[float]) -> DataFrame:
@@ -84,7 +97,7 @@ def risk_isotonic(raw: DataFrame, margins: DataFrame, *, tail_alpha: float = 1.0
     Returns a function over a probability column, or None when all rates are equal.
     """
     rates = margins.groupBy("gidx").agg(F.avg((F.col("margin") < 0).cast("double")).alias("rate"))
-    joined = raw.join(rates, "gidx")
+    joined = durable(raw.join(keyed(rates), "gidx").select("p_unsafe", "rate"))
     spread = joined.agg((F.max("rate") > F.min("rate")).alias("s")).first()["s"]
     if not spread:
         return None
@@ -106,10 +119,12 @@ class MarginModel:
 
     def predict(self, designs: DataFrame) -> DataFrame:
         """(gidx, mu, var_epistemic, var_noise, var)."""
-        routed = _leaves(self.mean, designs, ["gidx"]).join(self.leaf_means, ["tree", "leaf"])
-        spread = routed.groupBy("gidx").agg(F.avg("m").alias("mu"), F.var_pop("m").alias("var_epistemic"))
-        noise = self.log_var.transform(designs).select("gidx", F.exp("prediction").alias("var_noise"))
-        return spread.join(noise, "gidx").withColumn("var", F.col("var_epistemic") + F.col("var_noise"))
+        noisy = self.log_var.transform(designs).withColumn("var_noise", F.exp("prediction")).select(*designs.columns, "var_noise")
+        routed = _routed(self.mean, noisy, ["gidx", "var_noise"])
+        cells = _by_tree(routed.select("leaves").distinct(), ["leaves"]).join(self.leaf_means, ["tree", "leaf"])
+        spread = cells.groupBy("leaves").agg(F.avg("m").alias("mu"), F.var_pop("m").alias("var_epistemic"))
+        out = routed.join(keyed(spread), "leaves").withColumn("var", F.col("var_epistemic") + F.col("var_noise"))
+        return out.select("gidx", "mu", "var_epistemic", "var_noise", "var")
 
 
 def hetero_margin_model(
@@ -124,7 +139,7 @@ def hetero_margin_model(
     weighted = stats.withColumn("_wm", 1.0 / F.col("alpha")).withColumn("_wv", F.col("n").cast("double"))
     mean = RandomForestRegressor(labelCol="y", weightCol="_wm", leafCol="_leaf", **args).fit(weighted)
     log_var = RandomForestRegressor(labelCol="log_var", weightCol="_wv", **args).fit(weighted)
-    routed = _leaves(mean, weighted, ["y", "_wm"])
+    routed = _by_tree(_routed(mean, weighted, ["y", "_wm"]), ["y", "_wm"])
     means = routed.groupBy("tree", "leaf").agg((F.sum(F.col("y") * F.col("_wm")) / F.sum("_wm")).alias("m"))
     model = MarginModel(mean, log_var, means)
     predicted = durable(model.predict(calib).select("gidx", "mu", "var"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import beta_quantile
 from ..functions.numeric import clip, is_finite
-from ..session import small_side
+from ..session import keyed, small_side
 from .ordering import running, slice_number
 from .quantiles import exact_quantiles
 
@@ -149,11 +149,11 @@ def margin_coverage_calibration(
     is converted to the scale parameter that has this variance.
     """
     per = margins.groupBy("gidx").agg(F.avg("margin").alias("_m"))
-    diff = per.join(predictions, "gidx").select((F.col("_m") - F.col("mu")).alias("_d"))
+    diff = per.join(keyed(predictions), "gidx").select((F.col("_m") - F.col("mu")).alias("_d"))
     bias = exact_quantiles(diff, [], F.col("_d"), {"b": 0.5}).scalar()
     z = two_sided_quantile(gamma, family, df)
     var = F.col("var") if family == "gaussian" else F.col("var") * ((df - 2.0) / df)
-    used = margins.join(predictions.where(is_finite(F.col("var")) & (F.col("var") > 0)), "gidx")
+    used = margins.join(keyed(predictions.where(is_finite(F.col("var")) & (F.col("var") > 0))), "gidx")
     resid = F.col("margin") - (F.col("mu") + F.coalesce(bias, F.lit(0.0)))
     ratios = used.select("gidx", (resid * resid / (z * z * var)).alias("_r"))
     # the smallest scale that covers gamma is the order statistic at rank ceil(gamma n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, is_finite
 from ..functions.seeds import hash_int
-from ..session import durable
+from ..session import durable, keyed
 from .ordering import running
 from .quantiles import exact_quantiles
 
@@ -34,7 +34,7 @@ def boundary_shortlist(
     ``limit`` after a sort keeps only the best rows of each task, never the whole table.
     """
     at = t if isinstance(t, Column) else F.lit(t)
-    pool = scores.join(labels.select("gidx"), "gidx", "left_anti").withColumn("margin", F.abs(F.col(score) - at))
+    pool = scores.join(keyed(labels.select("gidx")), "gidx", "left_anti").withColumn("margin", F.abs(F.col(score) - at))
     if band is not None and band > 0:
         near = F.col("margin") <= band
         enough = pool.agg((F.count_if(near) >= batch).alias("e")).scalar()
@@ -95,7 +95,7 @@ def best_config(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unobserved(candidates: DataFrame, seen: DataFrame) -> DataFrame:
-    return candidates.join(seen.select("gidx"), "gidx", "left_anti")
+    return candidates.join(keyed(seen.select("gidx")), "gidx", "left_anti")
 
 
 def mask_jaccard(previous: DataFrame | None, current: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def mask_jaccard(previous: DataFrame | None, current: DataFrame) -> DataFrame:
         return current.agg(F.lit(1.0).alias("distance"))
     a = previous.select("gidx").distinct().withColumn("_a", F.lit(1))
     b = current.select("gidx").distinct().withColumn("_b", F.lit(1))
-    both = a.join(b, "gidx", "full").agg(
+    both = a.join(keyed(b), "gidx", "full").agg(
         F.count(F.lit(1)).alias("u"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("i")
     )
     return both.select(F.when(F.col("u") == 0, F.lit(0.0)).otherwise(1.0 - F.try_divide("i", "u")).alias("distance"))

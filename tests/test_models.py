@@ -137,3 +137,24 @@ def test_t_distribution_is_symmetric(spark):
         (V.student_t_violation(F.lit(1.0), F.lit(2.0)) + V.student_t_violation(F.lit(-1.0), F.lit(2.0))).alias("s"),
     ).first()
     assert row["t"] == pytest.approx(0.5) and row["g"] == pytest.approx(0.5) and row["s"] == pytest.approx(1.0)
+
+
+def test_tables_of_designs_are_not_broadcast(spark):
+    from workloads import models as W
+
+    for df in (W.training(spark, "/root/testdata/sf0.001"), W.margins_of(spark, "/root/testdata/sf0.001")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_designs_in_the_same_leaves_share_one_distribution(spark):
+    from sparkassay.models import margins as MM
+
+    rows = [(i, float(i % 4), float(j), 1.0) for i in range(400) for j in range(3)]
+    train = SM.feature_vector(spark.createDataFrame(rows, "gidx long, x double, margin double, weight double"), ["x"])
+    qf = MM.quantile_forest(train, trees=3, min_leaf=5, depth=3)
+    designs = train.select("gidx", "features").distinct()
+    routed = MM._routed(qf.model, designs, ["gidx"])
+    assert qf._classes(routed).select("leaves").distinct().count() <= 4
+    assert designs.count() == 400 == qf.p_below(designs, 0.5).count() == qf.quantiles(designs, [0.5]).count()
+    shares = {r["gidx"]: r["s"] for r in qf.distribution(designs).groupBy("gidx").agg(F.sum("w").alias("s")).collect()}
+    assert len(shares) == 400 and all(abs(s - 1) < 1e-9 for s in shares.values())
