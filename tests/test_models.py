@@ -158,3 +158,21 @@ def test_designs_in_the_same_leaves_share_one_distribution(spark):
     assert designs.count() == 400 == qf.p_below(designs, 0.5).count() == qf.quantiles(designs, [0.5]).count()
     shares = {r["gidx"]: r["s"] for r in qf.distribution(designs).groupBy("gidx").agg(F.sum("w").alias("s")).collect()}
     assert len(shares) == 400 and all(abs(s - 1) < 1e-9 for s in shares.values())
+
+
+def test_poisson_draws_are_a_fold(spark):
+    from math import exp
+
+    from sparkassay.functions.seeds import hash_uniform
+
+    count = SM._poisson_count(F.col("w"), F.lit("s"), F.col("id"))
+    rows = spark.range(40).withColumn("w", (F.col("id") % 10) / 11.0)
+    # written out, the sums of 24 terms took thousands of nodes for every row
+    assert len(rows.select(count)._jdf.queryExecution().analyzed().toString()) < 5000
+    for r in rows.select("w", count.alias("k"), hash_uniform(F.lit("s"), F.col("id"), F.lit(1)).alias("u")).collect():
+        want, term = 0, exp(-r["w"])
+        cum = term
+        for k in range(1, 25):
+            want, term = want + (r["u"] > cum), term * r["w"] / k
+            cum += term
+        assert r["k"] == want
