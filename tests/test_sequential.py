@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkassay.operators import sequential as S
+from sparkassay.plans import jobs as J
 
 RULE = S.SequentialRule()
 
@@ -90,3 +91,14 @@ def test_a_limit_beyond_the_group_limit(spark):
     df = spark.range(3000).selectExpr("id % 2 AS g", "id AS ord")
     got = S.first_trials(df, ["g"], ["ord"], 1200)
     assert got.count() == 2400 and got.where("ord = 2 * (n - 1) + g").count() == 2400
+
+
+def test_labels_are_stored_once_for_the_split(spark):
+    rows = [(g, i, i % (2 + g % 9) == 0) for g in range(40) for i in range(90)]
+    trials = spark.createDataFrame(rows, "gidx long, ord long, bad boolean")
+    out = J.offline_labels(trials, ["ord"], F.col("bad"), calib=0.2, test=0.2, seed=1)
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()  # no pass labels the trials again
+    want = {r["gidx"]: r["label"] for r in S.sprt_label(trials, ["gidx"], ["ord"], F.col("bad")).collect()}
+    got = {r["gidx"]: (r["label"], r["split"]) for r in out.collect()}
+    assert {g: x[0] for g, x in got.items()} == want
+    assert all((x[0] is None) == (x[1] is None) for x in got.values())
