@@ -76,14 +76,30 @@ def compact(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def digest_columns(columns: list[str]) -> list[Column]:
+    """Aggregates that make an order-free digest of rows with these columns."""
+    h = F.xxhash64(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(h.cast("decimal(38,0)")).alias("total"),
+        F.coalesce(F.bit_xor(h), F.lit(0)).alias("parity"),
+    ]
+
+
 def multiset_digest(df: DataFrame) -> DataFrame:
     """Order-free digest of a table (one row), to prove that a rewritten copy holds the same rows."""
-    h = F.xxhash64(*[F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})])
-    return df.select(h.alias("h")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("h").cast("decimal(38,0)")).alias("total"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("parity"),
-    )
+    return df.agg(*digest_columns(df.columns))
+
+
+def screen(df: DataFrame) -> tuple[int, int]:
+    """(hashes of uids, those whose rows differ by a hash of their contents).
+
+    A row of the shuffle is three numbers, whatever the length of uids and contents. Hashes may be equal by chance: with
+    no difference there are still conflicts where the distinct rows outnumber the hashes of uids.
+    """
+    hashed = df.select(F.xxhash64(UID).alias("_u"), F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})).alias("_h"))
+    per = hashed.groupBy("_u").agg((F.min("_h") != F.max("_h")).alias("_differ"))
+    return tuple(per.agg(F.count(F.lit(1)), F.count_if("_differ")).first())
 
 
 def merge_roots(roots: list[DataFrame], order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import designs, episodes
@@ -69,12 +69,17 @@ def compact(spark: SparkSession, source: str, target: str, scenario: str | None
     df = read(spark, source)
     if scenario is not None and not df.where(F.col("sc_name") != scenario).isEmpty():
         raise ValueError(f"store holds rows of another scenario than {scenario!r}")
-    if not episodes.conflicts(df).isEmpty():
+    conflict = lambda: not episodes.conflicts(df).isEmpty()
+    uids, differ = episodes.screen(df)  # uids and contents are compared as such only where their hashes leave a doubt
+    if differ and conflict():
         raise ValueError("one uid carries different contents")
-    slim = episodes.compact(df)
-    slim.write.mode("errorifexists").partitionBy("sc_name").parquet(target)
+    seen = Observation()  # the rows are counted on their way into the copy, not derived once more
+    slim = episodes.compact(df).observe(seen, *episodes.digest_columns(df.columns))
+    slim.write.mode("errorifexists").option("compression", "zstd").partitionBy("sc_name").parquet(target)
     copy = read(spark, target).select(*df.columns)
-    if episodes.multiset_digest(slim).first() != episodes.multiset_digest(copy).first():
+    if seen.get["rows"] != uids and conflict():
+        raise ValueError(f"one uid carries different contents; the copy in {target} is void")
+    if seen.get != episodes.multiset_digest(copy).first().asDict():
         raise RuntimeError(f"the copy in {target} differs from its source")
     return copy
 

@@ -83,3 +83,27 @@ def test_label_maps(spark, folder):
     open(f"{folder}/labels.json", "w").write('{"3": 1, "7": 0}')
     got = tables.read_map(spark, f"{folder}/labels.json", "label").collect()
     assert {(r["gidx"], r["label"]) for r in got} == {(3, "1"), (7, "0")}
+
+
+def test_compaction_shuffles_contents_once(spark, folder):
+    df = spark.range(3000).select(
+        F.lit("s1").alias("sc_name"), (F.col("id") % 3).alias("gidx"), F.col("id").alias("ep_id"), F.sha2(F.col("id").cast("string"), 256).alias("ep_uid"),
+        F.sha2((-F.col("id")).cast("string"), 512).alias("payload"),
+    )
+    for _ in range(2):
+        df.write.partitionBy("sc_name").mode("append").parquet(f"{folder}/twice")
+    assert E.screen(episode_store.read(spark, f"{folder}/twice")) == (3000, 0)
+    tracker, listed = spark.sparkContext.statusTracker(), spark.sparkContext
+    listed.setJobGroup("compact", "compact")
+    out = episode_store.compact(spark, f"{folder}/twice", f"{folder}/slim")
+    store = listed._jsc.sc().statusStore()
+    jobs = tracker.getJobIdsForGroup("compact")
+    stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+    listed.setLocalProperty("spark.jobGroup.id", None)
+    sent = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s))
+    assert sorted(map(tuple, out.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    size = 3000 * 2 * (64 + 128)  # the text of both copies
+    assert sent < 1.5 * size
+    bad = df.limit(1).withColumn("payload", F.lit("x"))
+    bad.write.partitionBy("sc_name").mode("append").parquet(f"{folder}/twice")
+    assert E.screen(episode_store.read(spark, f"{folder}/twice")) == (3000, 1)

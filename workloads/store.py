@@ -77,8 +77,8 @@ def episode_compact(spark, sf):
         .withColumnRenamed("scenario", "sc_name")
     )
     source, target = scratch_path(spark, "store"), scratch_path(spark, "compact")
-    df.write.partitionBy("sc_name").parquet(source)
-    df.where("flag = 'A'").write.mode("append").partitionBy("sc_name").parquet(source)
+    df.write.option("compression", "zstd").partitionBy("sc_name").parquet(source)
+    df.where("flag = 'A'").write.mode("append").option("compression", "zstd").partitionBy("sc_name").parquet(source)
     out = episode_store.compact(spark, source, target)
     return out.groupBy("sc_name", "gidx").agg(
         F.count(F.lit(1)).alias("episodes"), F.round(F.sum("metric"), 2).alias("metric_sum")
