@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable, keyed
 from . import designs
 from .ordering import row_numbers
 from .sequential import first_trials
@@ -111,10 +112,30 @@ def merge_roots(roots: list[DataFrame], order: list[str]) -> DataFrame:
     return keep_first(union, [UID], ["root_rank", *order])
 
 
+def batch_uid(batch: str, uid_from: list[str]) -> Column:
+    """A uid that a retry of the batch reproduces."""
+    return F.sha2(F.concat_ws("|", F.lit(batch), *[F.col(c).cast("string") for c in uid_from]), 256)
+
+
+def unstored(rows: DataFrame, old: DataFrame, uid: Column) -> DataFrame:
+    """Rows whose ``uid`` the store does not hold yet.
+
+    Digests of 128 bits are compared first. Only where a batch is stored in part are its rows shuffled, and then once.
+    """
+    short = lambda c: F.unhex(F.md5(c)).alias("_k")
+    fresh = rows.select(short(uid)).join(keyed(old.select(short(F.col(UID)))), "_k", "left_anti").count()
+    if not fresh:
+        return rows.where(F.lit(False))
+    if fresh == rows.count():
+        return rows
+    named = rows.withColumn("_uid", uid)
+    return durable(named.join(keyed(old.select(F.col(UID).alias("_uid"))), "_uid", "left_anti").drop("_uid"))
+
+
 def number_new(rows: DataFrame, order: list[str], start: Column, batch: str, uid_from: list[str]) -> DataFrame:
     """Give new rows a progressive ``ep_id`` after ``start`` and a uid that a retry reproduces."""
     numbered = row_numbers(rows, [], order, "_pos")
-    uid = F.sha2(F.concat_ws("|", F.lit(batch), *[F.col(c).cast("string") for c in uid_from]), 256)
+    uid = batch_uid(batch, uid_from)
     return numbered.withColumn("ep_id", (start + F.col("_pos")).cast("bigint")).withColumn(UID, uid).drop("_pos")
 
 

@@ -50,14 +50,14 @@ def append(
             raise
         old = None
     start = 0 if old is None else (old.agg(F.max("ep_id")).first()[0] or 0)
+    if old is not None:
+        rows = episodes.unstored(rows, old, episodes.batch_uid(batch, uid_from))
     new = episodes.number_new(rows, order, F.lit(start), batch, uid_from)
     if spaces is not None:
         new = new.select("*", *designs.decode(F.col("gidx"), spaces))
     if stamp_ns is not None:
         new = new.withColumn("stamp", F.lit(stamp_ns).cast("bigint"))
-    if old is not None:
-        new = episodes.merge_log(old, new, ["ep_uid"])
-    new.write.mode("append").partitionBy("sc_name").parquet(path)
+    new.write.mode("append").option("compression", "zstd").partitionBy("sc_name").parquet(path)
     return new
 
 

@@ -107,3 +107,18 @@ def test_compaction_shuffles_contents_once(spark, folder):
     bad = df.limit(1).withColumn("payload", F.lit("x"))
     bad.write.partitionBy("sc_name").mode("append").parquet(f"{folder}/twice")
     assert E.screen(episode_store.read(spark, f"{folder}/twice")) == (3000, 1)
+
+
+def test_append_sends_no_rows_of_stored_batches(spark, folder):
+    path = f"{folder}/store"
+    append(rows(spark, 8), path, "b1")
+    old = episode_store.read(spark, path)
+    uid = E.batch_uid("b1", ["src"])
+    again = E.unstored(rows(spark, 8), old, uid)
+    assert again.isEmpty() and "Join" not in again._jdf.queryExecution().optimizedPlan().toString()
+    other = E.unstored(rows(spark, 8), old, E.batch_uid("b2", ["src"]))
+    assert other.count() == 8 and "Join" not in other._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["src"] for r in E.unstored(rows(spark, 11), old, uid).collect()) == [8, 9, 10]
+    append(rows(spark, 11), path, "b1")  # a batch of which a part was stored
+    got = episode_store.read(spark, path)
+    assert sorted(r["src"] for r in got.collect()) == list(range(11)) and sorted(r["ep_id"] for r in got.collect()) == list(range(1, 12))
