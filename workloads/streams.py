@@ -37,12 +37,16 @@ def feed(spark, sf, name, start, order=None):
         start(ST.source(spark, folder, schema)).awaitTermination()
 
 
+FILE_ROWS = 1_000_000
+
+
 def stream(spark, sf, name):
-    """A table as one stream of files, a few to a batch."""
+    """A table as one stream of files of at most some ``FILE_ROWS`` rows, in ``PARTS`` batches."""
     folder = scratch_path(spark, f"{name}-files")
     rows = table(spark, sf, name)
-    rows.repartition(2 * PARTS, F.xxhash64(*rows.columns)).write.parquet(folder)
-    return ST.source(spark, folder, rows.schema, maxFilesPerTrigger=2)
+    each = max(2, -(-rows.count() // (PARTS * FILE_ROWS)))  # files of a batch; a task holds one, whatever the size of the table
+    rows.repartition(PARTS * each, F.xxhash64(*rows.columns)).write.parquet(folder)
+    return ST.source(spark, folder, rows.schema, maxFilesPerTrigger=each)
 
 
 def places(spark, name):
