@@ -194,5 +194,26 @@ class MessageAges(StatefulProcessor):
         pass
 
 
+def _numbers(x: list) -> np.ndarray:
+    """Whole numbers as such; with nulls among them as floats, which sort these last."""
+    return np.asarray(x, float) if None in x else np.asarray(x)
+
+
+def topic_parts(key: tuple, held: list[list], complete: bool) -> pd.DataFrame:
+    """One row per topic of the records (topics, times, ids, values) of a chunk, in order of time and id; null is a topic.
+
+    Most chunks are short, so plain lists take a fraction of the time of a frame that is sorted and grouped.
+    """
+    topics: dict = {}
+    for i in np.lexsort([_numbers(x) for x in (held[2], held[1])]).tolist():
+        name = held[0][i]
+        into = topics.setdefault(name if isinstance(name, str) else None, ([], [], []))
+        for values, source in zip(into, held[1:]):
+            values.append(source[i])
+    columns = {"episode": [key[0]] * len(topics), "chunk": [key[1]] * len(topics), "topic": list(topics)}
+    columns |= {name: [x[i] for x in topics.values()] for i, name in enumerate(("times", "ids", "vals"))}
+    return pd.DataFrame(columns | {"complete": [complete] * len(topics)})
+
+
 def _nullable(x: np.ndarray, null: np.ndarray):
     return pd.arrays.IntegerArray(np.where(null, 0, x).astype(np.int64), null.copy())

@@ -256,21 +256,17 @@ def stream_trace_fold(
         closed = bool(state.get[4]) if state.exists else False
 
         def part(complete: bool) -> pd.DataFrame:
-            rows = pd.DataFrame(dict(zip(("topic", "t", "id", "v"), held))).sort_values(["t", "id"])
-            out = [
-                (*key, name, g["t"].tolist(), g["id"].tolist(), g["v"].tolist(), complete) for name, g in rows.groupby("topic", sort=True)
-            ]
-            return pd.DataFrame(out, columns=["episode", "chunk", "topic", "times", "ids", "vals", "complete"])
+            return states.topic_parts(key, held, complete)
 
         if state.hasTimedOut:
             yield part(closed)
             state.remove()
             return
         for f in frames:
-            mine = f[f["own"]]
+            own = f["own"].to_numpy(bool)
             for values, name in zip(held, ("topic", "t", "id", "v")):
-                values += mine[name].tolist()
-            closed = bool(closed or f["ends"].any())
+                values += f[name].to_numpy()[own].tolist()
+            closed = bool(closed or f["ends"].to_numpy(bool).any())
             if len(held[0]) > CHUNK_RECORDS:
                 yield part(closed)
                 held = [[], [], [], []]

@@ -171,3 +171,14 @@ def test_gate_state_is_bounded(spark, folder, shuffle):
     assert [len(f) for f in states.newest(5)(iter([wide, wide[:3]]))] == [5, 3]
     last = spark.read.parquet(f"{folder}/out/status").orderBy(F.desc("batch")).first()
     assert (last["iter"], last["seconds_per_trial"]) == (59, 57.0)
+
+
+def test_chunk_parts_hold_every_record():
+    rng = np.random.default_rng(2)
+    held = [rng.choice(["a", "b", None], 60).tolist(), rng.integers(0, 9, 60).tolist(), rng.permutation(60).tolist(), rng.random(60).tolist()]
+    got = states.topic_parts((4, 7), held, True)
+    rows = sorted(zip(held[1], held[2], held[0], held[3]))
+    assert set(got["topic"]) == {"a", "b", None} and set(got["complete"]) == {True} and set(got["episode"]) == {4}
+    for r in got.itertuples():
+        assert list(zip(r.times, r.ids, r.vals)) == [(t, i, v) for t, i, topic, v in rows if topic == r.topic]
+    assert len(states.topic_parts((4, 7), [[], [], [], []], False)) == 0
