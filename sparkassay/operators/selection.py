@@ -132,10 +132,9 @@ def label_effort(labels: DataFrame, keys: list[str]) -> DataFrame:
 def early_stop_streak(cycles: DataFrame, keys: list[str], eps: float, patience: int) -> DataFrame:
     """Length of the run of stable cycles ending at each cycle, and whether it reaches the patience."""
     broke = F.coalesce(~(F.col("distance") <= eps) | F.isnan("distance"), F.lit(True))
-    run = running(
-        cycles.withColumn("_broke", broke), keys, ["cycle"],
-        {"_n": ("count", F.lit(1))},
-    )
+    # both running columns read their input for limits, slices and totals, so it is stored
+    cycles = durable(cycles.select(*keys, "cycle", "distance").withColumn("_broke", broke))
+    run = durable(running(cycles, keys, ["cycle"], {"_n": ("count", F.lit(1))}))
     last_break = running(
         run, keys, ["cycle"], {"_at": ("max", F.when(F.col("_broke"), F.col("_n")))}
     )
