@@ -101,10 +101,8 @@ class LeadingSpace:
     """
 
     def __init__(self, path: str, ranks: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -115,8 +113,15 @@ class LeadingSpace:
         self.opens[[i for t, i in table.items() if t[:1] == b" "]] = True
         self.closes = np.zeros(len(self.opens), bool)
         self.closes[[i for t, i in table.items() if t[-1:] in b".!?\n"]] = True
-        self.exact = Tokenizer.from_file(path)
-        self.words = Words()
+        self.path, self.words = path, Words()
+
+    @functools.cached_property
+    def exact(self):
+        """The tokenizer itself, which takes more memory than the ranks; loaded with the first text that needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def sentence_end(self) -> np.ndarray:
         """Whether a sentence may end behind each id."""

@@ -90,3 +90,16 @@ def test_ids_are_those_of_the_tokenizer(text):
     for encoder, path in ((LeadingSpace(*FILES), FILES[0]), (DroppedSpace(word), word)):
         wanted = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder([text.encode()])[0], "<u4").tolist() == wanted
+
+
+def test_the_tokenizer_is_loaded_for_the_special_token_only():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sparkassay.llm.tokens import LeadingSpace
+
+    path, ranks = (public_tokenizers.path(f"byte_bpe_50k.{end}") for end in ("json", "tiktoken"))
+    coder, special = LeadingSpace(path, ranks), "a <|endoftext|> b"
+    coder([b"some words and more of them", b"", "\n\t é 日本".encode()])
+    assert "exact" not in vars(coder)
+    assert coder([special.encode()])[0] == np.asarray(Tokenizer.from_file(path).encode(special, add_special_tokens=False).ids, "<u4").tobytes()
