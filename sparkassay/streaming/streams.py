@@ -119,8 +119,8 @@ def stream_gate(
 ) -> StreamingQuery:
     """Operational gate over the newest ``window`` designs after every batch: iter, seconds, retries in.
 
-    The state is these designs. A task sends at most ``window`` rows of each batch of rows; a batch hands the state on
-    and stores its verdict.
+    The state is these designs. A task sends at most ``window`` rows of each batch of rows; a batch stores the state below
+    ``target`` and its verdict from there, so its input is read once.
     """
     rows = stream.select(F.col("iter").cast("long"), F.col("seconds").cast("double"), F.col("retries").cast("double"))
     top = rows.mapInPandas(states.newest(window), rows.schema)
@@ -128,8 +128,10 @@ def stream_gate(
         held = top.withColumn("all", F.lit(0)).groupBy("all").transformWithStateInPandas(states.Newest(window), rows.schema, "update", "none")
 
         def work(batch: DataFrame, number: int) -> None:
+            _put(batch, f"{target}/newest", number)  # the gate takes several jobs, each of which would run the whole batch anew
+            stored = stream.sparkSession.read.schema(rows.schema).parquet(f"{target}/newest/batch={number}")
             gate = rolling_gate(
-                batch, [], window=window, trials=trials, scenarios=scenarios, max_seconds=max_seconds, max_retries=max_retries
+                stored, [], window=window, trials=trials, scenarios=scenarios, max_seconds=max_seconds, max_retries=max_retries
             )
             _put(gate.orderBy(F.col("iter").desc()).limit(1), f"{target}/status", number)
 

@@ -182,3 +182,13 @@ def test_chunk_parts_hold_every_record():
     for r in got.itertuples():
         assert list(zip(r.times, r.ids, r.vals)) == [(t, i, v) for t, i, topic, v in rows if topic == r.topic]
     assert len(states.topic_parts((4, 7), [[], [], [], []], False)) == 0
+
+
+def test_gate_reads_a_batch_once(spark, folder, monkeypatch):
+    """The several jobs of the gate read the stored state, not the batch with its input and keyed state."""
+    read, gate = [], ST.rolling_gate
+    monkeypatch.setattr(ST, "rolling_gate", lambda batch, *args, **limits: read.append(batch.inputFiles()) or gate(batch, *args, **limits))
+    df = spark.createDataFrame([(i, 1.0, 0) for i in range(30)], "iter long, seconds double, retries int")
+    limits = dict(window=5, trials=1, scenarios=1, max_seconds=1e9, max_retries=1e9)
+    ST.stream_gate(feed(spark, folder, df, ["iter"], 1), f"{folder}/out", f"{folder}/cp", **limits).awaitTermination()
+    assert len(read) == 1 and read[0] and all("/out/newest/" in f for f in read[0])
