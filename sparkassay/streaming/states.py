@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +14,18 @@ from ..operators.sequential import SequentialRule, stop_at
 NEVER = -(1 << 63)  # stands for null in whole numbers: before all others
 
 
+def _in_order(f: pd.DataFrame, keys: list[str], order: list[str]) -> pd.DataFrame:
+    """The rows sorted by as many of the ``order`` columns as tell the rows of a key apart; the others would change nothing."""
+    need = next((i for i in range(1, len(order)) if not f.duplicated([*keys, *order[:i]]).any()), len(order))
+    return f.sort_values(order[:need], na_position="first", kind="stable")
+
+
 def first_rows(keys: list[str], order: list[str], most: int):
     """The first ``most`` rows of every key in each batch of rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            yield f.sort_values(order, na_position="first", kind="stable").groupby(keys, dropna=False, sort=False).head(most)
+            yield _in_order(f, keys, order).groupby(keys, dropna=False, sort=False).head(most)
 
     return run
 
@@ -38,41 +45,83 @@ def newest(window: int):
     return run
 
 
+def _names(f: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, list[tuple]]:
+    """The number of each row's key and the keys by number; null is a key."""
+    group = f.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    first = f[keys].iloc[np.unique(group, return_index=True)[1]]
+    return group, [tuple(None if pd.isna(v) else v for v in row) for row in first.itertuples(index=False)]
+
+
+HELD_ROWS = 100_000
+
+
 class SequentialTest(StatefulProcessor):
-    """Counts of trials and failures of a design and the rule that stopped it."""
+    """Counts of trials and failures of the designs of one bucket and the rules that stopped them.
+
+    A bucket is one call and one value, so the cost of a call, of its sort and of the way to the state is shared by its designs.
+    """
 
     def __init__(self, keys: list[str], order: list[str], rule: SequentialRule, idle_ms: int | None):
         self.keys, self.order, self.rule, self.idle_ms = keys, order, rule, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("counts", "n long, k long, mode string")
+        self.state = handle.getValueState("designs", "rows string")  # [[key, [n, k, mode, due]], ...]
+
+    def _held(self) -> dict[tuple, list]:
+        return {tuple(name): row for name, row in json.loads(self.state.get()[0])} if self.state.exists() else {}
+
+    def _keep(self, held: dict[tuple, list]) -> None:
+        self.state.update((json.dumps(list(held.items())),))
+
+    def _first(self, frames: list[pd.DataFrame]) -> pd.DataFrame:
+        f = pd.concat(frames) if len(frames) > 1 else frames[0]
+        return next(first_rows(self.keys, self.order, self.rule.cap)(iter([f])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, k, mode = self.state.get() if self.state.exists() else (0, 0, None)
-        wait = self.rule.cap - n
-        first = None
+        frames, size, limit = [], 0, HELD_ROWS
         for f in rows:
-            if mode is None:
-                f = f if first is None else pd.concat([first, f])
-                first = f.sort_values(self.order, na_position="first", kind="stable").head(wait)
-        if mode is not None or first is None:
+            frames.append(f)
+            size += len(f)
+            if size > limit:
+                frames = [self._first(frames)]
+                size = len(frames[0])
+                limit = max(HELD_ROWS, 2 * size)
+        first = self._first(frames)
+        group, names = _names(first, self.keys)
+        state = self._held()
+        held = [state.get(x, (0, 0, None, None)) for x in names]
+        open_ = np.array([mode is None for _, _, mode, _ in held])
+        at = np.argsort(group, kind="stable")  # the rows are in their order already
+        at = at[open_[group[at]]]
+        if not len(at):
             return
-        for unsafe in first["unsafe__"].fillna(0).astype(int):
-            n, k = n + 1, k + unsafe
-            mode = stop_at(n, k, self.rule)
-            if mode is not None:
-                break
-        self.state.update((int(n), int(k), mode))
-        if self.idle_ms is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            if mode is None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame([(*key, n, k, mode)], columns=[*self.keys, "n", "k", "mode"])
+        group, unsafe = group[at], first["unsafe__"].fillna(0).to_numpy().astype(np.int64)[at]
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        lengths = np.diff(np.append(starts, len(group)))
+        seen, failed = (np.array([h[i] for h in held], np.int64)[group] for i in (0, 1))
+        total = np.cumsum(unsafe)
+        n = seen + np.arange(len(group)) - np.repeat(starts, lengths) + 1
+        k = failed + total - np.repeat(total[starts] - unsafe[starts], lengths)
+        counts, which = np.unique(np.column_stack([n, k]), axis=0, return_inverse=True)
+        modes = [stop_at(int(x), int(y), self.rule) for x, y in counts]
+        stops = np.array([m is not None for m in modes])[which.reshape(-1)]
+        stop = np.minimum.reduceat(np.where(stops, np.arange(len(group)), len(group)), starts)
+        last = np.minimum(stop, starts + lengths - 1)
+        due = None if self.idle_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        out = []
+        for i in last.tolist():
+            name, mode = names[group[i]], modes[which.reshape(-1)[i]]
+            state[name] = [int(n[i]), int(k[i]), mode, due if mode is None else None]
+            out.append((*name, int(n[i]), int(k[i]), mode))
+        self._keep(state)
+        if due is not None:
+            self.handle.registerTimer(due)
+        yield pd.DataFrame(out, columns=[*self.keys, "n", "k", "mode"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self._keep({name: row for name, row in self._held().items() if row[3] is None or row[3] > now})
         return iter(())
 
     def close(self) -> None:
@@ -101,52 +150,64 @@ class Newest(StatefulProcessor):
         pass
 
 
-def staircase(rows: np.ndarray) -> np.ndarray:
-    """The rows (t, stamp, id, ...) that are fresher than all with a t up to theirs, in order of t."""
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+def staircase(rows: np.ndarray, target: int | None = None) -> np.ndarray:
+    """The rows (t, stamp, id, ...) that are fresher than all of their target (a column) with a t up to theirs, in order of t."""
+    of = np.zeros(len(rows), np.int64) if target is None else rows[:, target]
+    at = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0], of))
+    rows, of = rows[at], of[at]
     rank = np.zeros(len(rows), np.int64)
-    rank[np.lexsort((rows[:, 2], rows[:, 1]))] = np.arange(len(rows))
-    before = np.maximum.accumulate(np.append(-1, rank))[:-1]
-    rows = rows[rank > before]
-    last = np.append(rows[1:, 0] != rows[:-1, 0], True) if len(rows) else np.zeros(0, bool)
+    rank[np.lexsort((rows[:, 2], rows[:, 1], of))] = np.arange(len(rows))  # a target's ranks are above those of the targets before
+    fresh = rank > np.maximum.accumulate(np.append(-1, rank))[:-1]
+    rows, of = rows[fresh], of[fresh]
+    last = np.append((rows[1:, 0] != rows[:-1, 0]) | (of[1:] != of[:-1]), True) if len(rows) else np.zeros(0, bool)
     return rows[last]
 
 
-def answers(steps: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """(stamp, id) of the freshest step received up to each t; NEVER, NEVER without one."""
-    at = np.searchsorted(steps[:, 0], t, "right") - 1
+def answers(steps: np.ndarray, t: np.ndarray, target: int | None = None, of: np.ndarray | None = None) -> np.ndarray:
+    """(stamp, id) of the freshest step of the same target received up to each t; NEVER, NEVER without one."""
+    mine = np.zeros(len(steps), np.int64) if target is None else steps[:, target]
+    of = np.zeros(len(t), np.int64) if of is None else of
+    asks = np.append(np.zeros(len(steps), bool), np.ones(len(t), bool))
+    order = np.lexsort((asks, np.append(steps[:, 0], t), np.append(mine, of)))
+    at = np.zeros(len(order), np.int64)
+    at[order] = np.cumsum(~asks[order]) - 1
+    at = at[len(steps) :]
     out = np.full((len(t), 2), NEVER)
-    out[at >= 0] = steps[at[at >= 0], 1:3]
+    found = at >= 0
+    found[found] = mine[at[found]] == of[found]
+    out[found] = steps[at[found], 1:3]
     return out
 
 
+STEP, OPEN = 4, 5  # whole numbers of a step (t, stamp, id, at) and of an open decision (t, id, stamp, message, at)
+
+
 class MessageAges(StatefulProcessor):
-    """Steps (t, stamp, id, at) and open decisions (t, id, stamp, message, at) of one target."""
+    """Steps, open decisions and pending ends of the wait of the targets of one bucket, as whole numbers with that of the target.
+
+    A bucket is one call and one value, so the cost of a call, of its sorts and of the way to the state is shared by its targets.
+    """
 
     def __init__(self, keys: list[str], idle_ms: int | None):
         self.keys, self.idle_ms = keys, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.steps = handle.getListState("steps", "t long, stamp long, id long, at long")
-        self.open = handle.getListState("open", "t long, decision long, stamp long, id long, at long")
+        self.state = handle.getValueState("targets", "names string, steps binary, open binary, due binary")
 
-    @staticmethod
-    def _held(state, width: int) -> np.ndarray:
-        return np.asarray(list(state.get()) if state.exists() else [], np.int64).reshape(-1, width)
+    def _held(self) -> tuple[list[tuple], list[np.ndarray]]:
+        names, *rows = self.state.get() if self.state.exists() else ("[]", b"", b"", b"")
+        rows = [np.frombuffer(bytes(x), np.int64).reshape(-1, width + 1) for x, width in zip(rows, (STEP, OPEN, 1))]
+        return [tuple(x) for x in json.loads(names)], rows
 
-    @staticmethod
-    def _keep(state, rows: np.ndarray) -> None:
-        if len(rows):
-            state.put([tuple(r) for r in rows.tolist()])
-        else:
-            state.clear()
+    def _keep(self, names: list[tuple], *rows: np.ndarray) -> None:
+        self.state.update((json.dumps(names), *[x.astype(np.int64).tobytes() for x in rows]))
 
-    def _out(self, key, rows: np.ndarray) -> pd.DataFrame:
+    def _out(self, names: list[tuple], rows: np.ndarray) -> pd.DataFrame:
         t, decision, stamp, message = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3]
         known = message != NEVER
         age = np.where(known & (stamp != NEVER) & (t != NEVER), t - np.where(known, stamp, 0), 0)
-        out = {name: [v] * len(rows) for name, v in zip(self.keys, key)}
+        out = {name: [names[i][j] for i in rows[:, -1].tolist()] for j, name in enumerate(self.keys)}
         out |= {
             "decision": _nullable(decision, decision == NEVER),
             "t": _nullable(t, t == NEVER),
@@ -156,38 +217,45 @@ class MessageAges(StatefulProcessor):
         return pd.DataFrame(out, columns=[*self.keys, "decision", "t", "msg_id", "age"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        steps, told, asked = self._held(self.steps, 4), [], []
+        names, (steps, waiting, due) = self._held()
+        number, told, asked = {x: i for i, x in enumerate(names)}, [], []
         for f in rows:
+            group, found = _names(f, self.keys)
+            of = np.array([number.setdefault(x, len(number)) for x in found])[group]
             own = f["is_decision"].to_numpy(bool)
-            told.append(staircase(f.loc[~own, ["t", "time_stamp", "id", "at"]].to_numpy(np.int64)))
-            asked.append(f.loc[own, ["t", "id", "at"]].to_numpy(np.int64))
-        fresh, asked = np.concatenate(told), np.concatenate(asked)
-        if len(fresh):
-            steps = staircase(np.concatenate([steps, fresh]))
-            self._keep(self.steps, steps)
-        waiting = self._held(self.open, 5)
-        now = answers(steps, waiting[:, 0])
+            told.append(staircase(np.column_stack([f[["t", "time_stamp", "id", "at"]].to_numpy(np.int64), of])[~own], STEP))
+            asked.append(np.column_stack([f[["t", "id", "at"]].to_numpy(np.int64), of])[own])
+        fresh, asked, names = np.concatenate(told), np.concatenate(asked), list(number)
+        steps = staircase(np.concatenate([steps, fresh]), STEP)
+        waiting = waiting.copy()
+        now = answers(steps, waiting[:, 0], STEP, waiting[:, OPEN])
         better = (now != waiting[:, 2:4]).any(1)
         waiting[:, 2:4] = now
-        mine = np.column_stack([asked[:, :2], answers(steps, asked[:, 0]), asked[:, 2:]])
-        if len(mine):
-            self.open.appendList([tuple(r) for r in mine.tolist()]) if not better.any() else self._keep(self.open, np.concatenate([waiting, mine]))
-        elif better.any():
-            self._keep(self.open, waiting)
+        mine = np.column_stack([asked[:, :2], answers(steps, asked[:, 0], STEP, asked[:, 3]), asked[:, 2:]])
         if self.idle_ms is not None:
-            latest = max([int(x[:, -1].max()) for x in (fresh, mine) if len(x)])
-            self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+            came = np.concatenate([x[:, -2:] for x in (fresh, mine)])  # (at, target)
+            latest = np.full(len(names), NEVER)
+            np.maximum.at(latest, came[:, 1], came[:, 0])
+            touched = np.unique(came[:, 1])
+            ends = np.maximum(latest[touched], timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+            for end in np.unique(ends).tolist():
+                self.handle.registerTimer(end)
+            due = np.concatenate([due, np.column_stack([ends, touched])])
+        self._keep(names, steps, np.concatenate([waiting, mine]), due)
         out = np.concatenate([mine, waiting[better]])
         if len(out):
-            yield self._out(key, out)
+            yield self._out(names, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        waiting = self._held(self.open, 5)
-        self._keep(self.open, waiting[waiting[:, 4] > mark])
-        steps = self._held(self.steps, 4)
-        past = np.flatnonzero(steps[:, 3] <= mark)
-        self._keep(self.steps, np.delete(steps, past[:-1], axis=0))
+        names, (steps, waiting, due) = self._held()
+        over = np.zeros(len(names), bool)  # the wait of a target ends with its own timer, not with another's
+        over[due[due[:, 0] <= mark, 1]] = True
+        if over.any():
+            past = np.flatnonzero(over[steps[:, STEP]] & (steps[:, 3] <= mark))
+            followed = steps[past[1:], STEP] == steps[past[:-1], STEP]
+            kept = ~over[waiting[:, OPEN]] | (waiting[:, 4] > mark)
+            self._keep(names, np.delete(steps, past[:-1][followed], axis=0), waiting[kept], due[due[:, 0] > mark])
         return iter(())
 
     def close(self) -> None:

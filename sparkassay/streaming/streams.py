@@ -77,27 +77,53 @@ def _put(df: DataFrame, root: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
 
-def _key_fields(stream: DataFrame, keys: list[str]) -> list[T.StructField]:
-    return [T.StructField(k, stream.schema[k].dataType) for k in keys]
+BUCKETS = 1024
+
+
+def _bucketed(stream: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """The keys as text, exact and with nulls in pandas whatever their type, and the bucket that their keyed state is held by."""
+    texts = {}
+    for k in keys:
+        kind, c = stream.schema[k].dataType, F.col(k)
+        c = F.unix_micros(c) if isinstance(kind, T.TimestampType) else F.hex(c) if isinstance(kind, T.BinaryType) else c
+        c = c + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else c  # -0.0 is 0.0
+        texts[k] = c.cast("string")
+    return stream.withColumns(texts).withColumn("bucket__", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+
+
+def _text_fields(keys: list[str]) -> list[T.StructField]:
+    return [T.StructField(k, T.StringType()) for k in keys]
+
+
+def _from_text(df: DataFrame, keys: list[str], like: DataFrame) -> DataFrame:
+    columns = {}
+    for k in keys:
+        kind, c = like.schema[k].dataType, F.col(k)
+        columns[k] = (
+            F.timestamp_micros(c.cast("long")) if isinstance(kind, T.TimestampType) else F.unhex(c) if isinstance(kind, T.BinaryType) else c.cast(kind)
+        )
+    return df.withColumns(columns)
 
 
 def stream_sprt(
     stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], unsafe: Column,
-    rule: sequential.SequentialRule = sequential.SequentialRule(), idle_ms: int | None = None, trigger=AVAILABLE,
+    rule: sequential.SequentialRule = sequential.SequentialRule(), idle_ms: int | None = None, trigger=AVAILABLE, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Online sequential label; read it with ``sprt_state``. State per design is (n, k, mode); trials after a decision are ignored.
 
+    Designs share ``buckets`` calls a batch, by a hash of their keys; the number must not change over restarts.
     A batch needs at most ``cap`` further trials of a design. They are cut from every batch of rows before the shuffle,
     so a design that dominates the stream does not dominate a task. Each batch stores only the designs it moved. With
     ``idle_ms`` an undecided design that had no trial for so long (processing time) is forgotten and starts anew.
     """
-    slim = stream.select(*keys, *[c for c in order if c not in keys], unsafe.cast("int").alias("unsafe__"))
+    slim = _bucketed(stream.select(*keys, *[c for c in order if c not in keys], unsafe.cast("int").alias("unsafe__")), keys, buckets)
     cut = slim.mapInPandas(states.first_rows(keys, order, rule.cap), slim.schema)
-    out = T.StructType([*_key_fields(stream, keys), *[T.StructField(c, T.LongType()) for c in "nk"], T.StructField("mode", T.StringType())])
+    out = T.StructType([*_text_fields(keys), *[T.StructField(c, T.LongType()) for c in "nk"], T.StructField("mode", T.StringType())])
     with rocksdb(stream.sparkSession):
-        labels = cut.groupBy(*keys).transformWithStateInPandas(
+        labels = cut.groupBy("bucket__").transformWithStateInPandas(
             states.SequentialTest(keys, order, rule, idle_ms), out, "append", "none" if idle_ms is None else "processingTime"
         )
+        labels = _from_text(labels, keys, stream)
         return stream_ingest(labels, target, checkpoint, trigger=trigger)
 
 
@@ -189,7 +215,8 @@ def checkpoint_log(spark: SparkSession, target: str, keys: list[str]) -> DataFra
 
 
 def stream_message_age(
-    stream: DataFrame, target: str, checkpoint: str, keys: list[str], event_time: str | None = None, idle: str = "1 hour", trigger=AVAILABLE
+    stream: DataFrame, target: str, checkpoint: str, keys: list[str], event_time: str | None = None, idle: str = "1 hour", trigger=AVAILABLE,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Age of the freshest message of each target at every decision; read the answers with ``message_ages``.
 
@@ -198,22 +225,24 @@ def stream_message_age(
     decisions that a late message may still change: a batch answers its own decisions and those older ones that its
     messages improve. With an ``event_time`` column a timer ends the wait ``idle`` after it: decisions up to the watermark
     leave the state, and all steps but the last up to it. Without one no record is ever late and the state keeps all.
+    Targets share ``buckets`` calls a batch, by a hash of their keys; the number must not change over restarts.
     """
     low = F.lit(states.NEVER)
     clock = F.lit(0).cast("long") if event_time is None else F.unix_millis(event_time)
     if event_time is not None:
         stream = stream.withWatermark(event_time, idle)
     long = lambda c: F.coalesce(F.col(c).cast("long"), low).alias(c)
-    rows = stream.where("is_decision OR id IS NOT NULL").select(
-        *keys, F.coalesce("is_decision", F.lit(False)).alias("is_decision"), long("t"), long("id"), long("time_stamp"), clock.alias("at"),
+    rows = _bucketed(stream.where("is_decision OR id IS NOT NULL"), keys, buckets).select(
+        "bucket__", *keys, F.coalesce("is_decision", F.lit(False)).alias("is_decision"), long("t"), long("id"), long("time_stamp"), clock.alias("at"),
         *([] if event_time is None else [event_time]),
     )
-    out = T.StructType([*_key_fields(stream, keys), *[T.StructField(c, T.LongType()) for c in ("decision", "t", "msg_id", "age")]])
+    out = T.StructType([*_text_fields(keys), *[T.StructField(c, T.LongType()) for c in ("decision", "t", "msg_id", "age")]])
     wait = None if event_time is None else int(pd.Timedelta(idle).total_seconds() * 1000)
     with rocksdb(stream.sparkSession):
-        ages = rows.groupBy(*keys).transformWithStateInPandas(
+        ages = rows.groupBy("bucket__").transformWithStateInPandas(
             states.MessageAges(keys, wait), out, "append", "none" if event_time is None else "eventTime"
         )
+        ages = _from_text(ages, keys, stream)
         return stream_ingest(ages, target, checkpoint, trigger=trigger)
 
 

@@ -192,3 +192,27 @@ def test_gate_reads_a_batch_once(spark, folder, monkeypatch):
     limits = dict(window=5, trials=1, scenarios=1, max_seconds=1e9, max_retries=1e9)
     ST.stream_gate(feed(spark, folder, df, ["iter"], 1), f"{folder}/out", f"{folder}/cp", **limits).awaitTermination()
     assert len(read) == 1 and read[0] and all("/out/newest/" in f for f in read[0])
+
+
+def test_targets_and_designs_share_calls(spark, folder):
+    """One bucket holds all keys, nulls and large whole numbers among them, with the same results."""
+    keys = [None, *[(1 << 60) + i for i in range(20)]]
+    rows = [(k, i, i % 3 == 0, i, i - 7 * (i % 5)) for i in range(40) for k in keys]
+    schema = "episode long, t long, is_decision boolean, id long, time_stamp long"
+    for i in (2, 0, 1):
+        spark.createDataFrame(rows[i::3], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = ST.source(spark, f"{folder}/in", spark.createDataFrame([], schema).schema, maxFilesPerTrigger=1)
+    query = ST.stream_message_age(source, f"{folder}/ages", f"{folder}/cp", ["episode"], buckets=1)
+    query.awaitTermination()
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]} == {1}
+    got = {(r["episode"], r["decision"]): (r["msg_id"], r["age"]) for r in ST.message_ages(spark, f"{folder}/ages", ["episode"]).collect()}
+    want = {}
+    for k, t, asks, i, _ in rows:
+        best = max(((s, m) for e, u, a, m, s in rows if e == k and u <= t and not a), default=None)
+        if asks:
+            want[k, i] = (best[1], t - best[0]) if best else (None, None)
+    assert got == want
+    bad = F.col("t") % 19 == 3
+    ST.stream_sprt(source, f"{folder}/out", f"{folder}/cp2", ["episode"], ["t"], bad, buckets=1).awaitTermination()
+    labels = {r["episode"] for r in ST.sprt_state(spark, f"{folder}/out", ["episode"]).collect()}
+    assert labels == set(keys)
