@@ -68,6 +68,9 @@ def digest_check(spark: SparkSession, root: str) -> DataFrame:
     return compare_digests(shard_digests(spark, root), recorded_digests(spark, root))
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """One row per episode document; each file is one record, so files spread over tasks."""
-    return spark.read.schema(TRACE_DOCUMENT).option("multiLine", True).json(path)
+def read_traces(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per episode document: a document per file, or with ``lines`` one per line of files that hold many.
+
+    Listing and opening a file per episode costs more than its records once there are many short episodes.
+    """
+    return spark.read.schema(TRACE_DOCUMENT).option("multiLine", not lines).json(path)
