@@ -110,3 +110,35 @@ def test_small_shards_share_a_task(spark, folder, monkeypatch):
     monkeypatch.setattr(CS, "PARTITION_BYTES", 10 * CS.OPEN_BYTES)
     runs = CS.packed(CS.shards(folder))
     assert [x.shard for run in runs for x in run.shards] == list(range(60)) and 6 <= len(runs) <= 7
+
+
+def test_the_driver_learns_runs_not_shards(spark, folder, monkeypatch):
+    for job in "ab":
+        for shard in range(30):
+            put(folder, job, shard, range(shard, shard + 2), digest="wrong" if shard == 7 else "right")
+    monkeypatch.setattr(CS, "shards", None)  # planning lists no shard
+    runs = CS.listed(spark, folder)
+    monkeypatch.setattr(CS, "PARTITION_BYTES", 1)
+    reader = CS.Reader(folder, runs)
+    parts = reader.partitions()
+    assert [len(p.names) for p in parts] == [1, 1]  # a run per job, whatever its shards
+    got = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert [(r["job"], r["shard"], r["ordinal"]) for r in got if r["problem"] is None] == [(j, s, i) for j in "ab" for s in range(30) for i in range(2)]
+    assert [(r["job"], r["shard"]) for r in got if r["problem"]] == [("a", 7), ("b", 7)]
+
+
+def test_renames_are_handed_out_in_bounded_numbers(folder, monkeypatch):
+    at_once = []
+
+    class Pool(CS.ThreadPoolExecutor):
+        def map(self, fn, names):
+            at_once.append(len(names))
+            return super().map(fn, names)
+
+    monkeypatch.setattr(CS, "ThreadPoolExecutor", Pool)
+    monkeypatch.setattr(CS, "NAMED", 8)
+    rows = [{"job": "j", "shard": s, "line": "{}"} for s in range(25)]
+    writer = CS.Writer(folder)
+    writer.commit([writer.write(iter(rows)), None])
+    assert max(at_once) <= 8 and sum(at_once) == 50
+    assert [x.shard for x in CS.shards(folder) if x.path and x.digest] == list(range(25))
