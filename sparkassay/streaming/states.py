@@ -262,25 +262,133 @@ class MessageAges(StatefulProcessor):
         pass
 
 
-def _numbers(x: list) -> np.ndarray:
-    """Whole numbers as such; with nulls among them as floats, which sort these last."""
-    return np.asarray(x, float) if None in x else np.asarray(x)
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows in order, and the number of each row among them."""
+    order = np.lexsort(keys.T[::-1])
+    rows = keys[order]
+    new = np.append(True, (rows[1:] != rows[:-1]).any(1))[: len(rows)]
+    number = np.zeros(len(rows), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return rows[new], number
+
+
+def _listed(x: np.ndarray, null: np.ndarray) -> list:
+    """Plain values with None for null."""
+    out = x.tolist()
+    for i in np.flatnonzero(null).tolist():
+        out[i] = None
+    return out
 
 
-def topic_parts(key: tuple, held: list[list], complete: bool) -> pd.DataFrame:
-    """One row per topic of the records (topics, times, ids, values) of a chunk, in order of time and id; null is a topic.
+CHUNK, RECORD = 4, 5  # whole numbers of a chunk (episode, chunk, closed, due) and of a record (its chunk's place, topic, t, id, bits of v)
+
+
+class TraceFold(StatefulProcessor):
+    """Open records of the (episode, chunk) of one bucket, which of these have ended, and when their wait ends.
 
-    Most chunks are short, so plain lists take a fraction of the time of a frame that is sorted and grouped.
+    A bucket is one call and one value, so the cost of a call, of its sorts and of the way to the state is shared by its chunks.
     """
-    topics: dict = {}
-    for i in np.lexsort([_numbers(x) for x in (held[2], held[1])]).tolist():
-        name = held[0][i]
-        into = topics.setdefault(name if isinstance(name, str) else None, ([], [], []))
-        for values, source in zip(into, held[1:]):
-            values.append(source[i])
-    columns = {"episode": [key[0]] * len(topics), "chunk": [key[1]] * len(topics), "topic": list(topics)}
-    columns |= {name: [x[i] for x in topics.values()] for i, name in enumerate(("times", "ids", "vals"))}
-    return pd.DataFrame(columns | {"complete": [complete] * len(topics)})
+
+    def __init__(self, most: int, idle_ms: int | None):
+        self.most, self.idle_ms = most, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("chunks", "topics string, chunks binary, records binary")
+
+    def _held(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        topics, *rows = self.state.get() if self.state.exists() else ("[]", b"", b"")
+        return json.loads(topics), *[np.frombuffer(bytes(x), np.int64).reshape(-1, width) for x, width in zip(rows, (CHUNK, RECORD))]
+
+    def _keep(self, topics: list[str], chunks: np.ndarray, records: np.ndarray) -> None:
+        self.state.update((json.dumps(topics), chunks.tobytes(), records.tobytes()))
+
+    def _add(self, chunks: np.ndarray, records: np.ndarray, fresh: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks and records with the fresh rows (episode, chunk, ends, own, at, t, id, topic, bits of v)."""
+        keys, of = _numbered(np.concatenate([chunks[:, :2], fresh[:, :2]]))
+        old, new = of[: len(chunks)], of[len(chunks) :]
+        rest = np.tile([0, NEVER], (len(keys), 1))
+        rest[old] = chunks[:, 2:]
+        np.maximum.at(rest[:, 0], new, fresh[:, 2])
+        if self.idle_ms is not None:
+            np.maximum.at(rest[:, 1], new, np.maximum(fresh[:, 4], mark) + self.idle_ms)
+        own = fresh[:, 3] == 1
+        here = np.column_stack([new[own], fresh[own][:, [7, 5, 6, 8]]])
+        held = np.column_stack([old[records[:, 0]], records[:, 1:]])
+        return np.column_stack([keys, rest]), np.concatenate([held, here])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        topics, chunks, records = self._held()
+        number, fresh, size = {x: i for i, x in enumerate(topics)}, [], 0
+        mark = NEVER if self.idle_ms is None else timerValues.getCurrentWatermarkInMs()
+
+        def give(ended: bool) -> pd.DataFrame:
+            nonlocal chunks, records, fresh, size
+            chunks, records = self._add(chunks, records, np.concatenate(fresh), mark)
+            fresh, size = [], 0
+            out = np.bincount(records[:, 0], minlength=len(chunks)) > self.most
+            if ended:
+                out |= chunks[:, 2] == 1
+            out = out[records[:, 0]]
+            part, records = parts_of_chunks(list(number), chunks, records[out]), records[~out]
+            return part
+
+        for f in rows:
+            code, found = pd.factorize(f["topic"].to_numpy(object))
+            topic = np.array([*(number.setdefault(x, len(number)) for x in found), -1])[code]
+            whole = f[["episode", "chunk", "ends", "own", "at", "t", "id"]].to_numpy(np.int64)
+            fresh.append(np.column_stack([whole, topic, f["v"].to_numpy(np.float64).view(np.int64)]))
+            size += len(f)
+            if size > max(self.most, len(records)):
+                part = give(False)
+                if len(part):
+                    yield part
+        if fresh or (chunks[:, 2] == 1).any():
+            fresh.append(np.zeros((0, 9), np.int64))
+            part = give(True)
+            if len(part):
+                yield part
+        if self.idle_ms is not None:
+            for end in np.unique(chunks[:, 3]).tolist():
+                self.handle.registerTimer(end)
+        self._keep(list(number), chunks, records)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        topics, chunks, records = self._held()
+        over = chunks[:, 3] <= mark
+        if over.any():
+            out = over[records[:, 0]]
+            rest = records[~out]
+            self._keep(topics, chunks[~over], np.column_stack([(np.cumsum(~over) - 1)[rest[:, 0]], rest[:, 1:]]))
+            if out.any():
+                yield parts_of_chunks(topics, chunks, records[out])
+
+    def close(self) -> None:
+        pass
+
+
+def parts_of_chunks(topics: list[str], chunks: np.ndarray, records: np.ndarray) -> pd.DataFrame:
+    """One row per chunk and topic of the records, in order of time and id, nulls last; null is a topic."""
+    last = lambda x: np.where(x == NEVER, np.iinfo(np.int64).max, x)
+    rows = records[np.lexsort((last(records[:, 3]), last(records[:, 2]), records[:, 1], records[:, 0]))]
+    start = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[: len(rows)])
+    cut = list(zip(start.tolist(), [*start[1:].tolist(), len(rows)]))
+    at, vals = chunks[rows[start, 0]], np.ascontiguousarray(rows[:, 4]).view(np.float64)
+    columns = {c: _nullable(at[:, i], at[:, i] == NEVER) for i, c in enumerate(("episode", "chunk"))}
+    columns["topic"] = [topics[i] if i >= 0 else None for i in rows[start, 1].tolist()]
+    for c, x, null in (("times", rows[:, 2], rows[:, 2] == NEVER), ("ids", rows[:, 3], rows[:, 3] == NEVER), ("vals", vals, np.isnan(vals))):
+        values = _listed(x, null)
+        columns[c] = [values[a:b] for a, b in cut]
+    return pd.DataFrame(columns | {"complete": at[:, 2] == 1})
+
+
+def topic_parts(key: tuple, held: list[list], complete: bool) -> pd.DataFrame:
+    """The parts of one chunk, whose records come as lists (topics, times, ids, values)."""
+    code, topics = pd.factorize(np.array(held[0], object))
+    t, i = (np.array([NEVER if x is None else x for x in values], np.int64) for values in held[1:3])
+    records = np.column_stack([np.zeros(len(code), np.int64), code, t, i, np.array(held[3], np.float64).view(np.int64)])
+    return parts_of_chunks(list(topics), np.array([[*key, int(complete), NEVER]]), records)
 
 
 def _nullable(x: np.ndarray, null: np.ndarray):

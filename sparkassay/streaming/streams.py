@@ -9,14 +9,13 @@ the input of another. Rows that a state would not look at are cut before the shu
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import sequential
 from ..operators.frontiers import rolling_gate
@@ -255,13 +254,13 @@ def message_ages(spark: SparkSession, target: str, keys: list[str]) -> DataFrame
     )
 
 
-FOLD_STATE = "topic ARRAY<STRING>, t ARRAY<BIGINT>, id ARRAY<BIGINT>, v ARRAY<DOUBLE>, closed BOOLEAN"
 FOLD_OUT = "episode BIGINT, chunk BIGINT, topic STRING, times ARRAY<BIGINT>, ids ARRAY<BIGINT>, vals ARRAY<DOUBLE>, complete BOOLEAN"
 CHUNK_RECORDS = 100_000
 
 
 def stream_trace_fold(
-    stream: DataFrame, target: str, checkpoint: str, chunk_ms: int, event_time: str | None = None, idle: str = "1 hour", trigger=AVAILABLE
+    stream: DataFrame, target: str, checkpoint: str, chunk_ms: int, event_time: str | None = None, idle: str = "1 hour", trigger=AVAILABLE,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Fold records per (episode, time chunk) until the episode's termination record; read with ``trace_folds``.
 
@@ -270,49 +269,26 @@ def stream_trace_fold(
     and a long episode never sits in one state. No record is lost: a chunk of more than ``CHUNK_RECORDS``
     records gives out a part before its end, a record that comes after the termination gives a part of
     its own, and with an ``event_time`` column a chunk whose watermark is ``idle`` past its last record
-    (an abandoned episode) gives out what it has with ``complete`` false and leaves the state.
+    (an abandoned episode) gives out what it has with ``complete`` false and leaves the state. Chunks share
+    ``buckets`` calls a batch, by a hash of episode and chunk; the number must not change over restarts.
     """
     here = F.floor(F.col("t") / chunk_ms).cast("bigint")
     chunks = F.when(F.col("cause").isNotNull(), F.sequence(F.lit(0).cast("bigint"), here)).otherwise(F.array(here))
+    clock = F.lit(0).cast("long") if event_time is None else F.unix_millis(event_time)
     if event_time is not None:
         stream = stream.withWatermark(event_time, idle)
-    clock = [] if event_time is None else [F.col(event_time)]
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(states.NEVER)).alias(c)
     spread = stream.withColumn("home", here).withColumn("chunk", F.explode(chunks)).select(
-        "episode", "chunk", "topic", "t", "id", "v", F.col("cause").isNotNull().alias("ends"), (F.col("home") == F.col("chunk")).alias("own"), *clock
-    )
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [list(x) for x in state.get[:4]] if state.exists else [[], [], [], []]
-        closed = bool(state.get[4]) if state.exists else False
-
-        def part(complete: bool) -> pd.DataFrame:
-            return states.topic_parts(key, held, complete)
-
-        if state.hasTimedOut:
-            yield part(closed)
-            state.remove()
-            return
-        for f in frames:
-            own = f["own"].to_numpy(bool)
-            for values, name in zip(held, ("topic", "t", "id", "v")):
-                values += f[name].to_numpy()[own].tolist()
-            closed = bool(closed or f["ends"].to_numpy(bool).any())
-            if len(held[0]) > CHUNK_RECORDS:
-                yield part(closed)
-                held = [[], [], [], []]
-        if closed:
-            yield part(True)
-            held = [[], [], [], []]
-        state.update((*held, closed))
-        if event_time is not None:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
-
-    folded = spread.groupBy("episode", "chunk").applyInPandasWithState(
-        fold, FOLD_OUT, FOLD_STATE, "append",
-        GroupStateTimeout.NoTimeout if event_time is None else GroupStateTimeout.EventTimeTimeout,
+        F.pmod(F.xxhash64("episode", "chunk"), F.lit(buckets)).alias("bucket__"), whole("episode"), whole("chunk"), "topic", whole("t"), whole("id"),
+        F.col("v").cast("double").alias("v"), F.col("cause").isNotNull().cast("long").alias("ends"),
+        F.col("home").eqNullSafe(F.col("chunk")).cast("long").alias("own"), clock.alias("at"), *([] if event_time is None else [event_time]),
     )
-    return stream_ingest(folded, target, checkpoint, trigger=trigger)
+    wait = None if event_time is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    with rocksdb(stream.sparkSession):
+        folded = spread.groupBy("bucket__").transformWithStateInPandas(
+            states.TraceFold(CHUNK_RECORDS, wait), FOLD_OUT, "append", "none" if event_time is None else "eventTime"
+        )
+        return stream_ingest(folded, target, checkpoint, trigger=trigger)
 
 
 def trace_folds(spark: SparkSession, target: str) -> DataFrame:

@@ -216,3 +216,48 @@ def test_targets_and_designs_share_calls(spark, folder):
     ST.stream_sprt(source, f"{folder}/out", f"{folder}/cp2", ["episode"], ["t"], bad, buckets=1).awaitTermination()
     labels = {r["episode"] for r in ST.sprt_state(spark, f"{folder}/out", ["episode"]).collect()}
     assert labels == set(keys)
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_chunks_share_calls(spark, folder, monkeypatch, most):
+    """One bucket holds all chunks, nulls and large whole numbers among them: a call and a state value, and no record is lost."""
+    monkeypatch.setattr(ST, "CHUNK_RECORDS", most)
+    keys = [None, *[(1 << 60) + i for i in range(20)]]
+    rows = [
+        (k, [None, "a", "b"][i % 3], i * 10, (1 << 60) + i, None if i % 7 == 0 else i / 3, "end" if i == 37 and k != keys[-1] else None)
+        for i in range(40) for k in keys
+    ]
+    schema = "episode long, topic string, t long, id long, v double, cause string"
+    for i in (2, 0, 1):
+        spark.createDataFrame(rows[i::3], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = ST.source(spark, f"{folder}/in", spark.createDataFrame([], schema).schema, maxFilesPerTrigger=1)
+    query = ST.stream_trace_fold(source, f"{folder}/out", f"{folder}/cp", 60, buckets=1)
+    query.awaitTermination()
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]} == {1}
+    got = {(r["episode"], r["chunk"], r["topic"]): r for r in ST.trace_folds(spark, f"{folder}/out").collect()}
+    want = {}
+    for k, topic, t, i, v, _ in rows:
+        want.setdefault((k, t // 60, topic), []).append((t, i, v))
+    ended = {key for key in want if key[0] != keys[-1]}
+    whole = set(got) if most == 5 else ended
+    assert set(got) >= ended and set(got) == whole
+    for key in ended:
+        assert list(zip(got[key]["times"], got[key]["ids"], got[key]["vals"])) == sorted(want[key], key=lambda x: x[:2])
+        assert got[key]["complete"]
+
+
+def test_an_abandoned_chunk_gives_what_it_has(spark, folder):
+    start = dt.datetime(2024, 1, 1)
+    day = lambda d: start + dt.timedelta(days=d)
+    schema = "episode long, topic string, t long, id long, v double, cause string, ts timestamp"
+    batches = [
+        [(1, "a", 5, 1, 0.5, None, day(0)), (1, "a", 65, 2, 0.5, None, day(0)), (2, "a", 5, 3, 0.5, "end", day(0))],
+        [(3, "a", 5, 4, 0.5, None, day(10))],  # moves the watermark past the wait of episodes 1 and 2
+        [(4, "a", 5, 5, 0.5, None, day(20))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = ST.source(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
+        ST.stream_trace_fold(source, f"{folder}/out", f"{folder}/cp", 60, event_time="ts", idle="1 day").awaitTermination()
+    got = {(r["episode"], r["chunk"]): (r["ids"], r["complete"]) for r in ST.trace_folds(spark, f"{folder}/out").collect()}
+    assert got[1, 0] == ([1], False) and got[1, 1] == ([2], False) and got[2, 0] == ([3], True) and (4, 0) not in got
