@@ -142,3 +142,19 @@ def test_renames_are_handed_out_in_bounded_numbers(folder, monkeypatch):
     writer.commit([writer.write(iter(rows)), None])
     assert max(at_once) <= 8 and sum(at_once) == 50
     assert [x.shard for x in CS.shards(folder) if x.path and x.digest] == list(range(25))
+
+
+def test_every_shard_that_was_checked_leaves_a_row(spark, folder):
+    put(folder, "empty", 0, [])
+    put(folder, "empty", 1, [])
+    put(folder, "twice", 7, range(3))
+    put(folder, "other", 7, range(2), digest="wrong")
+    for end in ("jsonl", "sha256.json"):  # the same number by another name
+        os.rename(f"{folder}/other/sample-shards/000007.{end}", f"{folder}/twice/sample-shards/7.{end}")
+    scanned = CS.scan(spark, folder)
+    got = scanned.groupBy("job").agg(F.count("line").alias("rows"), F.bool_and(F.col("problem").isNull()).alias("ok")).collect()
+    assert {tuple(r) for r in got} == {("empty", 0, True), ("twice", 5, False)}
+    assert scanned.where("job = 'empty'").count() == 2 and CS.parsed(scanned, CAMPAIGN_ROW).where("job = 'empty'").isEmpty()
+    plan = spark.createDataFrame([("empty", 4), ("twice", 5)], "key string, episodes long")
+    said = {tuple(r) for r in CS.problems(scanned, plan).collect()}
+    assert said == {("empty", None, "row count", 0, 4), ("twice", 7, "digest mismatch", None, None)}
