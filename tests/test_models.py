@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -176,3 +178,20 @@ def test_poisson_draws_are_a_fold(spark):
             want, term = want + (r["u"] > cum), term * r["w"] / k
             cum += term
         assert r["k"] == want
+
+
+def test_the_ensemble_query_fits_whole_networks(spark, monkeypatch):
+    """Five networks of 128 and 64 units in 300 iterations, the reference's sizes."""
+    from workloads import models as W
+
+    seen, shape = [], inspect.signature(SM.mlp_ensemble)
+
+    def record(*args, **named):
+        call = shape.bind(*args, **named)
+        call.apply_defaults()
+        seen.append(call.arguments)
+        return SM.prior_model({0: 1, 1: 1}), None
+
+    monkeypatch.setattr(W.SM, "mlp_ensemble", record)
+    W.mlp_ensemble(spark, "/root/testdata/sf0.001")
+    assert [(x["members"], x["hidden"], x["max_iter"]) for x in seen] == [(5, (128, 64), 300)]
